@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm import line_rules, mixing, quality_classifier, simhash, url_filter
+from tracelens.llm import exact_topk, html_extraction, line_dedup, line_rules, mixing, ngram_lm, quality_classifier, sentencepiece_codec, simhash, url_filter
 from tracelens.llm.common import crc32_mod, read
 
+#: A SentencePiece model of a public tokenizer.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -18,6 +20,11 @@ URL_RULES = [
 ]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "removed_chunks", "removed_lines", "removed_chars")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, read(spark, sf_dir, "labels").where(crc32_mod("doc_id", 3) != 1))
@@ -41,11 +48,43 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    return coded.select("doc_id", "n_tokens", "n_unknown", "round_trip", "parity", "ids")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "path")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(read(spark, sf_dir, "documents"))
     mixed = mixing.taken(planned, mixing.draw(planned))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_line_rules, op4_url_filters, op5_simhash, op8_mixing)}
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(read(spark, sf_dir, "documents"), crc32_mod("doc_id", 10) == 0).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_quality_classifier,
+        op3_line_rules,
+        op4_url_filters,
+        op5_simhash,
+        op6_sentencepiece,
+        op7_html_extraction,
+        op8_mixing,
+        op9_exact_topk,
+        op10_lm_scoring,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
