@@ -193,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
         for batch in batches:
             found = [line_features(b := blob(t), _repeated(b.split()))[0] for t in batch["text"]]
             fits = [0 < len(x) <= sample_lines for x in found]
-            yield pd.DataFrame({"k": batch["k"][fits], "y": batch["y"][fits], "x": [x.ravel() for x, ok in zip(found, fits, strict=True) if ok]})
+            x = pd.Series([x.ravel() for x, ok in zip(found, fits, strict=True) if ok], dtype=object)
+            yield pd.DataFrame({"k": batch["k"][fits].reset_index(drop=True), "y": batch["y"][fits].reset_index(drop=True), "x": x})
 
     got = cut(learn.mapInPandas(rows, f"k {learn.schema['k'].dataType.simpleString()}, y int, x array<double>")).orderBy("k").collect()
     return train([np.array(r["x"]).reshape(-1, len(FEATURES)) for r in got], np.array([r["y"] for r in got], dtype=int))

@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             total += contexts(list(batch["text"]))
         used = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"bucket": used, "v": list(total[used])})
+        yield pd.DataFrame({"bucket": used, "v": pd.Series(list(total[used]), dtype=object)})
 
     sums = learn.select("text").mapInPandas(context_rows, "bucket long, v array<long>").groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)])
     got = np.array([tuple(r) for r in sums.collect()], dtype=np.int64).reshape(-1, DIM + 1)
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def pooled_rows(batches):
         bucket = Buckets()
         for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "x": list(pool(list(batch["text"]), shared.value, bucket))})
+            yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "x": pd.Series(list(pool(list(batch["text"]), shared.value, bucket)), dtype=object)})
 
     k_type = learn.schema["k"].dataType.simpleString()
     rows = learn.mapInPandas(pooled_rows, f"k {k_type}, y int, x array<double>").orderBy("k").collect()
