@@ -1,0 +1,75 @@
+"""Job and telemetry views over the given tables, and the same views as DuckDB SQL."""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: ``jobs``: a batch-job log made from orders; ``{ts}`` is the engine's name of a timestamp without time zone.
+JOBS = """
+SELECT k AS job_id,
+       CASE WHEN c % 13 = 0 THEN NULL ELSE CONCAT('u', CAST(c % 97 AS STRING)) END AS user_id,
+       CONCAT('job_', CAST(c % 50 AS STRING), '_', CAST(k % 4 AS STRING)) AS job_name,
+       CASE k % 5 WHEN 0 THEN '#BSUB -q normal' WHEN 1 THEN 'sbatch --gres gpu train.py'
+                  WHEN 2 THEN 'python finetune_llama.py --lora' WHEN 3 THEN 'mpirun lammps -n 4' END AS command,
+       pr AS queue,
+       CASE WHEN k % 29 = 0 THEN 'excluded' ELSE 'main' END AS cluster_name,
+       CASE k % 6 WHEN 0 THEN CONCAT('cpu1-', CAST(n AS STRING))
+                  WHEN 1 THEN CONCAT('cpu1-[', CAST(n AS STRING), '-', CAST(n + 2 AS STRING), ']')
+                  WHEN 2 THEN CONCAT('cpu2-', CAST(n AS STRING), ',cpu2-', CAST(n + 1 AS STRING))
+                  WHEN 3 THEN CONCAT('gpu1-', CAST(n AS STRING), '+gpu1-[', CAST(n + 1 AS STRING), ',', CAST(n + 3 AS STRING), ']')
+                  WHEN 4 THEN CONCAT('{{"nodes":["cpu3-', CAST(n AS STRING), '","bigmem-1"]}}') END AS exec_hosts,
+       CAST(CASE WHEN k % 6 = 3 THEN 1 + v % 16 ELSE 0 END AS BIGINT) AS gpu_num,
+       CAST(1 + k % 64 AS BIGINT) AS cpu_num,
+       CAST(1 + k % 3 AS BIGINT) AS node_num,
+       CASE st WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'EXIT' END AS job_status_str,
+       CASE st WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 130 END AS exit_status,
+       CASE WHEN k % 19 = 0 THEN NULL ELSE sub END AS submit_time,
+       CASE WHEN k % 17 = 0 THEN NULL ELSE sub + INTERVAL '1' SECOND * (v % 7200) END AS start_time,
+       CASE WHEN k % 23 = 0 THEN NULL ELSE sub + INTERVAL '1' SECOND * (v % 7200 + v % 50000 - 500) END AS end_time
+FROM (SELECT *, 1 + v % 20 AS n, {ts} '2024-01-01 00:00:00' + INTERVAL '1' SECOND * ((v * 37 + k * 101) % 2505600) AS sub
+      FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS st, o_orderpriority AS pr, CAST(FLOOR(o_totalprice) AS BIGINT) AS v FROM orders) s) t
+"""
+
+#: ``telemetry``: readings of twelve servers made from events; every tenth reading is there twice.
+TELEMETRY = """
+SELECT CONCAT(CASE user_id % 3 WHEN 0 THEN 'cpu1-' WHEN 1 THEN 'gpu1-' ELSE 'bigmem-' END, CAST(1 + user_id % 4 AS STRING)) AS server,
+       CASE event_type WHEN 'click' THEN 'cpu_total' WHEN 'view' THEN 'gpu_util' WHEN 'purchase' THEN 'power' WHEN 'error' THEN 'load_1min' ELSE 'mem_percent' END AS metric,
+       CAST(ts AS {ts}) AS ts, value
+FROM (SELECT *, UNNEST(CASE WHEN event_id % 10 = 0 THEN [1, 2] ELSE [1] END) AS copy FROM events) e
+"""
+
+
+class Tables:
+    """The given tables and views of one folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        return self._sql(JOBS, orders=self.table("orders"))
+
+    @cached_property
+    def telemetry(self) -> DataFrame:
+        e = self.table("events")
+        copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        kind = F.when(F.col("user_id") % 3 == 0, "cpu1-").when(F.col("user_id") % 3 == 1, "gpu1-").otherwise("bigmem-")
+        metric = F.lit("mem_percent")
+        for k, m in (("click", "cpu_total"), ("view", "gpu_util"), ("purchase", "power"), ("error", "load_1min")):
+            metric = F.when(F.col("event_type") == k, m).otherwise(metric)
+        return e.withColumn("copy", F.explode(copies)).select(
+            F.concat(kind, (1 + F.col("user_id") % 4).cast("string")).alias("server"), metric.alias("metric"), F.col("ts").cast("timestamp_ntz").alias("ts"), "value"
+        )
+
+    def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        """SQL over frames that are named by ``{name}`` arguments of ``spark.sql``."""
+        text = text.replace("{{", "\x01").replace("}}", "\x02").format(ts="TIMESTAMP_NTZ").replace("\x01", "{{").replace("\x02", "}}")
+        for name in frames:
+            text = text.replace(f"FROM {name}", "FROM {" + name + "}")
+        return self.spark.sql(text, **frames)
