@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tracelens.plans import registry
+from tracelens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,15 +26,15 @@ def plain(v):
     return v.isoformat() if isinstance(v, datetime.date) else v
 
 
-@pytest.mark.parametrize("name", registry.QUERIES)
+@pytest.mark.parametrize("name", catalog.QUERIES)
 def test_query_equals_sql_and_plan_is_sound(spark, duck, name):
-    df = registry.QUERIES[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     plan = df._jdf.queryExecution().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "LocalCheckpoint"):
         assert not re.search(bad, plan), bad
     got = sorted(repr([plain(r[c]) for c in cols]) for r in df.collect())
-    found = duck.execute(registry.ORACLE_SQL[name])
+    found = duck.execute(catalog.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == cols
     assert got == sorted(repr([plain(r[names.index(c)]) for c in cols]) for r in found.fetchall())
