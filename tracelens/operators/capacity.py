@@ -113,13 +113,13 @@ def by_command(jobs: DataFrame, t: DataFrame) -> DataFrame:
 def by_user(jobs: DataFrame, t: DataFrame) -> DataFrame:
     """Per user: jobs with readings and mean use in their hours."""
     h = telemetry.job_hours(jobs, t).where("not all_null").join(jobs.where("user_id is not null").select("job_id", "user_id"), "job_id")
-    return h.groupBy("user_id").agg(F.count_distinct("job_id").alias("jobs"), F.round(F.avg("cpu_total"), 4).alias("cpu"), F.round(F.avg("gpu_util"), 4).alias("gpu"), F.round(F.avg("power"), 4).alias("power"))
+    return h.groupBy("user_id").agg(F.count_distinct("job_id").alias("jobs"), *[F.round(F.avg(c) + 1e-9, 4).alias(k) for c, k in (("cpu_total", "cpu"), ("gpu_util", "gpu"), ("power", "power"))])
 
 
 def hourly(jobs: DataFrame, t: DataFrame) -> DataFrame:
     """Per subcluster and hour: distinct jobs and mean readings."""
     h = telemetry.job_hours(jobs, t).where("not all_null").withColumn("subcluster", C.subcluster(F.col("server")))
-    return h.groupBy("subcluster", "hour").agg(F.count_distinct("job_id").alias("jobs"), F.round(F.avg("cpu_total"), 5).alias("cpu"))
+    return h.groupBy("subcluster", "hour").agg(F.count_distinct("job_id").alias("jobs"), F.round(F.avg("cpu_total") + 1e-9, 5).alias("cpu"))
 
 
 def fit(jobs: DataFrame, t: DataFrame) -> DataFrame:

