@@ -9,6 +9,7 @@ from tracelens.functions import columns as C
 from tracelens.operators import capacity, classify, cleaning, exact, sampling, telemetry, traces, users
 from tracelens.plans.registry import _SECONDS, _TYPE, _VIEWS, _WD, _add, _burst, _log, _tel
 from tracelens.sources.views import Tables
+from tracelens.streaming import series
 
 _SUB = "CASE WHEN {} LIKE 'cpu1-%' THEN 'CPU1' WHEN {} LIKE 'cpu2-%' THEN 'CPU2' WHEN {} LIKE 'cpu3-%' THEN 'CPU3' WHEN {} LIKE 'gpu1-%' THEN 'GPU1' WHEN {} LIKE 'bigmem-%' THEN 'BIGMEM' ELSE 'UNKNOWN' END"
 
@@ -204,3 +205,49 @@ _add("tel_sheet_profile", lambda t: t.telemetry.groupBy("server").agg(F.count("*
 _add("tel_group_pattern", lambda t: _tel(t).groupBy(C.subcluster(F.col("server")).alias("grp"), F.weekday("ts").cast("long").alias("weekday"), F.hour("ts").cast("long").alias("hour")).agg(F.round(F.avg("value"), 6).alias("mean")), f"SELECT grp, {_WD.format('ts')} AS weekday, CAST(hour(ts) AS BIGINT) AS hour, round(avg(value), 6) AS mean FROM grp GROUP BY 1, 2, 3")
 _add("cmp_standardize", lambda t: _log(t).where("gpu_num > 0").select("user", "gpu_num", "duration", (F.col("gpu_num") * F.col("duration")).alias("gpu_time"), "state"), """SELECT "user", gpu_num, duration, gpu_num * duration AS gpu_time, state FROM log WHERE gpu_num > 0""")
 _add("cmp_job_types", lambda t: _log(t).groupBy(F.when(F.col("job_id") % 2 == 0, "local").otherwise("external").alias("dataset")).agg(F.round(100 * F.count_if(F.expr("gpu_num > 0")) / F.count("*"), 6).alias("gpu"), F.round(100 * F.count_if(F.expr("gpu_num = 0")) / F.count("*"), 6).alias("cpu")), "SELECT CASE WHEN job_id % 2 = 0 THEN 'local' ELSE 'external' END AS dataset, round(100 * count_if(gpu_num > 0) / count(*), 6) AS gpu, round(100 * count_if(gpu_num = 0) / count(*), 6) AS cpu FROM log GROUP BY 1")
+
+# Streaming forms, on closed tables
+_add("str_hourly", lambda t: series.hourly(t.jobs), "SELECT date_trunc('hour', submit_time) AS hour, count(*) AS jobs, CAST(sum(gpu_num) AS BIGINT) AS gpus FROM jobs WHERE submit_time IS NOT NULL GROUP BY 1")
+_add("str_minute_burst", lambda t: series.bursts(_burst(t), 1), "SELECT date_trunc('minute', submit_time) AS minute, count(*) AS n FROM burst WHERE submit_time IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+_add("str_dedupe", lambda t: series.once(t.telemetry), "SELECT DISTINCT server, metric, ts FROM raw")
+_add("str_high_sessions", lambda t: series.high_sessions(_tel(t)), """SELECT server, min(ts) AS first, max(ts) AS last, count(*) AS n, max(value) AS most FROM (SELECT *, sum(new) OVER (PARTITION BY server ORDER BY ts, metric ROWS UNBOUNDED PRECEDING) AS island FROM
+    (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER w, ts) <= 12 * 3600 THEN 0 ELSE 1 END AS new FROM tel WHERE value > 60 WINDOW w AS (PARTITION BY server ORDER BY ts, metric))) GROUP BY server, island HAVING date_diff('second', min(ts), max(ts)) >= 3600""")
+
+# Strategies by level: all rows of normal days, fixed shares of the others
+_RATES = {"normal": 1.0, "moderate": 0.8, "severe": 0.5, "extreme": 0.2}
+
+
+def by_level(jobs: DataFrame) -> DataFrame:
+    """Exactly max(1, floor(rate * size)) rows of each day, by its level's rate."""
+    day = jobs.where("submit_time is not null").withColumn("day", F.to_date("submit_time"))
+    x = day.join(sampling.daily_levels(jobs).select("day", "level"), "day").withColumn("_k", F.concat_ws("|", "level", F.col("day").cast("string")))
+    rate = F.element_at(F.create_map(*[F.lit(v) for kv in _RATES.items() for v in kv]), F.substring_index("_k", "|", 1))
+    return exact.rank_select(sampling._hashed(x, "l1-"), ["_k"], "_h", "job_id", F.greatest(F.lit(1), F.floor(rate * F.col("_size")))).select("job_id", "day", "level")
+
+
+_LEVELS = """SELECT day, n, CASE WHEN n >= e THEN 'extreme' WHEN n >= s THEN 'severe' WHEN n >= 340 THEN 'moderate' ELSE 'normal' END AS level FROM days, (SELECT greatest(1000, 10 * q2, m + 5 * sd) AS e, greatest(400, q2 + 3 * (q3 - q1), m + 3 * sd) AS s FROM (SELECT quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3, avg(n) AS m, stddev_samp(n) AS sd FROM days))"""
+_add("smp_strategy", lambda t: by_level(_burst(t)), f"""SELECT job_id, day, level FROM (SELECT job_id, l.day, level, n, row_number() OVER (PARTITION BY l.day ORDER BY md5('l1-' || job_id), job_id) AS r FROM burst b JOIN ({_LEVELS}) l ON CAST(b.submit_time AS DATE) = l.day)
+    WHERE r <= greatest(1, floor(CASE level WHEN 'normal' THEN 1.0::DOUBLE WHEN 'moderate' THEN 0.8::DOUBLE WHEN 'severe' THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END * n))""")
+
+
+def by_sequence(jobs: DataFrame, width: int = 1000) -> DataFrame:
+    """Missing submissions between two known ones, interpolated along the job id.
+
+    Neighbours are looked for inside buckets of ids; where a bucket has none on one side, the nearest bucket's first or last known one
+    stands in, found over one row a bucket.
+    """
+    W = exact.Window
+    x = jobs.select("job_id", F.unix_seconds(F.col("submit_time").cast("timestamp")).alias("s")).withColumn("b", F.floor(F.col("job_id") / width))
+    known = F.when(F.col("s").isNotNull(), F.struct("job_id", "s"))
+    ends = x.groupBy("b").agg(F.min(known).alias("lo"), F.max(known).alias("hi"))
+    over = W.partitionBy(F.lit(1)).orderBy("b")  # one row a bucket
+    ends = ends.select("b", F.last("hi", True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("left"), F.first("lo", True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("right"))
+    inside = W.partitionBy("b").orderBy("job_id")
+    y = x.withColumn("p", F.last(known, True).over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.first(known, True).over(inside.rowsBetween(0, W.unboundedFollowing))).where("s is null").join(ends, "b")
+    y = y.withColumn("p", F.coalesce("p", "left")).withColumn("n", F.coalesce("n", "right")).where("p is not null and n is not null")
+    at = F.col("p.s") + F.floor((F.col("n.s") - F.col("p.s")) * (F.col("job_id") - F.col("p.job_id")) / (F.col("n.job_id") - F.col("p.job_id")))
+    return y.select("job_id", F.timestamp_seconds(at).cast("timestamp_ntz").alias("submit_time"))
+
+
+_add("tim_est_sequence", lambda t: by_sequence(t.jobs), """SELECT job_id, make_timestamp(CAST((ps + floor((ns - ps) * (job_id - pj) / (nj - pj))) * 1000000 AS BIGINT)) AS submit_time FROM (SELECT job_id, submit_time, last_value(k IGNORE NULLS) OVER p AS pj, last_value(s IGNORE NULLS) OVER p AS ps, first_value(k IGNORE NULLS) OVER n AS nj, first_value(s IGNORE NULLS) OVER n AS ns
+    FROM (SELECT job_id, submit_time, CASE WHEN submit_time IS NOT NULL THEN job_id END AS k, CAST(epoch(submit_time) AS BIGINT) AS s FROM jobs) WINDOW p AS (ORDER BY job_id ROWS UNBOUNDED PRECEDING), n AS (ORDER BY job_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) WHERE submit_time IS NULL AND pj IS NOT NULL AND nj IS NOT NULL""")
