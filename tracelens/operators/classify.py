@@ -128,3 +128,29 @@ def intervals(jobs: DataFrame, least: int = 10) -> DataFrame:
     x = jobs.where("user_id is not null and submit_time is not null").withColumn("_l", F.lag("submit_time").over(Window.partitionBy("user_id").orderBy("submit_time", "job_id"))).withColumn("step", step).where("step is not null")
     s = x.groupBy("user_id").agg((F.count("*") + 1).alias("n"), F.round(F.avg("step"), 6).alias("mean")).where(F.col("n") >= least)
     return s.join(exact.wide_quantiles(x, ["user_id"], "step", {"median": 0.5}, 3600), "user_id")
+
+
+def groups(jobs: DataFrame, gap: int = 300) -> DataFrame:
+    """Distributed jobs of one base name and user, submitted no more than ``gap`` seconds after one another, as one job.
+
+    The gap counts from the job before, not from the group's first: an order that needs no state beyond the row before. Rows are ordered
+    inside (name, user, day); a group goes on over midnight where the day's first job follows the last one before it closely enough, which is found over
+    one row a day.
+    """
+    key = ["base", "user_id"]
+    x = jobs.where(is_distributed() & F.col("submit_time").isNotNull()).select("job_id", C.base_name("job_name").alias("base"), F.coalesce("user_id", F.lit("")).alias("user_id"), "submit_time", "gpu_num", "cpu_num").withColumn("day", F.to_date("submit_time"))
+    inside = Window.partitionBy(*key, "day").orderBy("submit_time", "job_id")
+    x = x.withColumn("_l", F.lag("submit_time").over(inside)).withColumn("new", (F.col("_l").isNull() | (C.seconds("_l", "submit_time") > gap)).cast("long"))
+    x = x.withColumn("n", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    days = x.groupBy(*key, "day").agg(F.min("submit_time").alias("a"), F.max("submit_time").alias("z"), F.max("n").alias("k"))
+    by_day = Window.partitionBy(*key).orderBy("day")
+    days = days.withColumn("_z", F.lag("z").over(by_day)).withColumn("joins", F.coalesce((C.seconds("_z", "a") <= gap).cast("long"), F.lit(0)))
+    days = days.withColumn("offset", F.coalesce(F.sum("k").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("joins").over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = x.join(days.select(*key, "day", "offset"), [*key, "day"]).withColumn("grp", F.col("n") + F.col("offset"))
+    return numbered.groupBy(*key, "grp").agg(F.count("*").alias("jobs"), F.min("submit_time").alias("first"), F.max("submit_time").alias("last"), F.max("gpu_num").alias("gpus"), F.max("cpu_num").alias("cpus"), F.min("job_id").alias("head")).drop("grp")
+
+
+def word_affinity(jobs: DataFrame, weight: float = 0.1) -> DataFrame:
+    """Per word of commands: net number of jobs with GPUs less jobs without, times the weight, from 0.5 on, clamped to 0..1 once."""
+    w = jobs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("command"), F.lit(r"([a-z0-9_-]{3,})"), F.lit(1)))).alias("word"), F.when(F.col("gpu_num") > 0, 1).otherwise(-1).alias("sign"))
+    return w.groupBy("word").agg(F.sum("sign").alias("net")).select("word", "net", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + weight * F.col("net"))), 6).alias("affinity"))

@@ -251,3 +251,8 @@ def by_sequence(jobs: DataFrame, width: int = 1000) -> DataFrame:
 
 _add("tim_est_sequence", lambda t: by_sequence(t.jobs), """SELECT job_id, make_timestamp(CAST((ps + floor((ns - ps) * (job_id - pj) / (nj - pj))) * 1000000 AS BIGINT)) AS submit_time FROM (SELECT job_id, submit_time, last_value(k IGNORE NULLS) OVER p AS pj, last_value(s IGNORE NULLS) OVER p AS ps, first_value(k IGNORE NULLS) OVER n AS nj, first_value(s IGNORE NULLS) OVER n AS ns
     FROM (SELECT job_id, submit_time, CASE WHEN submit_time IS NOT NULL THEN job_id END AS k, CAST(epoch(submit_time) AS BIGINT) AS s FROM jobs) WINDOW p AS (ORDER BY job_id ROWS UNBOUNDED PRECEDING), n AS (ORDER BY job_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) WHERE submit_time IS NULL AND pj IS NOT NULL AND nj IS NOT NULL""")
+
+_add("cls_group_distributed", lambda t: classify.groups(t.jobs, 7200), f"""SELECT base, u AS user_id, count(*) AS jobs, min(submit_time) AS first, max(submit_time) AS last, max(gpu_num) AS gpus, max(cpu_num) AS cpus, min(job_id) AS head FROM
+    (SELECT *, sum(new) OVER (PARTITION BY base, u ORDER BY submit_time, job_id ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN date_diff('second', lag(submit_time) OVER w, submit_time) <= 7200 THEN 0 ELSE 1 END AS new FROM
+    (SELECT job_id, regexp_replace(job_name, '_?[0-9]+$', '') AS base, coalesce(user_id, '') AS u, submit_time, gpu_num, cpu_num FROM {_HN} WHERE submit_time IS NOT NULL AND ({_DIST})) WINDOW w AS (PARTITION BY base, u ORDER BY submit_time, job_id))) GROUP BY base, u, grp""")
+_add("cls_kw_affinity", lambda t: classify.word_affinity(t.jobs), "SELECT word, CAST(sum(s) AS BIGINT) AS net, round(greatest(0, least(1, 0.5::DOUBLE + 0.1::DOUBLE * sum(s))), 6) AS affinity FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(command), '[a-z0-9_-]{3,}'))) AS word, CASE WHEN gpu_num > 0 THEN 1 ELSE -1 END AS s FROM jobs) GROUP BY 1")
