@@ -70,14 +70,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         sign = lambda x: x - (1 << 64) if x >> 63 else x
         return pd.Series([[(i, sign(xxhash.xxh64_intdigest(b))) for i, b in _of(t, how)] for t in texts], dtype=object)
 
+    t = F.col(f"row.`{text_col}`")  # the text is held once
     whole = docs.select(
         F.struct("*").alias("row"),
-        F.col(text_col).alias("t"),
         F.col(id_col).isNull().alias("no_id"),
         F.coalesce(F.col(id_col), F.lit(0)).alias("k_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
     )
-    found = cut(whole.select(*key, F.explode(hashed("t")).alias("c")).select(*key, "c.place", "c.h"))
+    found = cut(whole.select(*key, F.explode(hashed(t)).alias("c")).select(*key, "c.place", "c.h"))
     twice = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(*key, "place")).alias("first")).where("n > 1").drop("n")
     named = found.join(twice, "h").select(*key, F.struct("place", "h", (F.struct(*key, "place") == F.col("first")).alias("stays")).alias("c"))
     per_doc = named.groupBy(*key).agg(F.collect_set("c").alias("cs"))  # a document's own chunks
@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             out.append([(i, h[i], b) for i, b in _of(t, how) if i in h])
         return pd.Series(out, dtype=object)
 
-    texts = joined.where("cs is not null").select(*key, F.explode(shown("t", "cs")).alias("c")).select(*key, "c.*")
+    texts = joined.where("cs is not null").select(*key, F.explode(shown(t, "cs")).alias("c")).select(*key, "c.*")
     clash = cut(texts.groupBy("h").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a != b").select("h"))
     joined = _told_apart(joined, texts, clash, key) if clash.count() else joined.withColumn("also", F.lit(None).cast("array<int>"))
 
@@ -114,7 +114,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             out.append((new, len(gone), n, len(t) - len(new)))
         return pd.DataFrame(out, columns=["text", "removed_chunks", "removed_lines", "removed_chars"])
 
-    done = joined.select("row", stripped("t", "cs", "also").alias("s"))
+    done = joined.select("row", stripped(t, "cs", "also").alias("s"))
     return over("row", done, {text_col: F.col("s.text"), **{c: F.col(f"s.{c}") for c in ("removed_chunks", "removed_lines", "removed_chars")}})
 
 
