@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
-from tracelens.operators import cleaning, exact, sampling, telemetry, traces, users
+from tracelens.operators import cleaning, exact, inference, sampling, telemetry, traces, users
 
 JOB = "job_id long, user_id string, job_name string, command string, queue string, cluster_name string, exec_hosts string, gpu_num long, cpu_num long, node_num long, job_status_str string, exit_status int, submit_time timestamp_ntz, start_time timestamp_ntz, end_time timestamp_ntz"
 
@@ -109,3 +109,10 @@ def test_repair_uses_the_users_mean_interval(spark):
     rows = [job(i, "a", sub=f"2024-01-01T{i:02d}:00:00") for i in range(12)] + [job(50, "a"), job(51, "b", start="2024-01-05T00:00:00"), job(52, None)]
     got = {r["job_id"]: (r["submit_time"], r["how"]) for r in cleaning.repair(spark.createDataFrame(rows, JOB)).collect()}
     assert got[50] == (datetime(2024, 1, 1, 12), "user") and got[51] == (datetime(2024, 1, 4, 23, 55), "start") and got[52] == (None, "none")
+
+
+def test_density_clusters_by_hand(spark):
+    rows = [job(i, None, sub=f"2024-01-0{1 + i % 7}T{i % 24:02d}:00:00", gpus=i % 3) for i in range(40)] + [job(100 + i, None, sub="2024-01-01T03:00:00") for i in range(3)] + [job(999, None, sub="2024-01-01T23:00:00", gpus=50), job(5000, "known")]
+    got = {r["job_id"]: r["cluster"] for r in inference.clusters(spark.createDataFrame(rows, JOB)).collect()}
+    assert got[100] == got[101] == got[102] is not None and got[999] is None and 5000 not in got
+    assert inference.clusters(spark.createDataFrame([], JOB)).collect() == []
