@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelens.operators.graph import components, cut, shared_folder  # noqa: F401
+
 #: A word: a run of code points other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,22 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="tracelens-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder by ``checkpoint()``: computed once, its lineage cut, safe against lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null has no remainder (null)."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
@@ -55,27 +40,6 @@ def blob(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the edges (a, b): rows (node, root) with the smallest node of each component as root.
-
-    Alternating large-star and small-star steps, each one aggregation and one join keyed by node, until the edges stay the same;
-    every step is written to the shared folder. Only two numbers a step reach the driver.
-    """
-    e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        sign = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if sign == seen or sign[0] == 0:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = sign
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a")
-        e = cut(pairs.select("a", F.col("m").alias("b")).union(pairs.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a != b").distinct())
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder (compressed, so smaller than a checkpoint); it goes when Spark ends."""
     spark = df.sparkSession
