@@ -48,6 +48,20 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _range(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Number of the range, of ``ranges`` equal ones, that a hash lies in."""
+    return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def squeeze(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte by byte: the upper bytes of all are zeros side by side, which the shuffle compresses."""
+    return np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def expand(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel().cumsum(dtype=np.uint64)
+
+
 class Bundle:
     """Tokens and distinct n-grams of some documents. Nothing in it depends on the order of the documents but ``docs``."""
 
@@ -64,8 +78,8 @@ class Bundle:
         seen = np.r_[np.bincount(now, counts, self.size), np.bincount(place, counts, len(self.pairs))].astype(np.int64)
         h = np.r_[own, _mix(with_start[self.pairs // (self.size + 1)], own[self.pairs % (self.size + 1)])]
         single = np.r_[np.ones(self.size, dtype=bool), np.zeros(len(self.pairs), dtype=bool)]
-        at = ((h >> np.uint64(33)) % np.uint64(ranges)).astype(np.int64)
-        self.order = np.lexsort((single, h, at))
+        at = _range(h, ranges)
+        self.order = np.lexsort((single, h))
         self.hashes, self.seen, self.ranges = h[self.order], seen[self.order], at[self.order]
 
     def asked(self):
@@ -126,11 +140,9 @@ def vocabulary(docs: DataFrame, ranges: int) -> DataFrame:
 
         def rows():
             h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, held), dtype=np.uint64, count=len(held)))
-            at = ((h >> np.uint64(33)) % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            h, at = h[order], at[order]
+            at = _range(h, ranges)
             cut = np.flatnonzero(np.diff(at)) + 1
-            parts = [] if not len(h) else [(int(at[s]), h[s:e].tobytes(), 0, 0) for s, e in zip(np.r_[0, cut], np.r_[cut, len(h)], strict=True)]
+            parts = [] if not len(h) else [(int(at[s]), squeeze(h[s:e]), 0, 0) for s, e in zip(np.r_[0, cut], np.r_[cut, len(h)], strict=True)]
             return pd.DataFrame([*parts, (0, b"", n, texts)], columns=["r", "h", "n", "texts"])
 
         for batch in batches:
@@ -145,7 +157,7 @@ def vocabulary(docs: DataFrame, ranges: int) -> DataFrame:
         yield rows()
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        v = len(np.unique(np.concatenate([np.frombuffer(h, dtype=np.uint64) for h in rows["h"]])))
+        v = len(np.unique(np.concatenate([expand(h) for h in rows["h"]])))
         return pd.DataFrame({"n": [int(rows["n"].sum())], "v": [v], "texts": [int(rows["texts"].sum())]})
 
     parts = docs.where("learn").select("t").mapInPandas(distinct, "r long, h binary, n long, texts long")
@@ -165,11 +177,11 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         b = Bundle(rows["t"], ~rows["held_out"].to_numpy(dtype=bool), ranges)
-        out = [(int(rows["bundle"].iloc[0]), r, h.tobytes(), *pack(c)) for r, h, c in b.asked()]
+        out = [(int(rows["bundle"].iloc[0]), r, squeeze(h), *pack(c)) for r, h, c in b.asked()]
         return pd.DataFrame(out, columns=["bundle", "r", "h", "small", "large"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(h, dtype=np.uint64) for h in rows["h"]]
+        hashes = [expand(h) for h in rows["h"]]
         counts = [unpack(s, x) for s, x in zip(rows["small"], rows["large"], strict=True)]
         _, place = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts)).astype(np.int64)[place]
