@@ -256,6 +256,16 @@ def test_main_text_and_consensus(spark):
     assert got[3]["path"].endswith("div.post-#") and got[5]["text"] == got[6]["text"] == "" and got[7]["text"] == "just text & more" and got[8]["text"].startswith("a < b")
 
 
+def test_unclosed_elements():
+    page = "<head><title>T</title><body><nav><ul><li>Home<li>About<article><p>One<p>Two<div class=ad>Buy</div></article><footer>end"
+    assert html_extraction.main_text(page, None)[0] == "One\nTwo"
+
+
+@pytest.mark.parametrize(("name", "bad"), [("main-content", False), ("content with-sidebar", False), ("article-comments", True), ("ad-slot-3", True), ("mainNav", True), ("header", True), ("adventure", False), ("post-body", False), ("cookie_notice", True), ("shadow", False)])
+def test_names_of_boilerplate(name, bad):
+    assert any(map(html_extraction._bad_name, name.split())) == bad
+
+
 # Mixing
 
 
