@@ -12,7 +12,7 @@ A block ends at a block tag or a line break. Character references are decoded, r
 
 Edge cases: a null or empty page has the empty text. Pages whose url is null or has no host vote together. Equal sums go to the
 smaller path. Repeated rows each get a row and a vote. An empty table gives no rows. All columns are kept; a column named like a
-result gives way to it. The join of pages with winners is by host; a hot host's rows are split by Spark's skew handling.
+result gives way to it. The join of pages with winners is by host and a salt of the page, so that a hot host does not end in one task.
 """
 
 from __future__ import annotations
@@ -192,8 +192,8 @@ def main_text(source: str | None, winner: str | None) -> tuple[str, str]:
     return "\n".join(under(page, best)), best or ""
 
 
-def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` with text, n_chars and path."""
+def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", spread: int = 16) -> DataFrame:
+    """``pages`` with text, n_chars and path. A host's pages are dealt to ``spread`` tasks by a hash of the page; its winner is copied as often."""
     small_batches(pages.sparkSession, 500)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[^:/?#]*://([^/?#]*)", 1), F.lit("")))
 
@@ -210,6 +210,7 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -
     def read(pages: pd.Series, paths: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([main_text(p, w) for p, w in zip(pages, paths, strict=True)], columns=["text", "path"])
 
-    joined = pages.select(F.struct("*").alias("row"), F.col(html_col).alias("page"), host.alias("host")).join(winners, "host", "left")
-    done = joined.select("row", read("page", "winner").alias("s"))
+    joined = pages.select(F.struct("*").alias("row"), host.alias("host")).withColumn("salt", F.pmod(F.xxhash64(F.col(f"row.`{html_col}`")), F.lit(spread)).cast("int"))
+    joined = joined.join(winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), ["host", "salt"], "left")
+    done = joined.select("row", read(F.col(f"row.`{html_col}`"), "winner").alias("s"))
     return over("row", done, {"text": F.col("s.text"), "n_chars": F.length("s.text").cast("long"), "path": F.col("s.path")})
