@@ -39,10 +39,10 @@ _BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 #: Words in class or id that mark boilerplate.
 _BAD_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription "
-    "newsletter signup signin login sidebar sidenav aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments reply replies disqus respond "
+    "newsletter signup signin login sidebar sidenav aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments commentlist adslot adbox adsbygoogle sharebar reply replies disqus respond "
     "share sharing social related recommended recommendations widget widgets search form hidden skip paywall".split()
 )
-_GOOD_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
+_LEFT_OPEN = {"head", "nav", "header", "menu", "select", "button"}
 #: Elements that a tag of the same kind ends.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "dt": {"dl"}, "dd": {"dl"}, "p": _CONTAINERS | {"li", "blockquote"}, "option": {"select"}}
@@ -75,11 +75,13 @@ def _boilerplate(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if tag in ("html", "body", "main", "article"):
         return False
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()
-    words = [w for w in re.split(r"[^a-z]+", named) if w]
-    # "main-content with-sidebar" is content, "sidebar content" isn't: what comes first counts.
-    kind = next((w in _BAD_WORDS for w in words if w in _BAD_WORDS or w in _GOOD_WORDS and w not in ("text", "body", "content", "post")), None)
-    return bool(kind) and not words[0] in _GOOD_WORDS - {"post"}
+    return any(map(_bad_name, f"{attributes.get('class', '')} {attributes.get('id', '')}".split()))
+
+
+def _bad_name(name: str) -> bool:
+    """Whether a class or id names boilerplate: by its first word, or by its last one unless it says with or without which the element is."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    return bool(words) and (words[0] in _BAD_WORDS or words[-1] in _BAD_WORDS and (len(words) < 2 or words[-2] not in ("with", "has", "no", "without")))
 
 
 def parse(source: str | None) -> Page:
@@ -136,6 +138,10 @@ def parse(source: str | None) -> Page:
             continue
         if tag in _VOID or (tag not in _BLOCKS and tag not in _BAD_TAGS):
             continue
+        if tag in ("body", "main", "article"):  # ends what cannot hold it and was left open
+            i = next((i for i, (t, _) in enumerate(stack) if t in _LEFT_OPEN), 0)
+            if i:
+                del stack[i:]
         if tag in _CLOSES:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in _CLOSES[tag]:
