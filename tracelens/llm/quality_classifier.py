@@ -74,9 +74,9 @@ def contexts(texts: list[str | None]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Word vectors (BUCKETS x 2 DIM), the scaling of features, the two layers and the temperature."""
+    """Unit context vectors (BUCKETS x DIM, half precision), the scaling of features, the two layers and the temperature."""
 
-    words: np.ndarray
+    context: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -93,13 +93,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(pooled) / self.temperature, -40, 40)))
 
 
-def word_vectors(context: np.ndarray) -> np.ndarray:
-    """Index vectors beside context vectors of unit length."""
-    at, sign = index_vectors()
-    own = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    np.add.at(own, (np.arange(BUCKETS)[:, None], at), sign.astype(np.float32))
+def unit(context: np.ndarray) -> np.ndarray:
+    """Context sums scaled to length one, in half precision: what is sent to the tasks."""
     norm = np.sqrt((context.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-    return np.hstack([own, (context / np.maximum(norm, 1)).astype(np.float32)])
+    return (context / np.maximum(norm, 1)).astype(np.float16)
+
+
+_LAST: list[np.ndarray] = []
+
+
+def word_vectors(context: np.ndarray) -> np.ndarray:
+    """Index vectors beside context vectors. A worker keeps those of its last model."""
+    if not _LAST or _LAST[0] is not context:
+        at, sign = index_vectors()
+        own = np.zeros((BUCKETS, DIM), dtype=np.float32)
+        np.add.at(own, (np.arange(BUCKETS)[:, None], at), sign.astype(np.float32))
+        _LAST[:] = [context, np.hstack([own, context.astype(np.float32)])]
+    return _LAST[1]
 
 
 def pool(texts, words: np.ndarray, bucket: Buckets) -> np.ndarray:
@@ -115,16 +125,16 @@ def pool(texts, words: np.ndarray, bucket: Buckets) -> np.ndarray:
     return out
 
 
-def train(pooled: np.ndarray, label: np.ndarray, apart: np.ndarray, words: np.ndarray, epochs: int = 40) -> Model:
+def train(pooled: np.ndarray, label: np.ndarray, apart: np.ndarray, context: np.ndarray, epochs: int = 40) -> Model:
     """Network fitted by Adam on the rows not ``apart``; temperature on those apart. Seeded, so reruns agree."""
     draw = np.random.Generator(np.random.PCG64(7))
     x, y = pooled[~apart], label[~apart].astype(float)
     rate = (label.sum() + 1) / (len(label) + 2)
     flat = np.log(rate / (1 - rate))
-    d = words.shape[1] + 1
+    d = 2 * DIM + 1
     if len(x) < 10 or len(np.unique(y)) < 2:
-        return Model(words, np.zeros(d), np.ones(d), np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), flat, 1.0)
-    m = Model(words, x.mean(axis=0), x.std(axis=0) + 1e-3, draw.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), draw.normal(0, HIDDEN**-0.5, HIDDEN), flat, 1.0)
+        return Model(context, np.zeros(d), np.ones(d), np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), flat, 1.0)
+    m = Model(context, x.mean(axis=0), x.std(axis=0) + 1e-3, draw.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), draw.normal(0, HIDDEN**-0.5, HIDDEN), flat, 1.0)
     x = (x - m.mean) / m.scale
     p = [m.w1, m.b1, m.w2, np.array([m.b2])]
     first, second, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -168,22 +178,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         yield pd.DataFrame({"bucket": used, "v": pd.Series(list(total[used]), dtype=object)})
 
     sums = learn.select("text").mapInPandas(context_rows, "bucket long, v array<long>").groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)])
-    got = np.array([tuple(r) for r in sums.collect()], dtype=np.int64).reshape(-1, DIM + 1)
+    got = sums.toArrow()
     context = np.zeros((BUCKETS, DIM), dtype=np.int64)
-    context[got[:, 0]] = got[:, 1:]
-    shared = spark.sparkContext.broadcast(words := word_vectors(context))
+    context[got.column("bucket").to_numpy()] = np.column_stack([got.column(f"v{i}").to_numpy() for i in range(DIM)]) if len(got) else 0
+    shared = spark.sparkContext.broadcast(sent := unit(context))
 
     def pooled_rows(batches):
         bucket = Buckets()
         for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "x": pd.Series(list(pool(list(batch["text"]), shared.value, bucket)), dtype=object)})
+            x = pool(list(batch["text"]), word_vectors(shared.value), bucket).astype(np.float32)
+            yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "x": pd.Series([r.tobytes() for r in x], dtype=object)})
 
-    k_type = learn.schema["k"].dataType.simpleString()
-    rows = learn.mapInPandas(pooled_rows, f"k {k_type}, y int, x array<double>").orderBy("k").collect()
-    d = words.shape[1] + 1
-    x = np.array([r["x"] for r in rows]).reshape(-1, d)
-    apart = np.array([zlib.crc32(b"apart %s" % str(r["k"]).encode()) % 5 == 0 for r in rows], dtype=bool)
-    return train(x, np.array([r["y"] for r in rows], dtype=int), apart, words)
+    rows = learn.mapInPandas(pooled_rows, f"k {learn.schema['k'].dataType.simpleString()}, y int, x binary").orderBy("k").toArrow()
+    shared.unpersist()
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float32).reshape(-1, 2 * DIM + 1).astype(np.float64)
+    apart = np.array([zlib.crc32(b"apart %s" % str(k).encode()) % 5 == 0 for k in rows.column("k").to_pylist()], dtype=bool)
+    return train(x, np.array(rows.column("y").to_pylist(), dtype=int), apart, sent)
 
 
 def score(model: Model, docs: DataFrame, text_col: str = "text") -> Column:
@@ -194,7 +204,7 @@ def score(model: Model, docs: DataFrame, text_col: str = "text") -> Column:
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series(m.score(pool(list(texts), m.words, _BUCKETS)) if len(texts) else [], dtype="float64")
+        return pd.Series(m.score(pool(list(texts), word_vectors(m.context), _BUCKETS)) if len(texts) else [], dtype="float64")
 
     return of(F.col(text_col))
 
