@@ -92,7 +92,8 @@ def plan(docs: DataFrame, *, weights=(3, 1, 2), share=1.5, cap=2.0, seed="mix",
     top = top.withColumn("start1", F.coalesce(F.sum("s1").over(Window.partitionBy(*keys).orderBy("b1").rowsBetween(*before)), F.lit(0))).drop("s1")
     leaf = leaf.withColumn("start2", F.coalesce(F.sum("s2").over(Window.partitionBy(*keys, "b1").orderBy("b2").rowsBetween(*before)), F.lit(0))).drop("s2")
     within = Window.partitionBy(*keys, "b2").orderBy("h", "size", "id")
-    return (
+    # Written once, without texts: what follows reads it three times.
+    return cut(
         sized.drop("b1")
         .join(leaf.join(top, [*keys, "b1"]).drop("b1"), [*keys, "b2"])
         .withColumn("start3", F.coalesce(F.sum("size").over(within.rowsBetween(*before)), F.lit(0)))
