@@ -12,7 +12,7 @@ A block ends at a block tag or a line break. Character references are decoded, r
 
 Edge cases: a null or empty page has the empty text. Pages whose url is null or has no host vote together. Equal sums go to the
 smaller path. Repeated rows each get a row and a vote. An empty table gives no rows. All columns are kept; a column named like a
-result gives way to it. The join of pages with winners is by host and a salt of the page, so that a hot host does not end in one task.
+result gives way to it. A host that holds many of the pages does not end in one task (see ``extract``).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import over, small_batches
+from tracelens.llm.common import cut, over, small_batches
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -198,10 +198,16 @@ def main_text(source: str | None, winner: str | None) -> tuple[str, str]:
     return "\n".join(under(page, best)), best or ""
 
 
-def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", spread: int = 16) -> DataFrame:
-    """``pages`` with text, n_chars and path. A host's pages are dealt to ``spread`` tasks by a hash of the page; its winner is copied as often."""
+def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", hot_share: int = 10_000) -> DataFrame:
+    """``pages`` with text, n_chars and path.
+
+    Winners of hosts with more than one page in ``hot_share`` are broadcast: there are fewer than ``hot_share`` such hosts, whatever the number of pages.
+    Their pages then meet no one in the join by host and are dealt evenly; every other host is small.
+    """
     small_batches(pages.sparkSession, 500)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[^:/?#]*://([^/?#]*)", 1), F.lit("")))
+    per_host = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n"))
+    n_pages = per_host.agg(F.sum("n")).first()[0] or 0
 
     @F.pandas_udf("array<struct<path:string,score:double>>")
     def scored(pages: pd.Series) -> pd.Series:
@@ -210,13 +216,16 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", s
     # Scores are rounded to whole numbers, so that their sums do not depend on the order of tasks.
     cast = pages.select(host.alias("host"), F.explode(scored(F.col(html_col))).alias("v"))
     sums = cast.groupBy("host", F.col("v.path").alias("path")).agg(F.sum(F.round(F.col("v.score") * 8).cast("long")).alias("votes"))
-    winners = sums.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("n"), "path"))["path"].alias("winner"))
+    winners = cut(sums.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("n"), "path"))["path"].alias("winner")))
 
     @F.pandas_udf("text string, path string")
     def read(pages: pd.Series, paths: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([main_text(p, w) for p, w in zip(pages, paths, strict=True)], columns=["text", "path"])
 
-    joined = pages.select(F.struct("*").alias("row"), host.alias("host")).withColumn("salt", F.pmod(F.xxhash64(F.col(f"row.`{html_col}`")), F.lit(spread)).cast("int"))
-    joined = joined.join(winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), ["host", "salt"], "left")
+    hot = winners.join(per_host.where(F.col("n") * hot_share > n_pages), "host").select("host", F.col("winner").alias("hot_winner"))
+    paged = pages.select(F.struct("*").alias("row"), host.alias("host")).join(F.broadcast(hot), "host", "left")
+    own = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in pages.schema.fields if not re.search("map<|variant", f.dataType.simpleString())])
+    key = F.when(F.col("hot_winner").isNotNull(), F.concat(F.lit(" "), own.cast("string"))).otherwise(F.col("host"))
+    joined = paged.withColumn("host", key).join(winners, "host", "left").withColumn("winner", F.coalesce("hot_winner", "winner"))
     done = joined.select("row", read(F.col(f"row.`{html_col}`"), "winner").alias("s"))
     return over("row", done, {"text": F.col("s.text"), "n_chars": F.length("s.text").cast("long"), "path": F.col("s.path")})
