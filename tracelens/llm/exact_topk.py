@@ -27,7 +27,7 @@ PIVOTS = 16
 #: Rows in a block of queries and of candidates.
 QUERY_BLOCK, BLOCK = 2048, 8192
 #: Pairs of a query and a candidate whose bounds are held at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 16
 
 
 def whole(vector: str, scale: int = 64) -> Column:
@@ -49,10 +49,9 @@ def _matrix(rows, width: int) -> np.ndarray:
 
 
 def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact x @ q: in floating point while all sums are below 2**53, else in whole numbers."""
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
-    if most < 2**53:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    """x @ q in whole numbers. Floating-point arguments stand for whole numbers whose sums are all below 2**53, and so are exact."""
+    if x.dtype == np.float64:
+        return (x @ q).astype(np.int64)
     return np.clip(x.astype(object) @ q.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
@@ -62,12 +61,17 @@ def search_block(query_ids, queries, query_far, ids, vectors, far, k: int) -> tu
     ids, vectors, far = ids[order], vectors[order], far[order]
     norm_x = (vectors.astype(np.float64) ** 2).sum(axis=1)
     norm_q = (queries.astype(np.float64) ** 2).sum(axis=1)
+    if float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1]) < 2**53:
+        vectors, queries = vectors.astype(np.float64), queries.astype(np.float64)
+    pivots = np.ascontiguousarray(far.T)
     out_q, out_id, out_s = [], [], []
     for at in range(0, len(queries), step := max(1, AT_ONCE // max(1, len(ids)))):
         part = slice(at, at + step)
         gap = np.zeros((len(queries[part]), len(ids)))
+        one = np.empty_like(gap)
         for p in range(far.shape[1]):
-            np.maximum(gap, np.abs(query_far[part, p, None] - far[None, :, p]), out=gap)
+            np.subtract(query_far[part, p, None], pivots[p], out=one)
+            np.maximum(gap, np.abs(one, out=one), out=gap)
         size = norm_q[part, None] + norm_x[None, :]
         most = (size - gap**2) / 2 + 1 + 1e-9 * size
         for j in range(len(gap)):
@@ -80,8 +84,12 @@ def search_block(query_ids, queries, query_far, ids, vectors, far, k: int) -> tu
                     now, left = left[cut_at[:take]], left[cut_at[take:]]
                 else:
                     now, left = left, left[:0]
-                got_i = np.concatenate([got_i, now])
-                got_s = np.concatenate([got_s, _products(vectors[now], queries[at + j])])
+                # Without a copy of the rows where many of the block's are left.
+                new = _products(vectors, queries[at + j])[now] if 4 * len(now) > len(ids) else _products(vectors[now], queries[at + j])
+                if len(new) > k:
+                    least = np.partition(new, len(new) - k)[len(new) - k]
+                    now, new = now[new >= least], new[new >= least]
+                got_i, got_s = np.concatenate([got_i, now]), np.concatenate([got_s, new])
                 best = np.lexsort((got_i, -got_s))[:k]
                 got_i, got_s = got_i[best], got_s[best]
                 if len(got_s) == k:
