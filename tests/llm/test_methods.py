@@ -84,6 +84,43 @@ def test_colliding_chunks_are_told_apart(spark):
     assert {r["k_id"]: r["also"] for r in got} == {1: [0], 2: [0], 3: None}
 
 
+def test_every_line_of_a_repeated_passage_goes(spark):
+    draw = random.Random(6)
+    fresh = lambda: "own " + " ".join(str(draw.randrange(10**9)) for _ in range(6))
+    rows, n = [], 0
+    for size in (2, 3, 4, 6, 20):
+        for _ in range(12):
+            passage = [f"passage {n} line {i}" + "\n" * (draw.random() < 0.2) for i in range(size)]
+            for _ in range(3):
+                rows.append((len(rows), "\n".join([fresh(), *passage, fresh(), f"lone {n}", fresh()]), "en", "s", 0))
+            n += 1
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, rows), passages=True).collect()}
+    for i, text, *_ in rows:
+        lines = [x for x in text.split("\n") if x]
+        left = lines if i % 3 == 0 else [x for x in lines if not x.startswith("passage")]
+        assert [x for x in got[i]["text"].split("\n") if x] == left
+        assert got[i]["removed_chunks"] == (i % 3 > 0) and got[i]["removed_chars"] == len(text) - len(got[i]["text"])
+
+
+def test_repeated_passages_equal_brute_force(spark):
+    draw = random.Random(8)
+    rows = [(i, "\n".join(draw.choice(["", "a b", "c", "d e", " ", "f", "g " * 50, "h"]) for _ in range(draw.randrange(1, 7))), "en", "s", 0) for i in range(150)] + [(900, "z z\nz z\nz z\nz z", "en", "s", 0)]
+    seen, want = set(), {}
+    for i, text, *_ in rows:
+        lines, dead, here = text.split("\n"), set(), {}
+        at = [k for k, x in enumerate(lines) if x.split()]
+        units = sorted([(a, b, (lines[a], lines[b])) for a, b in zip(at, at[1:], strict=False)] + [(a, a, (lines[a],)) for a in at if len(lines[a].split()) >= 50])
+        for a, b, x in units:
+            if x in seen:
+                dead.update(k for k in range(a, b + 1) if k not in here.get(x, ()))
+            else:
+                seen.add(x)
+                here[x] = {a, b}
+        want[i] = "\n".join(x for k, x in enumerate(lines) if k not in dead)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows), passages=True).collect()} == want
+    assert want[900] == "z z\nz z"
+
+
 # Quality classifier
 
 

@@ -6,6 +6,10 @@ no boundary further on. A line of ``long_line`` words or more is a chunk of its
 in several. Chunks of two lines with words or more, and long lines, that occur more than once in the whole table (other documents or the same
 one) are removed but for the first occurrence, by (id, hash of the text, place).
 
+With ``passages`` the units are not chunks but pairs of lines with words that follow each other (blank lines between them aside) and
+long lines, so that a passage's units depend on its own lines alone: of a passage of two lines or more that occurred before, every
+line goes, whatever stands around it. The first occurrence of every line in a unit stays.
+
 Equal hashes only nominate: the bytes of all nominated chunks are compared (smallest and largest text of each hash, merged before
 the shuffle), and chunks whose hashes collide are told apart by their bytes.
 
@@ -51,24 +55,41 @@ def chunks(text: str | None, divisor: int = 2, long_line: int = 50) -> list[tupl
     return out
 
 
-def _of(text: str | None, how: tuple) -> list[tuple[int, bytes]]:
-    """Place and bytes of each chunk that may be removed."""
+def pairs(text: str | None, long_line: int = 50) -> list[tuple[int, int, int, bytes]]:
+    """Units of a text as (place, first line, line after the last, bytes): neighbouring lines with words at even places, long lines at odd ones."""
+    lines = blob(text).split(b"\n")
+    worded = [(i, n) for i, n in enumerate(len(x.split()) for x in lines) if n]
+    out = []
+    for at, (i, n) in enumerate(worded):
+        if at + 1 < len(worded):
+            j = worded[at + 1][0]
+            out.append((2 * i, i, j + 1, lines[i] + b"\n" + lines[j]))
+        if n >= long_line:
+            out.append((2 * i + 1, i, i + 1, lines[i]))
+    return out
+
+
+def _of(text: str | None, how: tuple) -> list[tuple[int, int, int, bytes]]:
+    """Place, first line, line after the last and bytes of each unit that may be removed."""
     if not text:
         return []
+    *sizes, passages = how
+    if passages:
+        return pairs(text, sizes[1])
     lines = blob(text).split(b"\n")
-    return [(i, b"\n".join(lines[a:b])) for i, (a, b, counts) in enumerate(chunks(text, *how)) if counts]
+    return [(i, a, b, b"\n".join(lines[a:b])) for i, (a, b, counts) in enumerate(chunks(text, *sizes)) if counts]
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = 2, long_line: int = 50) -> DataFrame:
-    """``docs`` with repeated chunks cut out of the text, and ``removed_chunks``, ``removed_lines``, ``removed_chars``."""
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = 2, long_line: int = 50, passages: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks (with ``passages``: runs of lines) cut out of the text, and ``removed_chunks``, ``removed_lines``, ``removed_chars``."""
     small_batches(docs.sparkSession)
-    how = (divisor, long_line)
+    how = (divisor, long_line, passages)
     key = ["no_id", "k_id", "th"]
 
     @F.pandas_udf("array<struct<place:int,h:long>>")
     def hashed(texts: pd.Series) -> pd.Series:
         sign = lambda x: x - (1 << 64) if x >> 63 else x
-        return pd.Series([[(i, sign(xxhash.xxh64_intdigest(b))) for i, b in _of(t, how)] for t in texts], dtype=object)
+        return pd.Series([[(i, sign(xxhash.xxh64_intdigest(x))) for i, _, _, x in _of(t, how)] for t in texts], dtype=object)
 
     t = F.col(f"row.`{text_col}`")  # the text is held once
     whole = docs.select(
@@ -88,7 +109,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for t, named in zip(texts, cs, strict=True):
             h = {c["place"]: c["h"] for c in named}
-            out.append([(i, h[i], b) for i, b in _of(t, how) if i in h])
+            out.append([(i, h[i], x) for i, _, _, x in _of(t, how) if i in h])
         return pd.Series(out, dtype=object)
 
     texts = joined.where("cs is not null").select(*key, F.explode(shown(t, "cs")).alias("c")).select(*key, "c.*")
@@ -104,14 +125,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             if not gone:
                 out.append((t, 0, 0, 0))
                 continue
-            lines, left, n = t.split("\n"), [], 0
-            for i, (a, b, _) in enumerate(chunks(t, *how)):
+            lines, dead, before = t.split("\n"), set(), {}
+            for i, a, b, x in _of(t, how):
                 if i in gone:
-                    n += b - a
-                else:
-                    left += lines[a:b]
-            new = "\n".join(left)
-            out.append((new, len(gone), n, len(t) - len(new)))
+                    # Of lines that are all alike the first two are the first occurrence, which the second pair overlaps.
+                    dead.update(range(before[x] if before.get(x, 0) > a else a, b))
+                elif passages:
+                    before[x] = b
+            new = "\n".join(x for i, x in enumerate(lines) if i not in dead)
+            runs = sum(i - 1 not in dead for i in dead) if passages else len(gone)
+            out.append((new, runs, len(dead), len(t) - len(new)))
         return pd.DataFrame(out, columns=["text", "removed_chunks", "removed_lines", "removed_chars"])
 
     done = joined.select("row", stripped(t, "cs", "also").alias("s"))

@@ -21,7 +21,7 @@ URL_RULES = [
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    done = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), passages=True)
     return done.select("doc_id", "text", "removed_chunks", "removed_lines", "removed_chars")
 
 
