@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from tracelens.functions import columns as C
 from tracelens.operators.graph import components, cut
 
-CATEGORIES = ("cluster_name", "queue", "kind")
+CATEGORIES = ("cluster_name", "queue", "kind", "base")
 NUMBERS = ("cpu_num", "gpu_num", "hour", "weekday")
 
 
-def clusters(jobs: DataFrame, eps: float = 0.3, least: int = 3) -> DataFrame:
+def clusters(jobs: DataFrame, eps: float = 0.3, least: int = 3, names: bool = True) -> DataFrame:
     """Rows (job_id, cluster) of jobs without a user; a cluster is named by its smallest job, jobs outside all have null.
 
-    Density clustering of standardised numbers inside equal categories (a difference in a category alone exceeds ``eps``). Equal
+    Density clustering of standardised numbers inside equal categories (a difference in a category alone exceeds ``eps``): hashes of the
+    whole command and of the base name (without ``names`` the latter is left out), the queue and the cluster. Equal
     vectors are one node with a weight. Nodes meet over grid cells of side ``eps``: the numbers are whole, so a cell holds a bounded number of
     different vectors, however many jobs have them. A node whose neighbourhood weighs ``least`` or more is core; core nodes within ``eps`` are
     linked; other nodes near a core take the smallest cluster.
     """
+    whole = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
     x = jobs.where("user_id is null").select(
-        "job_id", "cluster_name", "queue", F.coalesce(F.substring("command", 1, 5), F.lit("")).alias("kind"), F.col("cpu_num").cast("long"), F.col("gpu_num").cast("long"),
+        "job_id", "cluster_name", "queue", whole(F.col("command")).alias("kind"), whole(C.base_name("job_name") if names else F.lit("")).alias("base"), F.col("cpu_num").cast("long"), F.col("gpu_num").cast("long"),
         F.coalesce(F.hour("submit_time"), F.lit(12)).cast("long").alias("hour"), F.coalesce(F.weekday("submit_time"), F.lit(1)).cast("long").alias("weekday"),
     )
     stats = x.agg(*[f(c).alias(f"{n}_{c}") for c in NUMBERS for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()  # eight numbers

@@ -257,7 +257,7 @@ _add("cls_group_distributed", lambda t: classify.groups(t.jobs, 7200), f"""SELEC
     (SELECT job_id, regexp_replace(job_name, '_?[0-9]+$', '') AS base, coalesce(user_id, '') AS u, submit_time, gpu_num, cpu_num FROM {_HN} WHERE submit_time IS NOT NULL AND ({_DIST})) WINDOW w AS (PARTITION BY base, u ORDER BY submit_time, job_id))) GROUP BY base, u, grp""")
 _add("cls_kw_affinity", lambda t: classify.word_affinity(t.jobs), "SELECT word, CAST(sum(s) AS BIGINT) AS net, round(greatest(0, least(1, 0.5::DOUBLE + 0.1::DOUBLE * sum(s))), 6) AS affinity FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(command), '[a-z0-9_-]{3,}'))) AS word, CASE WHEN gpu_num > 0 THEN 1 ELSE -1 END AS s FROM jobs) GROUP BY 1")
 
-_add("inf_cluster", lambda t: inference.clusters(t.jobs), """SELECT * FROM (WITH RECURSIVE x AS (SELECT job_id, cluster_name, queue, coalesce(substring(command, 1, 5), '') AS kind, cpu_num, gpu_num, coalesce(hour(submit_time), 12) AS h, coalesce(isodow(submit_time) - 1, 1) AS d FROM jobs WHERE user_id IS NULL),
+_add("inf_cluster", lambda t: inference.clusters(t.jobs, names=False), """SELECT * FROM (WITH RECURSIVE x AS (SELECT job_id, cluster_name, queue, coalesce(substring(command, 1, 5), '') AS kind, cpu_num, gpu_num, coalesce(hour(submit_time), 12) AS h, coalesce(isodow(submit_time) - 1, 1) AS d FROM jobs WHERE user_id IS NULL),
     z AS (SELECT *, (cpu_num - avg(cpu_num) OVER ()) / stddev_pop(cpu_num) OVER () AS z0, (gpu_num - avg(gpu_num) OVER ()) / stddev_pop(gpu_num) OVER () AS z1, (h - avg(h) OVER ()) / stddev_pop(h) OVER () AS z2, (d - avg(d) OVER ()) / stddev_pop(d) OVER () AS z3 FROM x),
     p AS (SELECT a.job_id AS a, b.job_id AS b FROM z a JOIN z b ON a.cluster_name = b.cluster_name AND a.queue = b.queue AND a.kind = b.kind AND (a.z0 - b.z0) ** 2 + (a.z1 - b.z1) ** 2 + (a.z2 - b.z2) ** 2 + (a.z3 - b.z3) ** 2 <= 0.3::DOUBLE * 0.3::DOUBLE),
     core AS (SELECT a AS k FROM p GROUP BY a HAVING count(*) >= 3),
