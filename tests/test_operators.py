@@ -56,6 +56,17 @@ def test_hosts(spark, text, want):
     assert spark.createDataFrame([(text,)], "h string").select(C.hosts("h")).first()[0] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("node[001-003]", ["node001", "node002", "node003"]), ("node[098-100]", ["node098", "node099", "node100"]), ("p[8-11]", ["p8", "p9", "p10", "p11"]), ("cpu1-103-104", ["cpu1-103", "cpu1-104"]), ("cpu1-9-7", ["cpu1-9-7"]),
+        ("p[1-3", ["p1", "p2", "p3"]), ("p[1,3-4", ["p1", "p3", "p4"]), ("p[1-2+q-[3,4]", ["p1", "p2", "q-3", "q-4"]), ("p[1-2,q-7", ["p1", "p2", "q-7"]), ("p[1, 3-4]", ["p1", "p3", "p4"]), ("p[x]", ["px"]), ("p[99999999999999999999-1]", ["p99999999999999999999-1"]),
+    ],
+)
+def test_host_ranges(spark, text, want):
+    assert spark.createDataFrame([(text,)], "h string").select(C.hosts("h")).first()[0] == want
+
+
 def test_long_job_keeps_all_its_hours(spark):
     jobs = spark.createDataFrame([job(1, sub="2022-01-01", start="2022-01-01", end="2024-01-01", hosts="new-1"), job(2, start="2024-01-01T05:30:00", end="2024-01-01T07:00:00", hosts="cpu1-1"), job(3, start="2024-01-01", end="2024-01-01", hosts="cpu1-1")], JOB)
     tel = spark.createDataFrame([("cpu1-1", "cpu_total", datetime(2024, 1, 1, 6, 10), 5.0)], "server string, metric string, ts timestamp_ntz, value double")

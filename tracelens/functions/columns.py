@@ -34,26 +34,31 @@ def job_type(gpus: str) -> Column:
 
 
 def hosts(text: str) -> Column:
-    """Hosts of a host list, lower-cased and once each: JSON ``nodes``, ``+`` and comma lists, and brackets of numbers and ranges.
+    """Hosts of a host list, lower-cased and once each: JSON ``nodes``, ``+`` and comma lists, brackets of numbers and ranges, also unclosed, and ``cpu1-103-104``.
+    Numbers of a range are as wide as its lower bound is written.
 
     Every form is an expression on the row: nothing is collected and no distinct list of texts is joined back.
     """
     raw = F.col(text)
     from_json = F.from_json(F.get_json_object(raw, "$.nodes"), "array<string>")
-    parts = F.when(raw.startswith("{"), from_json).otherwise(F.regexp_extract_all(raw, F.lit(r"([^\s+,\[\]]+(?:\[[^\]]*\])?)"), F.lit(1)))
+    parts = F.when(raw.startswith("{"), from_json).otherwise(F.regexp_extract_all(raw, F.lit(r"([^\s+,\[\]]+(?:\[[^\[\]+]*\]|\[(?:[^\[\]\s+,]|,(?=\d))*)?)"), F.lit(1)))
     spread = F.flatten(F.transform(parts, _spread))
     return F.array_distinct(F.transform(F.filter(spread, lambda h: h != ""), F.lower))
 
 
 def _spread(part: Column) -> Column:
     prefix = F.regexp_extract(part, r"^([^\[]*)", 1)
-    inner = F.regexp_extract(part, r"\[([^\]]*)\]", 1)
+    inner = F.regexp_extract(part, r"\[([^\]]*)", 1)
+    dashes = r"^([a-zA-Z]+\d*-)(\d+-\d+)$"
 
-    def item(x: Column) -> Column:
-        a, b = F.regexp_extract(x, r"^(\d+)", 1).cast("int"), F.regexp_extract(x, r"(\d+)$", 1).cast("int")
-        return F.when(x.rlike(r"^\d+-\d+$") & (a <= b), F.transform(F.sequence(a, F.greatest(a, b)), lambda i: F.concat(prefix, i.cast("string")))).otherwise(F.array(F.concat(prefix, x)))
+    def item(prefix: Column, x: Column) -> Column:
+        low, high = F.regexp_extract(x, r"^(\d+)", 1), F.regexp_extract(x, r"(\d+)$", 1)
+        a, b = low.try_cast("long"), high.try_cast("long")
+        wide = lambda i: F.lpad(i.cast("string"), F.greatest(F.length(low), F.length(i.cast("string"))), F.lit("0"))
+        return F.when(x.rlike(r"^\d+-\d+$") & (a <= b), F.transform(F.sequence(a, F.greatest(a, b)), lambda i: F.concat(prefix, wide(i)))).otherwise(F.array(F.concat(prefix, x)))
 
-    return F.when(part.contains("["), F.flatten(F.transform(F.split(inner, ","), item))).otherwise(F.array(part))
+    listed = F.flatten(F.transform(F.split(inner, ","), lambda x: item(prefix, F.trim(x))))
+    return F.when(part.contains("["), listed).when(part.rlike(dashes), item(F.regexp_extract(part, dashes, 1), F.regexp_extract(part, dashes, 2))).otherwise(F.array(part))
 
 
 def subcluster(host: Column) -> Column:

@@ -171,6 +171,10 @@ _BINS = ([0.0, 1, 4, 8, 16, 64], ["1", "2-4", "5-8", "9-16", "17-64"])
 _add("prj_bucket", lambda t: t.jobs.select("job_id", C.right_closed(F.col("gpu_num"), *_BINS).alias("bin")), "SELECT job_id, CASE WHEN gpu_num <= 0 THEN NULL WHEN gpu_num <= 1 THEN '1' WHEN gpu_num <= 4 THEN '2-4' WHEN gpu_num <= 8 THEN '5-8' WHEN gpu_num <= 16 THEN '9-16' WHEN gpu_num <= 64 THEN '17-64' END AS bin FROM jobs")
 _add("prj_is_gpu", lambda t: t.jobs.select("job_id", ((F.coalesce("gpu_num", F.lit(0)) > 0) | F.coalesce(F.lower("exec_hosts").contains("gpu"), F.lit(False))).alias("is_gpu")), "SELECT job_id, coalesce(gpu_num, 0) > 0 OR coalesce(contains(lower(exec_hosts), 'gpu'), false) AS is_gpu FROM jobs")
 _add("fn_hosts_parse", lambda t: t.jobs.select("job_id", F.explode(C.hosts("exec_hosts")).alias("host")), "SELECT job_id, host FROM hosts WHERE host IS NOT NULL")
+_add("fn_range_expand", lambda t: t.jobs.withColumn("n", 7 + F.col("job_id") % 4).selectExpr("job_id", """CASE job_id % 5 WHEN 0 THEN concat('node[', lpad(n, 3, '0'), '-', lpad(n + 2, 3, '0'), ']') WHEN 1 THEN concat('cpu1-', n, '-', n + 1)
+    WHEN 2 THEN concat('p[', n, '-', n + 2) WHEN 3 THEN concat('p[0', n, ', ', n, '-', n + 1, ']') END AS form""").select("job_id", F.explode(C.hosts("form")).alias("host")), """SELECT job_id, unnest(CASE job_id % 5
+    WHEN 0 THEN [format('node{:03d}', n), format('node{:03d}', n + 1), format('node{:03d}', n + 2)] WHEN 1 THEN ['cpu1-' || n, 'cpu1-' || (n + 1)] WHEN 2 THEN ['p' || n, 'p' || (n + 1), 'p' || (n + 2)]
+    WHEN 3 THEN ['p0' || n, 'p' || n, 'p' || (n + 1)] END) AS host FROM (SELECT job_id, 7 + job_id % 4 AS n FROM jobs)""")
 _add("fn_node_counts", lambda t: sampling.host_counts(t.jobs), """SELECT j.job_id, count(host) AS hosts, count(*) FILTER (host LIKE 'cpu%') AS cpu_hosts, count(*) FILTER (host LIKE 'gpu%') AS gpu_hosts, CASE WHEN count_if(host LIKE 'cpu%') > 0 AND count_if(host LIKE 'gpu%') > 0 THEN 'mixed' WHEN count_if(host LIKE 'gpu%') > 0 THEN 'gpu' WHEN count_if(host LIKE 'cpu%') > 0 THEN 'cpu' ELSE 'unknown' END AS kind
     FROM jobs j LEFT JOIN hosts h ON h.job_id = j.job_id GROUP BY 1""")
 _SUB = "upper(regexp_replace(host, '-.*', ''))"
