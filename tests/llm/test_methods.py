@@ -237,6 +237,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["text"] for r in simhash.drop_near_duplicates(frame(spark, nulls)).collect()) == ["a b c", "q w e r"]
 
 
+def test_components_that_share_an_id_each_keep_a_row(spark):
+    rows = [(1, "same text here now", "en", "s", 0), (1, "another thing at all", "en", "s", 0), (5, "same text here now", "en", "s", 0), (6, "another thing at all", "en", "s", 0)]
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == [(1, "another thing at all"), (1, "same text here now")]
+    words = [f"w{i}" for i in range(400)]
+    edits = [" ".join([*words[:i], "new", *words[i + 1 :]]) for i in range(400)]
+    near = next(t for t in edits if 0 < (simhash.simhash(t.encode()) ^ simhash.simhash(" ".join(words).encode())).bit_count() <= 2)
+    nulls = [(None, t, "en", "s", 0) for t in (" ".join(words), near, "q w e r")]
+    assert simhash.drop_near_duplicates(frame(spark, nulls)).count() == 2
+
+
 # SentencePiece
 
 

@@ -110,12 +110,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def classes(marked: DataFrame, id_col: str, bits: int = 2) -> DataFrame:
-    """Rows (fp, component_id), one for each distinct fingerprint."""
+    """Rows (fp, root, component_id), one for each distinct fingerprint; root is the smallest fingerprint of the component."""
     prints = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(links(prints.select("fp"), bits))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def hex_print(column: str) -> Column:
@@ -127,12 +127,12 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """``docs`` without the near copies: of each component the row with the smallest id stays (null ids last), one row among equal ids.
 
     The row that stays is chosen by a hash of its text where ids are equal. Only ids and fingerprints are shuffled: the choice is
-    made over (component, id, text hash) and joined back to the rows by these.
+    made over (root, id, text hash), as components may share an id, and joined back to the rows by these.
     """
     small_batches(docs.sparkSession)
     marked = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), fingerprint(text_col, words).alias("fp")))
     in_class = marked.join(classes(marked, "id", bits), "fp")
-    stays = in_class.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("m"))
+    stays = in_class.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("m"))
     stays = stays.select("m.no_id", F.coalesce("m.id", F.lit(0)).alias("k_id"), "m.th").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.lit(0)).alias("k_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
     met = rows.join(stays, ["no_id", "k_id", "th"], "left_semi")
