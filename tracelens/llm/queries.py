@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm import exact_topk, html_extraction, line_dedup, line_rules, mixing, ngram_lm, oracles, quality_classifier, sentencepiece_codec, simhash, url_filter
+from tracelens.llm import exact_topk, html_extraction, language_id, line_dedup, line_rules, merkle, mixing, ngram_lm, oracles, quality_classifier, sentencepiece_codec, simhash, spelling, url_filter
 from tracelens.llm.common import crc32_mod, read
 
 #: A SentencePiece model of a public tokenizer.
@@ -74,6 +74,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, fields=["doc_id", "source", "lang", "n_chars", "text"], tampered=crc32_mod("doc_id", 5) == 0)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False))
+    model = language_id.fit(docs.where(~held_out), PIECES)
+    found = docs.select("doc_id", held_out.alias("held_out"), language_id.identify(model, docs).alias("j"))
+    return found.select("doc_id", "held_out", F.col("j.lang").alias("lang_pred"), F.col("j.score").alias("score"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(read(spark, sf_dir, "documents"), misspell=97)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +106,9 @@ QUERIES = {
         op8_mixing,
         op9_exact_topk,
         op10_lm_scoring,
+        op11_merkle,
+        op12_language_id,
+        op13_spelling,
     )
 }
 #: The other queries rest on hashes, models or parsers that SQL has not; tests/llm holds them against brute force.
