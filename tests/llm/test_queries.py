@@ -34,4 +34,4 @@ def test_query_gives_every_row(spark, name):
 
 def test_all_are_registered():
     found = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in found if n.startswith("op")} and "pipeline" in found
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in found if n.startswith("op")} and "pipeline" in found

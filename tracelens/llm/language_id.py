@@ -201,7 +201,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 if len(held) > KNOWN:
                     yield _counter(held)
                     held.clear()
-        yield _counter(held)
+        if held:
+            yield _counter(held)
 
     return rows.mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 

@@ -117,4 +117,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_mixing": oracles.MIXING,
     "op9_exact_topk": oracles.TOP_K,
     "op10_lm_scoring": oracles.LANGUAGE_MODEL,
+    "op11_merkle": oracles.MERKLE,
+    "op13_spelling": oracles.SPELLING,
 }

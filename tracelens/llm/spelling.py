@@ -74,7 +74,8 @@ def vocabulary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 if len(held) > KNOWN:
                     yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                     held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
@@ -237,8 +238,8 @@ def neighbours(words: DataFrame, limit: int = FILTER_BYTES) -> DataFrame:
             for b in batches:
                 some = b["word"].tolist()
                 hits = list(held.value.edits(some))
-                n = b["n"].to_numpy()
-                yield pd.DataFrame({"word": [some[i] for i, _ in hits], "n": [int(n[i]) for i, _ in hits], "near": [e for _, e in hits]}).astype({"n": "int64"})
+                if hits:
+                    yield pd.DataFrame({"word": [some[i] for i, _ in hits], "n": b["n"].to_numpy()[[i for i, _ in hits]], "near": [e for _, e in hits]})
 
         some = words.mapInPandas(probed, "word string, n long, near string")
         found = some if found is None else found.unionAll(some)
