@@ -16,6 +16,11 @@ def seconds(a: str, b: str) -> Column:
     return F.timestamp_diff("SECOND", F.col(a), F.col(b))
 
 
+def hour_number(at: str) -> Column:
+    """Hours since 1970 of a time without zone."""
+    return F.timestamp_diff("HOUR", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(at))
+
+
 def state(code: str, exit_status: str) -> Column:
     """Job state: by scheduler name, else by exit status."""
     out = F.when(F.col(exit_status) == 0, "COMPLETED").when(F.col(exit_status) >= 128, "CANCELLED").otherwise("FAILED")

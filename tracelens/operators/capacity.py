@@ -110,22 +110,28 @@ def by_command(jobs: DataFrame, t: DataFrame) -> DataFrame:
     return got.agg(F.count("*").alias("jobs"), F.round(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), 5).alias("mean_cpu"), F.round(F.avg("cpu_num"), 6).alias("mean_request"))
 
 
+#: Readings that job hours are set against, and their short names.
+METRICS = {"cpu_total": "cpu", "gpu_util": "gpu", "load_1min": "load", "power": "power"}
+
+
 def by_user(jobs: DataFrame, t: DataFrame) -> DataFrame:
-    """Per user: jobs with readings and mean use in their hours."""
-    h = telemetry.job_hours(jobs, t).where("not all_null").join(jobs.where("user_id is not null").select("job_id", "user_id"), "job_id")
-    return h.groupBy("user_id").agg(F.count_distinct("job_id").alias("jobs"), *[F.round(F.avg(c) + 1e-9, 4).alias(k) for c, k in (("cpu_total", "cpu"), ("gpu_util", "gpu"), ("power", "power"))])
+    """Per user: jobs with readings, mean use in their hours, and mean request over the same hours."""
+    h = telemetry.job_hours(jobs, t).where("not all_null").join(jobs.where("user_id is not null").select("job_id", "user_id", "cpu_num", "gpu_num"), "job_id")
+    return h.groupBy("user_id").agg(
+        F.count_distinct("job_id").alias("jobs"), *[exact.exact_mean(F.col(c), 4).alias(k) for c, k in METRICS.items()],
+        F.round(F.sum("cpu_num") / F.count("cpu_num"), 6).alias("cpus_asked"), F.round(F.sum("gpu_num") / F.count("gpu_num"), 6).alias("gpus_asked"),
+    )
 
 
 def hourly(jobs: DataFrame, t: DataFrame) -> DataFrame:
     """Per subcluster and hour: distinct jobs and mean readings."""
     h = telemetry.job_hours(jobs, t).where("not all_null").withColumn("subcluster", C.subcluster(F.col("server")))
-    return h.groupBy("subcluster", "hour").agg(F.count_distinct("job_id").alias("jobs"), F.round(F.avg("cpu_total") + 1e-9, 5).alias("cpu"))
+    return h.groupBy("subcluster", "hour").agg(F.count_distinct("job_id").alias("jobs"), *[exact.exact_mean(F.col(c), 5).alias(k) for c, k in METRICS.items()])
 
 
 def fit(jobs: DataFrame, t: DataFrame) -> DataFrame:
-    """Least-squares line of mean CPU use over jobs per hour, by subcluster."""
-    x = hourly(jobs, t).where("cpu is not null")
-    return x.groupBy("subcluster").agg(F.count("*").alias("n"), F.round(F.regr_slope("cpu", "jobs"), 4).alias("slope"), F.round(F.regr_intercept("cpu", "jobs"), 4).alias("intercept"))
+    """Least-squares line and correlation of each metric's hourly mean over the hour's jobs, by subcluster."""
+    return exact.co_moments(hourly(jobs, t), ["subcluster"], "jobs", list(METRICS.values()))
 
 
 def efficiency(jobs: DataFrame, t: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
-from tracelens.operators import cleaning, exact
+from tracelens.operators import cleaning, exact, scan
+from tracelens.operators.graph import cut
 
 # Host patterns of the second generation and of management nodes, with weights.
 NODES = [(r"^gpu[0-9]-", 2.0), (r"bigmem-", 1.5)]
@@ -123,31 +124,59 @@ def overview(jobs: DataFrame) -> DataFrame:
 
 
 def intervals(jobs: DataFrame, least: int = 10) -> DataFrame:
-    """Seconds between a user's submissions where there are ``least`` or more: number, mean, median."""
-    step = C.seconds("_l", "submit_time")
-    x = jobs.where("user_id is not null and submit_time is not null").withColumn("_l", F.lag("submit_time").over(Window.partitionBy("user_id").orderBy("submit_time", "job_id"))).withColumn("step", step).where("step is not null")
-    s = x.groupBy("user_id").agg((F.count("*") + 1).alias("n"), F.round(F.avg("step"), 6).alias("mean")).where(F.col("n") >= least)
-    return s.join(exact.wide_quantiles(x, ["user_id"], "step", {"median": 0.5}, 3600), "user_id")
+    """Seconds between a user's submissions where there are ``least`` or more: number, mean, deviation, median.
+
+    The submission before is carried over a user's hours, so that no task holds a user's history.
+    """
+    known = jobs.where("user_id is not null and submit_time is not null").select("user_id", "submit_time", "job_id")
+    x = scan.beside(known, ["user_id"], C.hour_number("submit_time"), ["submit_time", "job_id"], {"_l": F.col("submit_time")}).withColumn("step", C.seconds("_l", "submit_time")).where("step is not null")
+    s = x.groupBy("user_id").agg((F.count("*") + 1).alias("n"), F.round(F.avg("step"), 6).alias("mean"), F.round(F.stddev_samp("step"), 4).alias("std")).where(F.col("n") >= least)
+    return s.join(exact.wide_quantiles(x, ["user_id"], "step", {"median": 0.5}), "user_id")
+
+
+def anchors(times: DataFrame, key: list[str], gap: int) -> DataFrame:
+    """``times`` (distinct key, at) that begin a group: the first of each key, and from each beginning the first time more than ``gap`` seconds after it.
+
+    Every time points to the first one more than ``gap`` seconds after it. Marks run along the pointers from each key's first time; pointers
+    double every round, so that the rounds are the logarithm of the longest chain. One number a round reaches the driver.
+    """
+    later = F.col("at") + F.make_dt_interval(secs=F.lit(float(gap)))
+    asked = times.select(*key, F.col("at").alias("own"), later.alias("at"), F.lit(1).alias("tag"))
+    stream = times.select(*key, F.col("at").alias("own"), "at", F.lit(0).alias("tag")).unionByName(asked)
+    # A question comes behind a time equal to it, so that only later ones answer.
+    met = scan.known(stream, key, C.hour_number("at"), ["at", "tag"], {"next": F.col("at")}, F.col("tag") == 0, after=True).where("tag = 1")
+    first = times.groupBy(*key).agg(F.min("at").alias("at")).withColumn("mark", F.lit(True))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
+    on = same("n", "f")
+    joined = met.select(*key, F.col("own").alias("at"), "next").alias("n").join(first.alias("f"), [*on, F.col("n.at") == F.col("f.at")], "left")
+    nodes = cut(joined.select(*[F.col(f"n.{k}") for k in key], "n.at", "n.next", F.coalesce("f.mark", F.lit(False)).alias("mark")))
+    while nodes.where("next is not null").limit(1).count():
+        hit = nodes.where("mark and next is not null").select(*key, F.col("next").alias("at")).distinct()
+        jump = nodes.select(*key, "at", F.col("next").alias("further"))
+        n = nodes.alias("n").join(hit.withColumn("hit", F.lit(True)).alias("h"), [*same("n", "h"), F.col("n.at") == F.col("h.at")], "left")
+        n = n.join(jump.alias("j"), [*same("n", "j"), F.col("n.next") == F.col("j.at")], "left")
+        nodes = cut(n.select(*[F.col(f"n.{k}") for k in key], "n.at", F.col("j.further").alias("next"), (F.col("n.mark") | F.coalesce("h.hit", F.lit(False))).alias("mark")))
+    return nodes.where("mark").select(*key, "at")
 
 
 def groups(jobs: DataFrame, gap: int = 300) -> DataFrame:
-    """Distributed jobs of one base name and user, submitted no more than ``gap`` seconds after one another, as one job.
+    """Distributed jobs of one base name, submitted at most ``gap`` seconds after their group's first job, as one job.
 
-    The gap counts from the job before, not from the group's first: an order that needs no state beyond the row before. Rows are ordered
-    inside (name, user, day); a group goes on over midnight where the day's first job follows the last one before it closely enough, which is found over
-    one row a day.
+    Its resources are the largest, its hosts the union, its ids joined in order. Rows of a group lie within ``gap`` seconds, which bounds the
+    lists. Jobs without a name are one base name of their own.
     """
-    key = ["base", "user_id"]
-    x = jobs.where(is_distributed() & F.col("submit_time").isNotNull()).select("job_id", C.base_name("job_name").alias("base"), F.coalesce("user_id", F.lit("")).alias("user_id"), "submit_time", "gpu_num", "cpu_num").withColumn("day", F.to_date("submit_time"))
-    inside = Window.partitionBy(*key, "day").orderBy("submit_time", "job_id")
-    x = x.withColumn("_l", F.lag("submit_time").over(inside)).withColumn("new", (F.col("_l").isNull() | (C.seconds("_l", "submit_time") > gap)).cast("long"))
-    x = x.withColumn("n", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    days = x.groupBy(*key, "day").agg(F.min("submit_time").alias("a"), F.max("submit_time").alias("z"), F.max("n").alias("k"))
-    by_day = Window.partitionBy(*key).orderBy("day")
-    days = days.withColumn("_z", F.lag("z").over(by_day)).withColumn("joins", F.coalesce((C.seconds("_z", "a") <= gap).cast("long"), F.lit(0)))
-    days = days.withColumn("offset", F.coalesce(F.sum("k").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("joins").over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
-    numbered = x.join(days.select(*key, "day", "offset"), [*key, "day"]).withColumn("grp", F.col("n") + F.col("offset"))
-    return numbered.groupBy(*key, "grp").agg(F.count("*").alias("jobs"), F.min("submit_time").alias("first"), F.max("submit_time").alias("last"), F.max("gpu_num").alias("gpus"), F.max("cpu_num").alias("cpus"), F.min("job_id").alias("head")).drop("grp")
+    key = ["base"]
+    x = cut(jobs.where(is_distributed() & F.col("submit_time").isNotNull()).select("job_id", C.base_name("job_name").alias("base"), "user_id", F.col("submit_time").alias("at"), "gpu_num", "cpu_num", C.hosts("exec_hosts").alias("hosts")))
+    begins = anchors(x.select(*key, "at").distinct(), key, gap)
+    own = [f for f in x.schema.fields if f.name not in ("base", "at")]
+    marks = begins.select(*key, "at", F.lit(0).alias("tag"), F.lit(-1).cast("long").alias("nth"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in own])
+    stream = x.select(*key, "at", F.lit(1).alias("tag"), F.col("job_id").alias("nth"), *[f.name for f in own]).unionByName(marks)
+    placed = scan.known(stream, key, C.hour_number("at"), ["at", "tag", "nth"], {"first": F.col("at")}, F.col("tag") == 0).where("tag = 1")
+    got = placed.groupBy(*key, "first").agg(
+        F.count("*").alias("jobs"), F.count_distinct("user_id").alias("users"), F.max("at").alias("last"), F.max("gpu_num").alias("gpus"), F.max("cpu_num").alias("cpus"), F.min("job_id").alias("head"),
+        F.sort_array(F.collect_list("job_id")).alias("ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("hosts", F.array()))))).alias("hosts"),
+    )
+    return got.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).withColumn("hosts", F.array_join("hosts", ","))
 
 
 def word_affinity(jobs: DataFrame, weight: float = 0.1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
+from tracelens.operators import scan
 
 TIMES = ("submit_time", "start_time", "end_time")
 # Importance of a field, 1 to 5.
@@ -160,3 +161,16 @@ def majority(jobs: DataFrame) -> DataFrame:
     n = script_scores(jobs).join(jobs.select("job_id", "cluster_name"), "job_id").groupBy("cluster_name", "generation").agg(F.count("*").alias("n"))
     best = n.groupBy("cluster_name").agg(F.min_by("generation", F.struct(-F.col("n"), F.col("generation"))).alias("generation"), F.max("n").alias("most"), F.sum("n").alias("n"))
     return best.select("cluster_name", "generation", "n", (F.col("n") - F.col("most")).alias("others"))
+
+
+def by_sequence(jobs: DataFrame, width: int = 1000) -> DataFrame:
+    """Missing submissions between two known ones, interpolated along the job id.
+
+    The known neighbours on both sides are carried along the ids: inside buckets of ``width`` ids, and over a tree of the buckets.
+    """
+    x = jobs.select("job_id", F.unix_seconds(F.col("submit_time").cast("timestamp")).alias("s"))
+    bucket, there = F.floor(F.col("job_id") / width), F.col("s").isNotNull()
+    x = scan.known(x, [], bucket, ["job_id"], {"pj": F.col("job_id"), "ps": F.col("s")}, there)
+    x = scan.known(x, [], bucket, ["job_id"], {"nj": F.col("job_id"), "ns": F.col("s")}, there, after=True)
+    at = F.col("ps") + F.floor((F.col("ns") - F.col("ps")) * (F.col("job_id") - F.col("pj")) / (F.col("nj") - F.col("pj")))
+    return x.where("s is null and pj is not null and nj is not null").select("job_id", F.timestamp_seconds(at).cast("timestamp_ntz").alias("submit_time"))

@@ -118,7 +118,7 @@ def durations(log: DataFrame) -> DataFrame:
 
 def duration_quantiles(log: DataFrame) -> DataFrame:
     x = log.withColumn("dataset", F.when(F.col("job_id") % 2 == 0, "local").otherwise("external"))
-    return exact.wide_quantiles(x, ["dataset"], "duration", {"median": 0.5, "p95": 0.95}, 600)
+    return exact.wide_quantiles(x, ["dataset"], "duration", {"median": 0.5, "p95": 0.95})
 
 
 def host_counts(jobs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
-from tracelens.operators import exact
+from tracelens.operators import exact, scan
 
 
 def readings(raw: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def resample(t: DataFrame, every: str) -> DataFrame:
 def by_weekday(t: DataFrame) -> DataFrame:
     """Mean by metric and weekday; all seven days, null where there is no reading."""
     days = t.select("metric").distinct().withColumn("weekday", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
-    return days.join(t.groupBy("metric", F.weekday("ts").cast("long").alias("weekday")).agg(F.round(F.avg("value"), 6).alias("mean")), ["metric", "weekday"], "left")
+    return days.join(t.groupBy("metric", F.weekday("ts").cast("long").alias("weekday")).agg(exact.exact_mean(F.col("value")).alias("mean")), ["metric", "weekday"], "left")
 
 
 def hour_profile(t: DataFrame) -> DataFrame:
@@ -45,12 +45,12 @@ def group_stats(t: DataFrame) -> DataFrame:
     """Per subcluster and metric: mean, median, population deviation, extremes, servers."""
     g = t.withColumn("grp", group())
     sums = g.groupBy("grp", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_distinct("server").alias("servers"))
-    return sums.join(exact.wide_quantiles(g, ["grp", "metric"], "value", {"median": 0.5}, 5.0), ["grp", "metric"])
+    return sums.join(exact.wide_quantiles(g, ["grp", "metric"], "value", {"median": 0.5}), ["grp", "metric"])
 
 
 def server_stats(t: DataFrame) -> DataFrame:
     sums = t.groupBy("server", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"), F.round(F.stddev_samp("value"), 6).alias("std"), F.count("*").alias("n"))
-    return sums.join(exact.wide_quantiles(t, ["server", "metric"], "value", {"median": 0.5}, 5.0), ["server", "metric"])
+    return sums.join(exact.wide_quantiles(t, ["server", "metric"], "value", {"median": 0.5}), ["server", "metric"])
 
 
 def above(t: DataFrame, thresholds: tuple[float, ...] = (60.0, 80.0, 90.0)) -> DataFrame:
@@ -70,7 +70,7 @@ def power_bands(t: DataFrame, bands: tuple[float, ...] = (25.0, 50.0, 75.0)) ->
     share = lambda c: F.round(F.count_if(c) / F.count("*"), 9)
     parts = [share((v < b) if a is None else (v >= a) & (v < b)).alias(f"below_{int(b)}") for a, b in zip(lows, bands, strict=False)] + [share(v >= bands[-1]).alias("rest")]
     sums = p.groupBy("metric").agg(*parts)
-    return sums.join(exact.wide_quantiles(p, ["metric"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, 5.0), "metric")
+    return sums.join(exact.wide_quantiles(p, ["metric"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "metric")
 
 
 def clipped(t: DataFrame, most: float = 90.0) -> DataFrame:
@@ -80,7 +80,7 @@ def clipped(t: DataFrame, most: float = 90.0) -> DataFrame:
 
 def boxes(t: DataFrame) -> DataFrame:
     """Box of each metric: quartiles, whiskers within 1.5 interquartile ranges, number of readings outside."""
-    q = exact.quantiles(t, ["metric"], "value", [0.25, 0.5, 0.75], 5.0).groupBy("metric").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(k) for k, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    q = exact.quantiles(t, ["metric"], "value", [0.25, 0.5, 0.75]).groupBy("metric").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(k) for k, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
     lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= lo) & (F.col("value") <= hi)
     got = t.join(q, "metric").groupBy("metric", "q1", "q2", "q3").agg(F.min(F.when(inside, F.col("value"))).alias("low"), F.max(F.when(inside, F.col("value"))).alias("high"), F.count_if(~inside).alias("outside"))
@@ -89,7 +89,7 @@ def boxes(t: DataFrame) -> DataFrame:
 
 def top_anomalies(t: DataFrame, k: int = 20, iqrs: float = 0.5) -> DataFrame:
     """The k highest readings of each metric above the third quartile and ``iqrs`` ranges; ranked inside salts, then among survivors."""
-    q = exact.quantiles(t, ["metric"], "value", [0.25, 0.75], 5.0).groupBy("metric").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"), F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
+    q = exact.quantiles(t, ["metric"], "value", [0.25, 0.75]).groupBy("metric").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"), F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
     over = t.join(q, "metric").where(F.col("value") > F.col("q3") + iqrs * (F.col("q3") - F.col("q1"))).drop("q1", "q3")
     order = [F.desc("value"), F.col("server"), F.col("ts")]
     first = over.withColumn("_s", F.pmod(F.xxhash64("server", "ts"), F.lit(64))).withColumn("_r", F.row_number().over(Window.partitionBy("metric", "_s").orderBy(*order))).where(F.col("_r") <= k)
@@ -101,19 +101,28 @@ def envelope(t: DataFrame) -> DataFrame:
 
 
 def islands(t: DataFrame, threshold: float = 60.0, gap_hours: int = 12, least_hours: int = 1) -> DataFrame:
-    """Periods of readings above the threshold with no gap of more than ``gap_hours`` between them, of ``least_hours`` or more."""
-    w = Window.partitionBy("server").orderBy("ts", "metric")
-    high = t.where(F.col("value") > threshold).withColumn("_last", F.lag("ts").over(w))
-    new = F.coalesce((F.timestamp_diff("SECOND", F.col("_last"), F.col("ts")) > gap_hours * 3600).cast("int"), F.lit(1))
-    numbered = high.withColumn("island", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    got = numbered.groupBy("server", "island").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    """Periods of readings above the threshold with no gap of more than ``gap_hours`` between them, of ``least_hours`` or more.
+
+    The reading before and the number of islands begun are carried over a server's hours, so that no task holds its history.
+    """
+    order = ["ts", "metric"]
+    high = scan.beside(t.where(F.col("value") > threshold), ["server"], C.hour_number("ts"), order, {"_last": F.col("ts")})
+    new = F.coalesce((F.timestamp_diff("SECOND", F.col("_last"), F.col("ts")) > gap_hours * 3600).cast("long"), F.lit(1))
+    numbered = scan.running_sums(high, ["server"], C.hour_number("ts"), order, {"island": new})
+    got = numbered.groupBy("server", "island").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"), exact.exact_mean(F.col("value")).alias("mean"), F.max("value").alias("most"))
     return got.where(F.timestamp_diff("SECOND", F.col("first"), F.col("last")) >= least_hours * 3600).drop("island")
 
 
+def differences(t: DataFrame) -> DataFrame:
+    """Each reading's change from the one before of its server and metric; null for the first."""
+    x = scan.beside(t, ["server", "metric"], C.hour_number("ts"), ["ts"], {"_before": F.col("value")})
+    return x.select("server", "metric", "ts", F.round(F.col("value") - F.col("_before"), 9).alias("d"))
+
+
 def changes(t: DataFrame) -> DataFrame:
     """Changes to a server's next reading of a metric, in five bins per metric."""
-    step = F.lead("value").over(Window.partitionBy("server", "metric").orderBy("ts")) - F.col("value")
-    d = t.withColumn("d", step).where("d is not null")
+    x = scan.beside(t, ["server", "metric"], C.hour_number("ts"), ["ts"], {"_next": F.col("value")}, after=True)
+    d = x.withColumn("d", F.col("_next") - F.col("value")).where("d is not null")
     kind = F.when(F.col("d") <= -20, "much lower").when(F.col("d") <= -5, "lower").when(F.col("d") <= 5, "same").when(F.col("d") <= 20, "higher").otherwise("much higher")
     return d.groupBy("metric", kind.alias("change")).agg(F.count("*").alias("n"))
 
@@ -124,7 +133,8 @@ def idle_inverted(t: DataFrame) -> DataFrame:
 
 def wide(t: DataFrame, metrics: tuple[str, ...] = ("cpu_total", "gpu_util", "power", "load_1min", "mem_percent")) -> DataFrame:
     """One row a server and hour, one column a metric."""
-    return t.groupBy("server", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")).agg(*[F.round(F.avg(F.when(F.col("metric") == m, F.col("value"))), 6).alias(m) for m in metrics])
+    means = [exact.exact_mean(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]
+    return t.groupBy("server", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")).agg(*means)
 
 
 def busiest(t: DataFrame, k: int = 5) -> DataFrame:
@@ -150,34 +160,32 @@ def job_hosts(jobs: DataFrame) -> DataFrame:
 def job_hours(jobs: DataFrame, t: DataFrame) -> DataFrame:
     """Jobs by host and hour of their run, with the hour's readings.
 
-    A job's days are made first, then the hours inside each day, so that no row holds a long job's hours; the join is by server and
+    A job's days are made first, then the hours of its run inside each day, so that no row holds a long job's hours; the join is by server and
     hour. An hour without readings on a known server is left out, on an unknown server kept with nulls; ``all_null`` marks those.
     """
     h = job_hosts(jobs).where("start_time is not null and end_time is not null and start_time < end_time")
     days = h.withColumn("day", F.explode(F.sequence(F.to_date("start_time"), F.to_date("end_time"))))
-    hour = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("h"))
-    hours = days.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("hour", hour).where(F.date_trunc("hour", "start_time").cast("timestamp_ntz") <= F.col("hour")).where("hour < end_time")
+    first = F.when(F.to_date("start_time") == F.col("day"), F.hour("start_time")).otherwise(0)
+    # The last hour begins before the end: an end at a full hour does not count that hour.
+    last = F.when(F.to_date("end_time") == F.col("day"), F.hour("end_time") - (F.date_trunc("hour", "end_time").cast("timestamp_ntz") == F.col("end_time")).cast("int")).otherwise(23)
+    spans = days.withColumn("first", first).withColumn("last", last).where("first <= last")
+    hours = spans.withColumn("h", F.explode(F.sequence("first", "last"))).withColumn("hour", F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("h")))
     known = t.select("server").distinct().withColumn("known", F.lit(True))
     w = wide(t).withColumn("hit", F.lit(True))
     got = hours.select("job_id", "server", "hour").join(w, ["server", "hour"], "left").join(known, "server", "left")
-    return got.where("hit or known is null").select("job_id", "server", "hour", "cpu_total", "gpu_util", "power", F.col("hit").isNull().alias("all_null"))
+    return got.where("hit or known is null").select("job_id", "server", "hour", "cpu_total", "gpu_util", "load_1min", "power", F.col("hit").isNull().alias("all_null"))
 
 
 def next_readings(jobs: DataFrame, t: DataFrame, metric: str = "cpu_total") -> DataFrame:
-    """For each job and known host the first reading at or after the job's start: carried back from day to day.
+    """For each job and known host the first reading at or after the job's start.
 
-    Readings and starts meet per server and day; where a day has no reading after the start, the server's first reading of the next day
-    that has any answers. That day is found over one row a server and day.
+    Starts and readings are one stream in the order of time, starts before readings of the same time; the next reading is carried back to
+    the starts inside a (server, hour) and over a tree of the hours. Nothing is joined.
     """
-    m = t.where(F.col("metric") == metric).withColumn("day", F.to_date("ts"))
-    first = m.groupBy("server", "day").agg(F.min(F.struct("ts", "value")).alias("f"))
-    later = Window.partitionBy("server").orderBy("day")
-    starts = job_hosts(jobs).where("start_time is not null").withColumn("day", F.to_date("start_time")).select("job_id", "server", "start_time", "day")
-    grid = first.select("server", "day", "f").unionByName(starts.join(first, ["server", "day"], "left_anti").select("server", "day").distinct().withColumn("f", F.lit(None).cast(first.schema["f"].dataType)))
-    after = grid.withColumn("next", F.first("f", True).over(later.rowsBetween(1, Window.unboundedFollowing))).select("server", "day", "next")
-    same = starts.join(m.select("server", "day", "ts", "value"), ["server", "day"]).where("ts >= start_time").groupBy("job_id", "server").agg(F.min(F.struct("ts", "value")).alias("now"))
-    got = starts.join(same, ["job_id", "server"], "left").join(after, ["server", "day"], "left").withColumn("r", F.coalesce("now", "next")).where("r is not null")
-    return got.select("job_id", "server", "start_time", F.col("r.ts").alias("ts"), F.col("r.value").alias("value"))
+    starts = job_hosts(jobs).where("start_time is not null").select("server", F.col("start_time").alias("at"), F.lit(0).alias("tag"), "job_id", F.lit(None).cast("double").alias("value"))
+    stream = starts.unionByName(t.where(F.col("metric") == metric).select("server", F.col("ts").alias("at"), F.lit(1).alias("tag"), F.lit(0).cast("long").alias("job_id"), "value"))
+    met = scan.known(stream, ["server"], C.hour_number("at"), ["at", "tag", "job_id"], {"next_at": F.col("at"), "next_value": F.col("value")}, F.col("tag") == 1, after=True)
+    return met.where("tag = 0 and next_at is not null").select("job_id", "server", F.col("at").alias("start_time"), F.col("next_at").alias("ts"), F.col("next_value").alias("value"))
 
 
 def touched(jobs: DataFrame, t: DataFrame) -> DataFrame:

@@ -19,11 +19,11 @@ def basic(log: DataFrame) -> DataFrame:
     )
 
 
-def describe(log: DataFrame, value: str, width: float) -> DataFrame:
+def describe(log: DataFrame, value: str) -> DataFrame:
     """Mean, deviation, extremes and quantiles of positive values, for all, GPU and CPU jobs."""
     labelled = log.where(F.col(value) > 0).withColumn("part", F.explode(F.array(F.lit("all"), C.job_type("gpu_num"))))
     sums = labelled.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
-    return sums.join(exact.wide_quantiles(labelled, ["part"], value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}, width), "part")
+    return sums.join(exact.wide_quantiles(labelled, ["part"], value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}), "part")
 
 
 def duration_ratios(log: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def per_user(log: DataFrame) -> DataFrame:
 
 def per_user_quantiles(log: DataFrame) -> DataFrame:
     short = log.groupBy("user").agg(F.round(F.count_if(F.expr("duration <= 10")) / F.count("*"), 9).alias("short_share"), F.round(F.avg("duration"), 6).alias("mean"))
-    return short.join(exact.wide_quantiles(log, ["user"], "duration", {"q25": 0.25, "median": 0.5, "q75": 0.75}, 600), "user")
+    return short.join(exact.wide_quantiles(log, ["user"], "duration", {"q25": 0.25, "median": 0.5, "q75": 0.75}), "user")
 
 
 def type_preference(log: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
 from tracelens.operators import capacity, classify, cleaning, exact, inference, sampling, telemetry, traces, users
-from tracelens.plans.registry import _SECONDS, _TYPE, _VIEWS, _WD, _add, _burst, _log, _tel
+from tracelens.plans.registry import _SECONDS, _TYPE, _VIEWS, _WD, _add, _burst, _log, _mean, _tel
 from tracelens.sources.views import Tables
 from tracelens.streaming import series
 
@@ -20,7 +20,7 @@ def _sub(x: str) -> str:
 
 _NODES, _CORES, _GPUS = ("CASE subcluster " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in capacity.SPEC.items()) + " END" for i in range(3))
 _VIEWS["prim"] = f"SELECT job_id, arg_min(s, (-n, s)) AS subcluster, max(n) AS hosts FROM (SELECT job_id, {_sub('host')} AS s, count(*) AS n FROM hosts WHERE host IS NOT NULL GROUP BY 1, 2) GROUP BY 1"
-_VIEWS["jh"] = "SELECT DISTINCT h.job_id, h.server, h.hour, cpu_total, gpu_util, power, w.server IS NULL AS all_null FROM jobhour h LEFT JOIN wide w ON w.server = h.server AND w.hour = h.hour WHERE w.server IS NOT NULL OR h.server NOT IN (SELECT server FROM tel)"
+_VIEWS["jh"] = "SELECT DISTINCT h.job_id, h.server, h.hour, cpu_total, gpu_util, load_1min, power, w.server IS NULL AS all_null FROM jobhour h LEFT JOIN wide w ON w.server = h.server AND w.hour = h.hour WHERE w.server IS NOT NULL OR h.server NOT IN (SELECT server FROM tel)"
 _LLMW = [(w, 3) for w in cleaning.HIGH] + [(w, 2) for w in cleaning.MEDIUM] + [(w, 1) for w in cleaning.SUPPORT]
 _VIEWS["llmw"] = "SELECT *, " + " + ".join(f"CASE WHEN contains(lower(coalesce(command, '')), '{w}') AND (SELECT count(*) FROM jobs WHERE contains(lower(command), '{w}')) >= 5 THEN {s} ELSE 0 END" for w, s in _LLMW) + " AS words FROM jobs"
 _VIEWS["llmp"] = f"SELECT job_id, CASE WHEN words >= 3 THEN 'LLM' WHEN words > 0 THEN 'Non_LLM' WHEN (gpu_num >= 4)::INT + (coalesce({_SECONDS}, 0) >= 3600)::INT + (cpu_num >= 16)::INT >= 2 THEN 'LLM' ELSE 'Unknown' END AS kind, CASE WHEN words > 0 THEN 'words' ELSE 'resources' END AS how FROM llmw"
@@ -106,7 +106,7 @@ _add("jn_majority_back", lambda t: cleaning.script_scores(t.jobs).join(t.jobs.se
 _add("jn_bounds_back", lambda t: _burst(t).where("submit_time is not null").withColumn("day", F.to_date("submit_time")).join(sampling.daily_levels(_burst(t)), "day").groupBy("level").agg(F.count("*").alias("n")), "SELECT CASE WHEN n >= 1000 AND day = DATE '2024-01-14' THEN 'extreme' END AS level, n FROM days WHERE false UNION ALL SELECT level, CAST(sum(n) AS BIGINT) FROM (SELECT n, CASE WHEN n >= e THEN 'extreme' WHEN n >= s THEN 'severe' WHEN n >= 340 THEN 'moderate' ELSE 'normal' END AS level FROM days, (SELECT greatest(1000, 10 * q2, m + 5 * sd) AS e, greatest(400, q2 + 3 * (q3 - q1), m + 3 * sd) AS s FROM (SELECT quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3, avg(n) AS m, stddev_samp(n) AS sd FROM days))) GROUP BY 1")
 
 # Aggregates
-_add("ag_basic_stats_trace", lambda t: _log(t).withColumn("k", F.explode(F.array(F.lit("all")))).groupBy("k").agg(F.count("*").alias("jobs"), F.count_distinct("user").alias("users"), F.round(F.avg("gpu_num"), 6).alias("mean_gpus"), F.max("duration").alias("longest")).join(exact.wide_quantiles(_log(t).withColumn("k", F.explode(F.array(F.lit("all")))), ["k"], "duration", {"median": 0.5}, 600), "k").drop("k"), """SELECT count(*) AS jobs, count(DISTINCT "user") AS users, round(avg(gpu_num), 6) AS mean_gpus, max(duration) AS longest, round(quantile_cont(duration, 0.5), 6) AS median FROM log""")
+_add("ag_basic_stats_trace", lambda t: _log(t).withColumn("k", F.explode(F.array(F.lit("all")))).groupBy("k").agg(F.count("*").alias("jobs"), F.count_distinct("user").alias("users"), F.round(F.avg("gpu_num"), 6).alias("mean_gpus"), F.max("duration").alias("longest")).join(exact.wide_quantiles(_log(t).withColumn("k", F.explode(F.array(F.lit("all")))), ["k"], "duration", {"median": 0.5}), "k").drop("k"), """SELECT count(*) AS jobs, count(DISTINCT "user") AS users, round(avg(gpu_num), 6) AS mean_gpus, max(duration) AS longest, round(quantile_cont(duration, 0.5), 6) AS median FROM log""")
 
 
 def top_states(log: DataFrame, k: int = 2) -> DataFrame:
@@ -141,19 +141,36 @@ _add("ag_capacity_theory", lambda t: capacity.theory(_log(t)), f"SELECT {_DAYS}
 _add("ag_capacity_reco", lambda t: capacity.recommendation(t.jobs), f"SELECT subcluster, largest, round(p, 6) AS percent, CASE WHEN p > 90 THEN 'expand' WHEN p < 30 THEN 'over-provisioned' ELSE 'adequate' END AS advice FROM (SELECT subcluster, max(n) AS largest, 100 * max(n) / ({_NODES}) AS p FROM (SELECT {_sub('host')} AS subcluster, job_id, count(*) AS n FROM hosts WHERE host IS NOT NULL GROUP BY 1, 2) GROUP BY 1)")
 _add("ag_load_balance", lambda t: capacity.balance(t.jobs, _log(t)), "SELECT round(stddev_samp(share), 6) AS std, round(stddev_samp(share) / (100 / count(*)), 6) AS imbalance, arg_max(subcluster, share) AS most, arg_min(subcluster, share) AS least FROM (SELECT subcluster, 100 * x / sum(x) OVER () AS share FROM (SELECT subcluster, sum(node_num * duration / 3600) AS x FROM log JOIN prim USING (job_id) GROUP BY 1))")
 _add("ag_cpu_by_sub", lambda t: capacity.cpus_by_subcluster(t.jobs, _log(t)), f"SELECT subcluster, jobs, mean_cpus, max_cpus, CAST({_CORES} AS BIGINT) AS cores FROM (SELECT subcluster, count(*) AS jobs, round(avg(cpu_num), 6) AS mean_cpus, max(cpu_num) AS max_cpus FROM log JOIN prim USING (job_id) WHERE gpu_num = 0 GROUP BY 1)")
-_add("ag_resource_overview", lambda t: users.describe(_log(t), "gpu_num", 4.0).where("part = 'gpu'"), "SELECT part, count(*) AS n, round(avg(gpu_num), 6) AS mean, round(stddev_samp(gpu_num), 4) AS std, min(gpu_num) AS least, max(gpu_num) AS most, round(quantile_cont(gpu_num, 0.25), 6) AS p25, round(quantile_cont(gpu_num, 0.5), 6) AS p50, round(quantile_cont(gpu_num, 0.75), 6) AS p75, round(quantile_cont(gpu_num, 0.9), 6) AS p90, round(quantile_cont(gpu_num, 0.95), 6) AS p95, round(quantile_cont(gpu_num, 0.99), 6) AS p99 FROM part WHERE gpu_num > 0 AND part = 'gpu' GROUP BY 1")
+_add("ag_resource_overview", lambda t: users.describe(_log(t), "gpu_num").where("part = 'gpu'"), "SELECT part, count(*) AS n, round(avg(gpu_num), 6) AS mean, round(stddev_samp(gpu_num), 4) AS std, min(gpu_num) AS least, max(gpu_num) AS most, round(quantile_cont(gpu_num, 0.25), 6) AS p25, round(quantile_cont(gpu_num, 0.5), 6) AS p50, round(quantile_cont(gpu_num, 0.75), 6) AS p75, round(quantile_cont(gpu_num, 0.9), 6) AS p90, round(quantile_cont(gpu_num, 0.95), 6) AS p95, round(quantile_cont(gpu_num, 0.99), 6) AS p99 FROM part WHERE gpu_num > 0 AND part = 'gpu' GROUP BY 1")
 _add("ag_trace_summary", lambda t: _log(t).agg(F.lit("log").alias("name"), F.count("*").alias("n")).unionByName(traces.throughput(_log(t)).agg(F.lit("throughput").alias("name"), F.count("*").alias("n"))).unionByName(users.per_user(_log(t)).agg(F.lit("user").alias("name"), F.count("*").alias("n"))), """SELECT 'log' AS name, count(*) AS n FROM log UNION ALL SELECT 'throughput', count(DISTINCT date_trunc('hour', start_time)) FROM log UNION ALL SELECT 'user', count(DISTINCT "user") FROM log""")
 _add("ag_app_efficiency", lambda t: capacity.by_command(t.jobs, _tel(t)), "SELECT command, count(*) AS jobs, round(sum(s) / nullif(sum(n), 0), 5) AS mean_cpu, round(avg(cpu_num), 6) AS mean_request FROM jobs JOIN (SELECT job_id, sum(cpu_total) AS s, count(cpu_total) AS n FROM jh WHERE NOT all_null GROUP BY 1) USING (job_id) WHERE command IS NOT NULL GROUP BY 1")
-_add("ag_user_telemetry", lambda t: capacity.by_user(t.jobs, _tel(t)), "SELECT user_id, count(DISTINCT job_id) AS jobs, round(avg(cpu_total) + 1e-9, 4) AS cpu, round(avg(gpu_util) + 1e-9, 4) AS gpu, round(avg(power) + 1e-9, 4) AS power FROM jh JOIN (SELECT job_id, user_id FROM jobs WHERE user_id IS NOT NULL) USING (job_id) WHERE NOT all_null GROUP BY 1")
+_MEANS = lambda digits: ", ".join(f"{_mean(c, digits)} AS {k}" for c, k in capacity.METRICS.items())
+_add("ag_user_telemetry", lambda t: capacity.by_user(t.jobs, _tel(t)), f"SELECT user_id, count(DISTINCT job_id) AS jobs, {_MEANS(4)}, round(sum(cpu_num) / count(cpu_num), 6) AS cpus_asked, round(sum(gpu_num) / count(gpu_num), 6) AS gpus_asked FROM jh JOIN (SELECT job_id, user_id, cpu_num, gpu_num FROM jobs WHERE user_id IS NOT NULL) USING (job_id) WHERE NOT all_null GROUP BY 1")
 _add("ag_group_usage", lambda t: _tel(t).groupBy(C.subcluster(F.col("server")).alias("grp"), "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("peak"), F.count_distinct("server").alias("servers")), "SELECT grp, metric, round(avg(value), 6) AS mean, max(value) AS peak, count(DISTINCT server) AS servers FROM grp GROUP BY 1, 2")
-_add("ag_linear_fit", lambda t: capacity.fit(t.jobs, _tel(t)), f"SELECT subcluster, count(*) AS n, round(regr_slope(cpu, jobs), 4) AS slope, round(regr_intercept(cpu, jobs), 4) AS intercept FROM (SELECT {_sub('server')} AS subcluster, hour, count(DISTINCT job_id) AS jobs, round(avg(cpu_total) + 1e-9, 5) AS cpu FROM jh WHERE NOT all_null GROUP BY 1, 2) WHERE cpu IS NOT NULL GROUP BY 1")
-_add("tel_corr_hour", lambda t: capacity.hourly(t.jobs, _tel(t)), f"SELECT {_sub('server')} AS subcluster, hour, count(DISTINCT job_id) AS jobs, round(avg(cpu_total) + 1e-9, 5) AS cpu FROM jh WHERE NOT all_null GROUP BY 1, 2")
+_VIEWS["hourly"] = f"SELECT {_sub('server')} AS subcluster, hour, count(DISTINCT job_id) AS jobs, {_MEANS(5)} FROM jh WHERE NOT all_null GROUP BY 1, 2"
+
+
+def _lines(ys: list[str]) -> str:
+    """Lines and correlations from exact sums."""
+    out = []
+    for y in ys:
+        x, v = f"(CASE WHEN {y} IS NOT NULL THEN jobs END)::DECIMAL(18, 0)", f"{y}::DECIMAL(18, 5)"
+        n, sx, sxx, sy, sxy, syy = (f"{c}::DOUBLE" for c in (f"count({y})", f"sum({x})", f"sum({x} * {x})", f"sum({v})", f"sum({x} * {v})", f"sum({v} * {v})"))
+        both, own, other = f"({n} * {sxy} - {sx} * {sy})", f"({n} * {sxx} - {sx} * {sx})", f"({n} * {syy} - {sy} * {sy})"
+        slope = f"(CASE WHEN {own} > 0 THEN {both} / {own} END)"
+        out.append(f"count({y}) AS n_{y}, round({slope}, 4) AS slope_{y}, round(({sy} - {slope} * {sx}) / {n}, 4) AS intercept_{y}, round(CASE WHEN {own} > 0 AND {other} > 0 THEN {both} / sqrt({own} * {other}) END, 4) AS corr_{y}")
+    return ", ".join(out)
+
+
+_add("ag_linear_fit", lambda t: capacity.fit(t.jobs, _tel(t)), f"SELECT subcluster, {_lines(list(capacity.METRICS.values()))} FROM hourly GROUP BY 1")
+_add("tel_corr_hour", lambda t: capacity.hourly(t.jobs, _tel(t)), "SELECT * FROM hourly")
 _add("tel_job_hours", lambda t: capacity.labelled_hours(t.jobs, _tel(t)), "SELECT job_id, server, hour, cpu_total, all_null, servers, CASE WHEN servers > 1 THEN 'multi' ELSE 'single' END AS spread FROM jh JOIN (SELECT job_id, count(DISTINCT server) AS servers FROM jh GROUP BY 1) USING (job_id)")
 _add("tel_efficiency", lambda t: capacity.efficiency(t.jobs, _tel(t)), "SELECT CAST(hour(hour) AS BIGINT) AS hour_of_day, round(avg(cpu_total) / 100, 6) AS use, round(avg(cpu_num), 6) AS asked FROM jh JOIN jobs USING (job_id) WHERE NOT all_null GROUP BY 1")
 
 # Windows, limits, sets
-_add("win_diff", lambda t: _tel(t).withColumn("d", F.round(F.col("value") - F.lag("value").over(exact.Window.partitionBy("server", "metric").orderBy("ts")), 9)).select("server", "metric", "ts", "d"), "SELECT server, metric, ts, round(value - lag(value) OVER (PARTITION BY server, metric ORDER BY ts), 9) AS d FROM tel")
-_add("win_interval_stats", lambda t: classify.intervals(t.jobs), "SELECT user_id, count(*) + 1 AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.5), 6) AS median FROM (SELECT user_id, date_diff('second', lag(submit_time) OVER (PARTITION BY user_id ORDER BY submit_time, job_id), submit_time) AS d FROM jobs WHERE user_id IS NOT NULL AND submit_time IS NOT NULL) WHERE d IS NOT NULL GROUP BY 1 HAVING count(*) + 1 >= 10")
+_add("win_diff", lambda t: telemetry.differences(_tel(t)), "SELECT server, metric, ts, round(value - lag(value) OVER (PARTITION BY server, metric ORDER BY ts), 9) AS d FROM tel")
+_add("win_interval_stats", lambda t: classify.intervals(t.jobs), """SELECT user_id, count(*) + 1 AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 4) AS std, round(quantile_cont(d, 0.5), 6) AS median
+    FROM (SELECT user_id, date_diff('second', lag(submit_time) OVER (PARTITION BY user_id ORDER BY submit_time, job_id), submit_time) AS d FROM jobs WHERE user_id IS NOT NULL AND submit_time IS NOT NULL) WHERE d IS NOT NULL GROUP BY 1 HAVING count(*) + 1 >= 10""")
 _add("win_first_idx", lambda t: traces.by_hour(_log(t)).agg(F.max_by("hour", F.struct("jobs", -F.col("hour"))).alias("peak"), F.min_by("hour", F.struct("jobs", "hour")).alias("valley")), "SELECT arg_max(hour, jobs * 100 - hour) AS peak, arg_min(hour, jobs * 100 + hour) AS valley FROM (SELECT CAST(hour(submit_time) AS BIGINT) AS hour, count(*) AS jobs FROM log GROUP BY 1)")
 _add("win_mode", lambda t: _log(t).groupBy("user", "state").agg(F.count("*").alias("n")).groupBy("user").agg(F.min_by("state", F.struct(-F.col("n"), F.col("state"))).alias("state")), """SELECT "user", arg_min(state, (-n, state)) AS state FROM (SELECT "user", state, count(*) AS n FROM log GROUP BY 1, 2) GROUP BY 1""")
 _add("top_head", lambda t: t.jobs.where("job_name is not null").groupBy("job_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "job_name").limit(10), "SELECT job_name, count(*) AS n FROM jobs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -230,31 +247,16 @@ _add("smp_strategy", lambda t: by_level(_burst(t)), f"""SELECT job_id, day, leve
     WHERE r <= greatest(1, floor(CASE level WHEN 'normal' THEN 1.0::DOUBLE WHEN 'moderate' THEN 0.8::DOUBLE WHEN 'severe' THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END * n))""")
 
 
-def by_sequence(jobs: DataFrame, width: int = 1000) -> DataFrame:
-    """Missing submissions between two known ones, interpolated along the job id.
-
-    Neighbours are looked for inside buckets of ids; where a bucket has none on one side, the nearest bucket's first or last known one
-    stands in, found over one row a bucket.
-    """
-    W = exact.Window
-    x = jobs.select("job_id", F.unix_seconds(F.col("submit_time").cast("timestamp")).alias("s")).withColumn("b", F.floor(F.col("job_id") / width))
-    known = F.when(F.col("s").isNotNull(), F.struct("job_id", "s"))
-    ends = x.groupBy("b").agg(F.min(known).alias("lo"), F.max(known).alias("hi"))
-    over = W.partitionBy(F.lit(1)).orderBy("b")  # one row a bucket
-    ends = ends.select("b", F.last("hi", True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("left"), F.first("lo", True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("right"))
-    inside = W.partitionBy("b").orderBy("job_id")
-    y = x.withColumn("p", F.last(known, True).over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.first(known, True).over(inside.rowsBetween(0, W.unboundedFollowing))).where("s is null").join(ends, "b")
-    y = y.withColumn("p", F.coalesce("p", "left")).withColumn("n", F.coalesce("n", "right")).where("p is not null and n is not null")
-    at = F.col("p.s") + F.floor((F.col("n.s") - F.col("p.s")) * (F.col("job_id") - F.col("p.job_id")) / (F.col("n.job_id") - F.col("p.job_id")))
-    return y.select("job_id", F.timestamp_seconds(at).cast("timestamp_ntz").alias("submit_time"))
-
-
-_add("tim_est_sequence", lambda t: by_sequence(t.jobs), """SELECT job_id, make_timestamp(CAST((ps + floor((ns - ps) * (job_id - pj) / (nj - pj))) * 1000000 AS BIGINT)) AS submit_time FROM (SELECT job_id, submit_time, last_value(k IGNORE NULLS) OVER p AS pj, last_value(s IGNORE NULLS) OVER p AS ps, first_value(k IGNORE NULLS) OVER n AS nj, first_value(s IGNORE NULLS) OVER n AS ns
+_add("tim_est_sequence", lambda t: cleaning.by_sequence(t.jobs), """SELECT job_id, make_timestamp(CAST((ps + floor((ns - ps) * (job_id - pj) / (nj - pj))) * 1000000 AS BIGINT)) AS submit_time FROM (SELECT job_id, submit_time, last_value(k IGNORE NULLS) OVER p AS pj, last_value(s IGNORE NULLS) OVER p AS ps, first_value(k IGNORE NULLS) OVER n AS nj, first_value(s IGNORE NULLS) OVER n AS ns
     FROM (SELECT job_id, submit_time, CASE WHEN submit_time IS NOT NULL THEN job_id END AS k, CAST(epoch(submit_time) AS BIGINT) AS s FROM jobs) WINDOW p AS (ORDER BY job_id ROWS UNBOUNDED PRECEDING), n AS (ORDER BY job_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) WHERE submit_time IS NULL AND pj IS NOT NULL AND nj IS NOT NULL""")
 
-_add("cls_group_distributed", lambda t: classify.groups(t.jobs, 7200), f"""SELECT base, u AS user_id, count(*) AS jobs, min(submit_time) AS first, max(submit_time) AS last, max(gpu_num) AS gpus, max(cpu_num) AS cpus, min(job_id) AS head FROM
-    (SELECT *, sum(new) OVER (PARTITION BY base, u ORDER BY submit_time, job_id ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN date_diff('second', lag(submit_time) OVER w, submit_time) <= 7200 THEN 0 ELSE 1 END AS new FROM
-    (SELECT job_id, regexp_replace(job_name, '_?[0-9]+$', '') AS base, coalesce(user_id, '') AS u, submit_time, gpu_num, cpu_num FROM {_HN} WHERE submit_time IS NOT NULL AND ({_DIST})) WINDOW w AS (PARTITION BY base, u ORDER BY submit_time, job_id))) GROUP BY base, u, grp""")
+_VIEWS["dist"] = f"SELECT job_id, regexp_replace(job_name, '_?[0-9]+$', '') AS base, user_id, submit_time AS t, gpu_num, cpu_num FROM {_HN} WHERE submit_time IS NOT NULL AND ({_DIST})"
+_add("cls_group_distributed", lambda t: classify.groups(t.jobs), """SELECT * FROM (WITH RECURSIVE anchors(base, a) AS (SELECT base, min(t) FROM dist GROUP BY 1
+    UNION SELECT base, nxt FROM (SELECT x.base, (SELECT min(d.t) FROM dist d WHERE d.base = x.base AND d.t > x.a + INTERVAL 300 SECOND) AS nxt FROM anchors x) WHERE nxt IS NOT NULL),
+    placed AS (SELECT d.*, x.a AS first FROM dist d ASOF JOIN anchors x ON d.base = x.base AND d.t >= x.a),
+    named AS (SELECT base, first, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts FROM placed JOIN hosts USING (job_id) WHERE host IS NOT NULL GROUP BY 1, 2)
+    SELECT p.base, count(*) AS jobs, count(DISTINCT user_id) AS users, p.first, max(t) AS last, max(gpu_num) AS gpus, max(cpu_num) AS cpus, min(job_id) AS head, string_agg(job_id::VARCHAR, ',' ORDER BY job_id) AS ids, coalesce(any_value(n.hosts), '') AS hosts
+    FROM placed p LEFT JOIN named n ON n.base = p.base AND n.first = p.first GROUP BY p.base, p.first)""")
 _add("cls_kw_affinity", lambda t: classify.word_affinity(t.jobs), "SELECT word, CAST(sum(s) AS BIGINT) AS net, round(greatest(0, least(1, 0.5::DOUBLE + 0.1::DOUBLE * sum(s))), 6) AS affinity FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(command), '[a-z0-9_-]{3,}'))) AS word, CASE WHEN gpu_num > 0 THEN 1 ELSE -1 END AS s FROM jobs) GROUP BY 1")
 
 _add("inf_cluster", lambda t: inference.clusters(t.jobs, names=False), """SELECT * FROM (WITH RECURSIVE x AS (SELECT job_id, cluster_name, queue, coalesce(substring(command, 1, 5), '') AS kind, cpu_num, gpu_num, coalesce(hour(submit_time), 12) AS h, coalesce(isodow(submit_time) - 1, 1) AS d FROM jobs WHERE user_id IS NULL),

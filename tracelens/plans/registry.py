@@ -13,6 +13,13 @@ from tracelens.functions import columns as C
 from tracelens.operators import cleaning, sampling, telemetry, traces, users
 from tracelens.sources.views import JOBS, TELEMETRY, Tables
 
+
+
+def _mean(x: str, digits: int = 6) -> str:
+    """Mean by exact sums of decimals."""
+    return f"round(sum(CAST({x} AS DECIMAL(28, 9)))::DOUBLE / nullif(count({x}), 0), {digits})"
+
+
 _SECONDS = "date_diff('second', start_time, end_time)"
 _VIEWS = {
     "jobs": JOBS.format(ts="TIMESTAMP"),
@@ -34,7 +41,7 @@ _VIEWS = {
     "jobhour": """SELECT h.job_id, h.host AS server, unnest(generate_series(date_trunc('hour', start_time), end_time - INTERVAL 1 MICROSECOND, INTERVAL 1 HOUR)) AS hour
         FROM hosts h JOIN jobs j USING (job_id) WHERE start_time < end_time""",
     "wide": "SELECT server, date_trunc('hour', ts) AS hour, "
-    + ", ".join(f"round(avg(CASE WHEN metric = '{m}' THEN value END), 6) AS {m}" for m in ("cpu_total", "gpu_util", "power", "load_1min", "mem_percent"))
+    + ", ".join(f"{_mean(f'CASE WHEN metric = {chr(39)}{m}{chr(39)} THEN value END')} AS {m}" for m in ("cpu_total", "gpu_util", "power", "load_1min", "mem_percent"))
     + " FROM tel GROUP BY 1, 2",
     "marks": """SELECT *, md5(concat_ws('|', coalesce(command, ''), CAST(cpu_num AS VARCHAR), CAST(gpu_num AS VARCHAR), queue, regexp_replace(job_name, '_?[0-9]+$', ''))) AS f1,
         md5(concat_ws('|', coalesce(command, ''), CAST(cpu_num AS VARCHAR), queue)) AS f2 FROM jobs""",
@@ -183,9 +190,9 @@ _add("fn_primary_sub", lambda t: sampling.primary_subcluster(t.jobs), f"SELECT j
 
 # Users and aggregates
 _add("ag_basic_metrics", lambda t: users.basic(_log(t)), """SELECT count(*) AS jobs, count(DISTINCT "user") AS users, min(submit_time) AS first, max(submit_time) AS last, count_if(gpu_num > 0) AS gpu_jobs, round(sum(node_num * duration) / 3600, 6) AS node_hours, round(avg(duration), 6) AS mean_duration, max(gpu_num) AS max_gpus FROM log""")
-_add("ag_describe", lambda t: users.describe(_log(t), "cpu_num", 4.0), f"SELECT part, count(*) AS n, round(avg(cpu_num), 6) AS mean, round(stddev_samp(cpu_num), 4) AS std, min(cpu_num) AS least, max(cpu_num) AS most, {_Q6.format(v='cpu_num')} FROM part WHERE cpu_num > 0 GROUP BY 1")
-_add("ag_duration_stats", lambda t: users.describe(_log(t), "duration", 600.0), f"SELECT part, count(*) AS n, round(avg(duration), 6) AS mean, round(stddev_samp(duration), 4) AS std, min(duration) AS least, max(duration) AS most, {_Q6.format(v='duration')} FROM part GROUP BY 1")
-_add("ag_queue_stats", lambda t: users.describe(_log(t), "queue", 60.0), f"SELECT part, count(*) AS n, round(avg(queue), 6) AS mean, round(stddev_samp(queue), 4) AS std, min(queue) AS least, max(queue) AS most, {_Q6.format(v='queue')} FROM part WHERE queue > 0 GROUP BY 1")
+_add("ag_describe", lambda t: users.describe(_log(t), "cpu_num"), f"SELECT part, count(*) AS n, round(avg(cpu_num), 6) AS mean, round(stddev_samp(cpu_num), 4) AS std, min(cpu_num) AS least, max(cpu_num) AS most, {_Q6.format(v='cpu_num')} FROM part WHERE cpu_num > 0 GROUP BY 1")
+_add("ag_duration_stats", lambda t: users.describe(_log(t), "duration"), f"SELECT part, count(*) AS n, round(avg(duration), 6) AS mean, round(stddev_samp(duration), 4) AS std, min(duration) AS least, max(duration) AS most, {_Q6.format(v='duration')} FROM part GROUP BY 1")
+_add("ag_queue_stats", lambda t: users.describe(_log(t), "queue"), f"SELECT part, count(*) AS n, round(avg(queue), 6) AS mean, round(stddev_samp(queue), 4) AS std, min(queue) AS least, max(queue) AS most, {_Q6.format(v='queue')} FROM part WHERE queue > 0 GROUP BY 1")
 _add("ag_duration_ratio", lambda t: users.duration_ratios(_log(t)), "SELECT part, count(*) AS n, round(count_if(duration < 300) / count(*), 9) AS m5, round(count_if(duration >= 300 AND duration < 3600) / count(*), 9) AS h1, round(count_if(duration >= 3600 AND duration < 86400) / count(*), 9) AS d1, round(count_if(duration >= 86400) / count(*), 9) AS more FROM part GROUP BY 1")
 _add("ag_queue_ratio", lambda t: users.queue_ratios(_log(t)), "SELECT part, count(*) AS n, round(avg(queue), 6) AS mean, max(queue) AS most, round(count_if(queue < 60) / count(*), 9) AS m1, round(count_if(queue >= 60 AND queue < 3600) / count(*), 9) AS h1, round(count_if(queue >= 3600) / count(*), 9) AS more FROM part WHERE queue >= 0 GROUP BY 1")
 _add("ag_completion", lambda t: users.completion(_log(t)), "SELECT part, count(*) AS n, " + ", ".join(f"count_if(state = '{s.upper()}') AS {s}, round(count_if(state = '{s.upper()}') / count(*), 9) AS {s}_share" for s in ("completed", "failed", "cancelled")) + " FROM part GROUP BY 1")
@@ -242,7 +249,7 @@ _add("src_telemetry", _tel, "SELECT * FROM tel")
 _LABEL = {"hour": "date_trunc('hour', ts)", "day": "date_trunc('day', ts)::TIMESTAMP", "week": "(date_trunc('week', ts) + INTERVAL 6 DAY)::TIMESTAMP", "month": "last_day(ts)::TIMESTAMP"}
 _add("tel_resample", lambda t: reduce(DataFrame.unionByName, [telemetry.resample(_tel(t), e).withColumn("every", F.lit(e)) for e in _LABEL]),
      " UNION ALL ".join(f"SELECT metric, {x} AS at, round(avg(value), 6) AS mean, count(*) AS n, '{e}' AS every FROM tel GROUP BY 1, 2" for e, x in _LABEL.items()))
-_add("tel_weekday", lambda t: telemetry.by_weekday(_tel(t)), f"SELECT m.metric, CAST(d AS BIGINT) AS weekday, round(avg(value), 6) AS mean FROM (SELECT DISTINCT metric FROM tel) m CROSS JOIN (SELECT unnest(range(7)) AS d) LEFT JOIN tel t ON t.metric = m.metric AND {_WD.format('ts')} = d GROUP BY 1, 2")
+_add("tel_weekday", lambda t: telemetry.by_weekday(_tel(t)), f"SELECT m.metric, CAST(d AS BIGINT) AS weekday, {_mean('value')} AS mean FROM (SELECT DISTINCT metric FROM tel) m CROSS JOIN (SELECT unnest(range(7)) AS d) LEFT JOIN tel t ON t.metric = m.metric AND {_WD.format('ts')} = d GROUP BY 1, 2")
 _add("tel_hour_profile", lambda t: telemetry.hour_profile(_tel(t)), "SELECT metric, CAST(hour(ts) AS BIGINT) AS hour, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(stddev_samp(value), 6) AS std FROM tel GROUP BY 1, 2")
 _add("tel_heatmap", lambda t: telemetry.heatmap(_tel(t)), f"SELECT {_WD.format('ts')} AS weekday, " + ", ".join(f"round(avg(CASE WHEN hour(ts) = {h} THEN value END), 6) AS h{h}" for h in range(24)) + " FROM tel GROUP BY 1")
 _add("tel_group_stats", lambda t: telemetry.group_stats(_tel(t)), "SELECT grp, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS least, max(value) AS most, count(DISTINCT server) AS servers, round(quantile_cont(value, 0.5), 6) AS median FROM grp GROUP BY 1, 2")
@@ -256,7 +263,7 @@ _IN = "value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1)"
 _add("tel_boxplot", lambda t: telemetry.boxes(_tel(t)), f"SELECT metric, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3, min(CASE WHEN {_IN} THEN value END) AS low, max(CASE WHEN {_IN} THEN value END) AS high, count_if(NOT ({_IN})) AS outside FROM tel JOIN ({_BOX}) USING (metric) GROUP BY metric, q1, q2, q3")
 _add("top_anomaly", lambda t: telemetry.top_anomalies(_tel(t)), f"SELECT metric, rank, server, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, server, ts) AS rank FROM tel JOIN ({_BOX}) USING (metric) WHERE value > q3 + 0.5 * (q3 - q1)) WHERE rank <= 20")
 _add("tel_daily_envelope", lambda t: telemetry.envelope(_tel(t)), "SELECT grp, CAST(ts AS DATE) AS day, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count(DISTINCT server) AS servers FROM grp GROUP BY 1, 2")
-_add("win_gap_island", lambda t: telemetry.islands(_tel(t)), """SELECT server, min(ts) AS first, max(ts) AS last, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM (SELECT *, sum(new) OVER (PARTITION BY server ORDER BY ts, metric ROWS UNBOUNDED PRECEDING) AS island FROM
+_add("win_gap_island", lambda t: telemetry.islands(_tel(t)), """SELECT server, min(ts) AS first, max(ts) AS last, count(*) AS n, round(sum(CAST(value AS DECIMAL(28, 9)))::DOUBLE / count(*), 6) AS mean, max(value) AS most FROM (SELECT *, sum(new) OVER (PARTITION BY server ORDER BY ts, metric ROWS UNBOUNDED PRECEDING) AS island FROM
     (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER w, ts) <= 12 * 3600 THEN 0 ELSE 1 END AS new FROM tel WHERE value > 60 WINDOW w AS (PARTITION BY server ORDER BY ts, metric))) GROUP BY server, island HAVING date_diff('second', min(ts), max(ts)) >= 3600""")
 _add("win_change_bins", lambda t: telemetry.changes(_tel(t)), "SELECT metric, CASE WHEN d <= -20 THEN 'much lower' WHEN d <= -5 THEN 'lower' WHEN d <= 5 THEN 'same' WHEN d <= 20 THEN 'higher' ELSE 'much higher' END AS change, count(*) AS n FROM (SELECT metric, lead(value) OVER (PARTITION BY server, metric ORDER BY ts) - value AS d FROM tel) WHERE d IS NOT NULL GROUP BY 1, 2")
 _add("fn_invert_idle", lambda t: telemetry.idle_inverted(_tel(t)), "SELECT server, ts, round(100 - value, 9) AS used FROM tel WHERE metric = 'cpu_total'")
@@ -264,7 +271,7 @@ _add("jn_resource_wide", lambda t: telemetry.wide(_tel(t)), "SELECT * FROM wide"
 _add("top_servers", lambda t: telemetry.busiest(_tel(t)), "SELECT server, round(avg(value), 6) AS mean FROM tel GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 _add("ag_instance_usage", lambda t: telemetry.instance_usage(_tel(t)), "SELECT server, metric, round(avg(value), 6) AS mean, max(value) AS peak, round(avg(value) / nullif(max(value), 0), 6) AS mean_to_peak FROM tel GROUP BY 1, 2")
 _add("tel_consistency", lambda t: telemetry.consistency(_tel(t)), "SELECT metric, count(DISTINCT server) AS servers, min(ts) AS first, max(ts) AS last, count(*) AS n FROM tel GROUP BY 1")
-_HOURS = """SELECT DISTINCT h.job_id, h.server, h.hour, cpu_total, gpu_util, power, w.server IS NULL AS all_null FROM jobhour h LEFT JOIN wide w ON w.server = h.server AND w.hour = h.hour WHERE w.server IS NOT NULL OR h.server NOT IN (SELECT server FROM tel)"""
+_HOURS = """SELECT DISTINCT h.job_id, h.server, h.hour, cpu_total, gpu_util, load_1min, power, w.server IS NULL AS all_null FROM jobhour h LEFT JOIN wide w ON w.server = h.server AND w.hour = h.hour WHERE w.server IS NOT NULL OR h.server NOT IN (SELECT server FROM tel)"""
 _add("jn_job_host_hour", lambda t: telemetry.job_hours(t.jobs, _tel(t)), _HOURS)
 _add("ag_daily_coverage", lambda t: telemetry.coverage(t.jobs, _tel(t)), f"SELECT CAST(hour AS DATE) AS day, count(DISTINCT job_id) AS jobs, count(DISTINCT server) AS servers FROM ({_HOURS}) WHERE NOT all_null GROUP BY 1")
 _add("src_target_load", lambda t: telemetry.touched(t.jobs, _tel(t)), "SELECT * FROM tel WHERE server IN (SELECT host FROM hosts)")
