@@ -119,9 +119,10 @@ def cuts(v, word):
     """All ways to cut a marked word into pieces; signs that are no piece are spelt in bytes."""
     if not word:
         yield []
+    ids = {p: i for i, p in enumerate(v.pieces)}
     for n in range(1, len(word) + 1):
         head = word[:n]
-        pieces = [v.ids[head]] if head in v.ids else [len(v.pieces) + b for b in head.encode()] if n == 1 else None
+        pieces = [ids[head]] if head in ids else [len(v.pieces) + b for b in head.encode()] if n == 1 else None
         if pieces:
             for rest in cuts(v, word[n:]):
                 yield pieces + rest
@@ -130,6 +131,13 @@ def cuts(v, word):
 WORDS = ["a", "abc", "abcabc", "caab", "xab", "abxß", "", "abcabcabcabcabcabcab"]
 
 
+def test_every_piece_is_found():
+    with open(PIECES, "rb") as f:
+        v = language_id.Vocabulary.of(f.read())
+    h = np.array([language_id._rolled(language_id._codes([p]))[0, -1] for p in v.pieces], dtype=np.uint64)
+    assert (v.find(h) == np.arange(1, len(h) + 1)).all() and not v.find(h + np.uint64(1)).any() and len(v.tables) <= 4
+
+
 def test_forward_sums_all_segmentations():
     v, log_p = toy()
     want = np.array([np.logaddexp.reduce([log_p[c].sum(axis=0) for c in cuts(v, "▁" + w)], axis=0) for w in WORDS])

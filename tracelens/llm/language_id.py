@@ -38,9 +38,10 @@ MAX_LANGUAGES = 1000
 #: Expected counts are sums of whole multiples of 1 / UNIT.
 UNIT = float(1 << 20)
 #: Distinct words that a task holds at once.
-KNOWN = 300_000
+KNOWN = 500_000
 #: Longest word whose products cannot fall out of a double's range.
 PLAIN = 16
+BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -49,15 +50,41 @@ def words(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def _codes(some: list[str]) -> np.ndarray:
+    """Code points of words of one length: words x places."""
+    return np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(some), -1).astype(np.uint64)
+
+
+def _rolled(codes: np.ndarray) -> np.ndarray:
+    """Hash of each beginning of each word, the empty one first: words x places + 1."""
+    out = np.zeros((len(codes), codes.shape[1] + 1), dtype=np.uint64)
+    for i in range(codes.shape[1]):
+        out[:, i + 1] = out[:, i] * BASE + codes[:, i]
+    return out
+
+
 class Vocabulary:
-    """Pieces that can occur in a marked word, byte pieces behind them, and the cuts of words."""
+    """Pieces that can occur in a marked word, byte pieces behind them.
+
+    Substrings are looked up by a 64-bit rolling hash in a table with one place a hash; what finds its place taken is in a second table.
+    """
 
     def __init__(self, pieces: list[str]) -> None:
         self.pieces = pieces
-        self.ids = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
-        self.starts = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
         self.size = len(pieces) + 256
+        h = np.array([int(_rolled(_codes([p]))[0, -1]) for p in pieces], dtype=np.uint64)
+        self.tables = []
+        left = np.arange(len(pieces))
+        while len(left):
+            bits = max(8, int(len(left) * 32).bit_length())
+            factor = BASE + np.uint64(2 * len(self.tables) + 2)
+            place = (h[left] * factor) >> np.uint64(64 - bits)
+            _, first = np.unique(place, return_index=True)
+            keys, rows = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int32)
+            keys[place[first]], rows[place[first]] = h[left[first]], left[first] + 1
+            self.tables.append((factor, np.uint64(64 - bits), keys, rows))
+            left = np.delete(left, first)
 
     @classmethod
     def of(cls, raw: bytes) -> Vocabulary:
@@ -68,42 +95,40 @@ class Vocabulary:
         one = re.compile(f"{MARK}?[^\\W\\d_]*")
         return cls([p for p, k in zip(m.pieces, m.kinds, strict=True) if k == NORMAL and p and one.fullmatch(p)])
 
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(end, length, piece) of all pieces in a word. A sign that is no piece has the piece -1 - its code point."""
-        out, n, ids, starts = [], len(word), self.ids, self.starts
-        for i in range(n):
-            if word[i] not in ids:
-                out.append((i + 1, 1, -1 - ord(word[i])))
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = word[i:j]
-                if piece in ids:
-                    out.append((j, j - i, ids[piece]))
-                elif piece not in starts:
-                    break
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of the piece with each hash, counted from 1; 0 for none."""
+        out = np.zeros(h.shape, dtype=np.int32)
+        for factor, shift, keys, rows in self.tables:
+            place = (h * factor) >> shift
+            out = np.where(keys[place] == h, rows[place], out)
         return out
 
 
 @dataclass
 class Lattices:
-    """The cuts of words of one length: per word, end and length the row of a table of weights (row 0 is none)."""
+    """The cuts of words of one length: per end, length and word the row of a table of weights (row 0 is none)."""
 
     rows: np.ndarray
     signs: list[int] = field(default_factory=list)  # code points spelt in bytes; their rows follow the vocabulary's
 
     @classmethod
     def of(cls, vocabulary: Vocabulary, some: list[str]) -> Lattices:
-        n = len(some[0]) + 1
+        codes = _codes([MARK + w for w in some])
+        n = codes.shape[1]
         wide = min(n, vocabulary.longest)
         rows = np.zeros((n + 1, wide + 1, len(some)), dtype=np.int32)
-        signs: dict[int, int] = {}
-        at, to = [], []
-        for b, word in enumerate(some):
-            for end, length, piece in vocabulary.edges(MARK + word):
-                row = piece + 1 if piece >= 0 else signs.setdefault(-1 - piece, vocabulary.size + 1 + len(signs))
-                at.append((end * (wide + 1) + length) * len(some) + b)
-                to.append(row)
-        rows.reshape(-1)[at] = to
-        return cls(rows, list(signs))
+        start = _rolled(codes)
+        for k in range(1, wide + 1):
+            power = np.uint64(pow(int(BASE), k, 1 << 64))
+            rows[k:, k] = vocabulary.find(start[:, k:] - start[:, : n + 1 - k] * power).T
+        missing = rows[1:, 1].T == 0
+        signs: list[int] = []
+        if missing.any():
+            found, place = np.unique(codes[missing], return_inverse=True)
+            signs = found.astype(np.int64).tolist()
+            w, at = np.nonzero(missing)
+            rows[at + 1, 1, w] = vocabulary.size + 1 + place
+        return cls(rows, signs)
 
 
 def spelt(log_p: np.ndarray, first_byte: int, signs: list[int]) -> np.ndarray:
@@ -112,20 +137,20 @@ def spelt(log_p: np.ndarray, first_byte: int, signs: list[int]) -> np.ndarray:
     return np.vstack([np.full((1, log_p.shape[1]), -np.inf), log_p, *more])
 
 
-def forward(lattices: Lattices, table: np.ndarray, plain: bool) -> np.ndarray:
+def forward(rows: np.ndarray, table: np.ndarray, plain: bool) -> np.ndarray:
     """Sums over all cuts up to each place: places x words x languages, as products (``plain``) or as logarithms."""
-    rows = lattices.rows
     places, wide, n = rows.shape
     out = np.full((places, n, table.shape[1]), 0.0 if plain else -np.inf)
     out[0] = 1.0 if plain else 0.0
     for j in range(1, places):
         for k in range(1, min(j, wide - 1) + 1):
-            r = rows[j, k]
-            if r.any():
+            hit = np.flatnonzero(rows[j, k])
+            if len(hit):
+                weight = table[rows[j, k, hit]]
                 if plain:
-                    out[j] += out[j - k] * table[r]
+                    out[j, hit] += out[j - k, hit] * weight
                 else:
-                    out[j] = np.logaddexp(out[j], out[j - k] + table[r])
+                    out[j, hit] = np.logaddexp(out[j, hit], out[j - k, hit] + weight)
     return out
 
 
@@ -144,7 +169,7 @@ def log_sums(vocabulary: Vocabulary, log_p: np.ndarray, some: list[str]) -> np.n
         lattices = Lattices.of(vocabulary, [some[i] for i in g])
         table = spelt(log_p, len(vocabulary.pieces), lattices.signs)
         plain = len(some[g[0]]) < PLAIN and not lattices.signs
-        last = forward(lattices, np.exp(table) if plain else table, plain)[-1]
+        last = forward(lattices.rows, np.exp(table) if plain else table, plain)[-1]
         out[g] = np.log(last) if plain else last
     return out
 
@@ -155,24 +180,32 @@ def expected(vocabulary: Vocabulary, log_p: np.ndarray, some: list[str], langs:
     first_byte = len(vocabulary.pieces)
     for g in by_length(some):
         lattices = Lattices.of(vocabulary, [some[i] for i in g])
-        rows, own, n = lattices.rows, langs[g], counts[g].astype(np.float64)
+        plain = len(some[g[0]]) < PLAIN and not lattices.signs
+        own, n = langs[g], counts[g].astype(np.float64)
         table = spelt(log_p, first_byte, lattices.signs)
         size = len(table)
-        weight = table[:, :].T.ravel()  # language by language
-        ahead = forward(Lattices(rows + (own * size).astype(np.int32), []), weight[:, None], False)[:, :, 0]
+        # Language by language, so that a word's rows are those of its language; row 0 stays the one that is none.
+        weight = (np.exp(table) if plain else table).T.ravel()
+        rows = np.where(lattices.rows > 0, lattices.rows + (own * size).astype(np.int32), 0)
+        ahead = forward(rows, weight[:, None], plain)[:, :, 0]
         places, wide, _ = rows.shape
-        behind = np.full(ahead.shape, -np.inf)
-        behind[-1] = 0.0
-        flat = np.zeros(size * log_p.shape[1])
+        behind = np.full(ahead.shape, 0.0 if plain else -np.inf)
+        behind[-1] = 1.0 if plain else 0.0
+        flat = np.zeros(len(weight))
         for j in range(places - 1, 0, -1):
             for k in range(1, min(j, wide - 1) + 1):
-                r = rows[j, k]
-                if r.any():
-                    at = r + own * size
-                    step = weight[at] + behind[j]
-                    behind[j - k] = np.logaddexp(behind[j - k], step)
-                    with np.errstate(invalid="ignore"):
-                        flat += np.bincount(at, np.where(r > 0, np.exp(ahead[j - k] + step - ahead[-1]), 0.0) * n, len(flat))
+                hit = np.flatnonzero(rows[j, k])
+                if len(hit):
+                    at = rows[j, k, hit]
+                    if plain:
+                        step = weight[at] * behind[j, hit]
+                        behind[j - k, hit] += step
+                        share = ahead[j - k, hit] * step / ahead[-1, hit]
+                    else:
+                        step = weight[at] + behind[j, hit]
+                        behind[j - k, hit] = np.logaddexp(behind[j - k, hit], step)
+                        share = np.exp(ahead[j - k, hit] + step - ahead[-1, hit])
+                    flat += np.bincount(at, share * n[hit], len(flat))
         per = flat.reshape(log_p.shape[1], size)
         out += per[:, 1 : vocabulary.size + 1]
         for s, c in zip(lattices.signs, per[:, vocabulary.size + 1 :].T, strict=True):
