@@ -39,6 +39,8 @@ MAX_LANGUAGES = 1000
 UNIT = float(1 << 20)
 #: Distinct words that a task holds at once.
 KNOWN = 500_000
+#: Words whose expected counts are made together.
+AT_ONCE = 100_000
 #: Longest word whose products cannot fall out of a double's range.
 PLAIN = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +207,7 @@ def expected(vocabulary: Vocabulary, log_p: np.ndarray, some: list[str], langs:
                         step = weight[at] + behind[j, hit]
                         behind[j - k, hit] = np.logaddexp(behind[j - k, hit], step)
                         share = np.exp(ahead[j - k, hit] + step - ahead[-1, hit])
-                    flat += np.bincount(at, share * n[hit], len(flat))
+                    np.add.at(flat, at, share * n[hit])
         per = flat.reshape(log_p.shape[1], size)
         out += per[:, 1 : vocabulary.size + 1]
         for s, c in zip(lattices.signs, per[:, vocabulary.size + 1 :].T, strict=True):
@@ -265,8 +267,19 @@ def fit(docs: DataFrame, pieces: str, *, text_col: str = "text", lang_col: str =
         def of(batches):
             voc, p = held.value
             total = np.zeros(p.shape[::-1])
+            rows: list[pd.DataFrame] = []
+
+            def add() -> None:
+                b = pd.concat(rows)
+                np.add(total, expected(voc, p, b["word"].tolist(), b["lang"].map(number).to_numpy(dtype=np.int64), b["n"].to_numpy()), out=total)
+                rows.clear()
+
             for b in batches:
-                total += expected(voc, p, b["word"].tolist(), b["lang"].map(number).to_numpy(dtype=np.int64), b["n"].to_numpy())
+                rows.append(b)
+                if sum(map(len, rows)) >= AT_ONCE:
+                    add()
+            if rows:
+                add()
             whole = np.rint(total * UNIT).astype(np.int64)
             at, piece = np.nonzero(whole)
             yield pd.DataFrame({"at": at.astype(np.int32), "piece": piece.astype(np.int32), "n": whole[at, piece]})
