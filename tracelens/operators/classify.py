@@ -6,41 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
-from tracelens.operators import cleaning, exact, scan
+from tracelens.operators import exact, rules, scan
 from tracelens.operators.graph import cut
 
-# Host patterns of the second generation and of management nodes, with weights.
-NODES = [(r"^gpu[0-9]-", 2.0), (r"bigmem-", 1.5)]
-MANAGEMENT = r"(login|mgmt|admin)|cpu1-1$"
-# Words of job types.
-TYPES = {"training": ["train", "finetune", "lora"], "simulation": ["lammps", "mpirun", "gromacs"], "script": ["#bsub", "sbatch", "python"]}
-
-
-def node_scores(jobs: DataFrame) -> DataFrame:
-    return jobs.select("job_id", sum((F.when(F.coalesce(F.col("exec_hosts").rlike(p), F.lit(False)), w).otherwise(0.0) for p, w in NODES), F.lit(0.0)).alias("node_score"))
-
-
-def management(jobs: DataFrame) -> DataFrame:
-    return jobs.select("job_id", F.coalesce(F.col("exec_hosts").rlike(MANAGEMENT), F.lit(False)).alias("management"))
-
-
-def generation(jobs: DataFrame) -> DataFrame:
-    """Management rows first, then weighted totals of node and script scores; ties at 0 are unknown."""
-    s = cleaning.script_scores(jobs).select("job_id", "first", "second").join(node_scores(jobs), "job_id").join(management(jobs), "job_id")
-    second = F.col("second") + 3 * F.col("node_score")
-    sure = F.greatest(F.col("first"), second) / (F.col("first") + second + 1e-6)
-    level = F.when(sure >= 0.8, "high").when(sure >= 0.5, "medium").otherwise("low")
-    kind = F.when(F.col("management"), "management").when((F.col("first") == 0) & (second == 0), "unknown").when(F.col("first") > second, F.concat(F.lit("first_"), level)).when(F.col("first") < second, F.concat(F.lit("second_"), level)).otherwise("mixed")
-    return s.select("job_id", kind.alias("generation"))
-
-
-def generation2(jobs: DataFrame) -> DataFrame:
-    """Number of patterns of both generations in name, command and queue; equal numbers are both."""
-    text = F.concat_ws(" ", "command", "job_name", "queue")
-    n = lambda rules: sum((F.when(text.rlike(f"(?i){p}"), 1).otherwise(0) for p, _ in rules), F.lit(0)).cast("long")
-    a, b = n(cleaning.FIRST), n(cleaning.SECOND)
-    return jobs.select("job_id", a.alias("first"), b.alias("second"), F.when((a == 0) & (b == 0), "unknown").when(a > b, "first").when(a < b, "second").otherwise("both").alias("generation"))
-
 
 def is_distributed() -> Column:
     """More than one host, more than four GPUs, or a launcher in the command."""
@@ -56,48 +24,16 @@ def distributed_view(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy(F.coalesce(F.size(C.hosts("exec_hosts")), F.lit(0)).cast("long").alias("hosts"), is_distributed().alias("distributed")).agg(F.count("*").alias("jobs"))
 
 
-def type_scores(jobs: DataFrame) -> DataFrame:
-    """Best type by text (0.40), resources (0.35), queue (0.15) and state (0.10); the first of equals."""
-    text = F.lower(F.concat_ws(" ", "command", "job_name"))
-    gpu = F.when(F.col("gpu_num") > 0, 1.0).otherwise(0.0)
-    parts = []
-    for i, (name, words) in enumerate(TYPES.items()):
-        hit = F.when(text.rlike("|".join(words)), 1.0).otherwise(0.0)
-        fits = gpu if name == "training" else 1 - gpu
-        parts.append(F.struct((0.40 * hit + 0.35 * fits + 0.15 * F.when(F.col("queue").startswith("1"), 1.0).otherwise(0.0) + 0.10 * F.when(F.col("job_status_str") == "DONE", 1.0).otherwise(0.0)).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("t")))
-    best = F.greatest(*parts)
-    return jobs.select("job_id", best["t"].alias("type"), F.round(best["s"], 6).alias("score"))
-
-
 def type_distribution(jobs: DataFrame) -> DataFrame:
-    s = type_scores(jobs)
-    return s.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") >= 0.7).alias("sure"))
-
-
-def llm_by_resources(jobs: DataFrame) -> DataFrame:
-    """Rows without a verdict by words: GPUs, run time and cores decide."""
-    d = C.seconds("start_time", "end_time")
-    met = F.when(F.col("gpu_num") >= 4, 1).otherwise(0) + F.when(F.coalesce(d, F.lit(0)) >= 3600, 1).otherwise(0) + F.when(F.col("cpu_num") >= 16, 1).otherwise(0)
-    rest = cleaning.llm_jobs(jobs).where("score = 0").select("job_id")
-    return jobs.join(rest, "job_id", "left_semi").select("job_id", met.cast("long").alias("met"), F.when(met >= 2, "LLM").otherwise("Unknown").alias("kind"))
-
-
-def llm_pipeline(jobs: DataFrame) -> DataFrame:
-    """Words first, resources for rows that no word decided."""
-    words = cleaning.llm_jobs(jobs).select("job_id", "score", F.when(F.col("score") > 0, F.col("kind")).alias("by_words"))
-    return words.join(llm_by_resources(jobs).select("job_id", F.col("kind").alias("by_resources")), "job_id", "left").select("job_id", F.coalesce("by_words", "by_resources").alias("kind"), F.when(F.col("by_words").isNotNull(), "words").otherwise("resources").alias("how"))
+    s = rules.job_types(jobs)
+    return s.groupBy("type").agg(F.count("*").alias("n"), exact.exact_mean(F.col("score")).alias("mean_score"), F.count_if(F.col("score") >= 0.7).alias("sure"))
 
 
 def llm_split(jobs: DataFrame) -> DataFrame:
-    return llm_pipeline(jobs).groupBy("kind", "how").agg(F.count("*").alias("n"))
-
-
-def task_type(jobs: DataFrame) -> DataFrame:
-    """First task whose word the command holds."""
-    out = F.lit("other")
-    for name, words in reversed(list({"finetuning": ["finetune", "lora"], "training": ["train"], "simulation": ["lammps"]}.items())):
-        out = F.when(F.lower(F.coalesce("command", F.lit(""))).rlike("|".join(words)), name).otherwise(out)
-    return jobs.select("job_id", out.alias("task"))
+    """Jobs, GPU jobs and share by verdict, how it came about and task."""
+    x = rules.language_model_jobs(jobs)
+    n = x.groupBy("kind", "how", rules.task(rules.text_of(jobs, "command")).alias("task")).agg(F.count("*").alias("n"), F.count_if(F.col("gpu_num") > 0).alias("gpu_jobs"))
+    return n.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("kind")), 6))
 
 
 def fingerprints(jobs: DataFrame) -> DataFrame:

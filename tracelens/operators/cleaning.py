@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
-from tracelens.operators import scan
+from tracelens.operators import rules, scan
 
 TIMES = ("submit_time", "start_time", "end_time")
 # Importance of a field, 1 to 5.
@@ -107,49 +107,6 @@ def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(*order)).cast("long")).where(F.col("rank") <= k).select("name", "rank", "value", "n")
 
 
-def _score(text: Column, rules: list[tuple[str, float]]) -> Column:
-    out = F.lit(0.0)
-    for pattern, weight in rules:
-        out = out + F.when(text.rlike(f"(?i){pattern}"), weight).otherwise(0.0)
-    return out
-
-
-# Patterns of scheduler scripts, with their weights.
-SECOND = [("#SBATCH", 3.0), ("sbatch", 2.5), ("srun", 2.5), ("--gres", 1.0), ("--partition", 1.0)]
-FIRST = [("#BSUB", 3.0), ("bsub", 2.5), ("bjobs", 2.5), ("-q ", 1.0)]
-
-
-def script_scores(jobs: DataFrame) -> DataFrame:
-    """Weights of both generations' script patterns in command and name, and the class that wins (ties at 0 are unknown)."""
-    text = F.concat(F.coalesce("command", F.lit("")), F.lit(" "), F.coalesce("job_name", F.lit("")))
-    s = jobs.select("job_id", _score(text, FIRST).alias("first"), _score(text, SECOND).alias("second"))
-    sure = F.greatest("first", "second") / (F.col("first") + F.col("second") + 1e-6)
-    kind = F.when((F.col("first") == 0) & (F.col("second") == 0), "unknown").when(F.col("first") > F.col("second"), "first").when(F.col("first") < F.col("second"), "second").otherwise("mixed")
-    return s.select("job_id", "first", "second", kind.alias("generation"), F.round(sure, 6).alias("confidence"))
-
-
-# Words of language-model work.
-HIGH, MEDIUM, SUPPORT = ["llama", "gpt", "bert", "llm"], ["finetune", "lora", "transformer", "deepspeed"], ["train", "python", "gpu"]
-
-
-def llm_jobs(jobs: DataFrame, least: int = 5) -> DataFrame:
-    """Language-model jobs by words of the command that occur at least ``least`` times in the log.
-
-    Only words of the fixed lists can score, so the lists are met first and the learned counts are one row of as many columns.
-    """
-    lists = [(w, 3) for w in HIGH] + [(w, 2) for w in MEDIUM] + [(w, 1) for w in SUPPORT]
-    text = F.lower(F.coalesce("command", F.lit("")))
-    has = {w: text.contains(w) for w, _ in lists}
-    counts = jobs.agg(*[F.count_if(has[w]).alias(f"n_{w}") for w, _ in lists])
-    names = F.array_compact(F.array(*[F.when(F.col(f"n_{w}") >= least, F.lit(w)) for w, _ in lists]))
-    known = counts.select(names.alias("known")).first()["known"]  # at most the fixed lists
-    score = F.lit(0)
-    for w, s in lists:
-        if w in known:
-            score = score + F.when(has[w], s).otherwise(0)
-    return jobs.select("job_id", score.cast("long").alias("score"), F.when(score >= 3, "LLM").otherwise("Non_LLM").alias("kind"))
-
-
 def word_counts(jobs: DataFrame, least: int = 5) -> DataFrame:
     """Words of commands with their number, those of ``least`` or more."""
     w = jobs.select(F.explode(F.regexp_extract_all(F.lower("command"), F.lit(r"([a-z0-9_-]{3,})"), F.lit(1))).alias("word"))
@@ -157,8 +114,8 @@ def word_counts(jobs: DataFrame, least: int = 5) -> DataFrame:
 
 
 def majority(jobs: DataFrame) -> DataFrame:
-    """Per cluster the most frequent class (smaller name on a tie), and how many rows disagree."""
-    n = script_scores(jobs).join(jobs.select("job_id", "cluster_name"), "job_id").groupBy("cluster_name", "generation").agg(F.count("*").alias("n"))
+    """Per cluster the most frequent generation (smaller name on a tie), and how many rows disagree."""
+    n = rules.generations(jobs).groupBy("cluster_name", "generation").agg(F.count("*").alias("n"))
     best = n.groupBy("cluster_name").agg(F.min_by("generation", F.struct(-F.col("n"), F.col("generation"))).alias("generation"), F.max("n").alias("most"), F.sum("n").alias("n"))
     return best.select("cluster_name", "generation", "n", (F.col("n") - F.col("most")).alias("others"))
 

@@ -21,9 +21,6 @@ def _sub(x: str) -> str:
 _NODES, _CORES, _GPUS = ("CASE subcluster " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in capacity.SPEC.items()) + " END" for i in range(3))
 _VIEWS["prim"] = f"SELECT job_id, arg_min(s, (-n, s)) AS subcluster, max(n) AS hosts FROM (SELECT job_id, {_sub('host')} AS s, count(*) AS n FROM hosts WHERE host IS NOT NULL GROUP BY 1, 2) GROUP BY 1"
 _VIEWS["jh"] = "SELECT DISTINCT h.job_id, h.server, h.hour, cpu_total, gpu_util, load_1min, power, w.server IS NULL AS all_null FROM jobhour h LEFT JOIN wide w ON w.server = h.server AND w.hour = h.hour WHERE w.server IS NOT NULL OR h.server NOT IN (SELECT server FROM tel)"
-_LLMW = [(w, 3) for w in cleaning.HIGH] + [(w, 2) for w in cleaning.MEDIUM] + [(w, 1) for w in cleaning.SUPPORT]
-_VIEWS["llmw"] = "SELECT *, " + " + ".join(f"CASE WHEN contains(lower(coalesce(command, '')), '{w}') AND (SELECT count(*) FROM jobs WHERE contains(lower(command), '{w}')) >= 5 THEN {s} ELSE 0 END" for w, s in _LLMW) + " AS words FROM jobs"
-_VIEWS["llmp"] = f"SELECT job_id, CASE WHEN words >= 3 THEN 'LLM' WHEN words > 0 THEN 'Non_LLM' WHEN (gpu_num >= 4)::INT + (coalesce({_SECONDS}, 0) >= 3600)::INT + (cpu_num >= 16)::INT >= 2 THEN 'LLM' ELSE 'Unknown' END AS kind, CASE WHEN words > 0 THEN 'words' ELSE 'resources' END AS how FROM llmw"
 
 # Sources and projections
 _add("src_csv_jobs", lambda t: t.jobs.select("job_id", F.round(C.seconds("submit_time", "start_time") / 60, 6).alias("queue_min"), F.round(C.seconds("start_time", "end_time") / 60, 6).alias("run_min")).where("run_min > 0"), f"SELECT * FROM (SELECT job_id, round(date_diff('second', submit_time, start_time) / 60, 6) AS queue_min, round({_SECONDS} / 60, 6) AS run_min FROM jobs) WHERE run_min > 0")
@@ -101,8 +98,6 @@ _add("jn_day_compare", lambda t: sampling.compare_days(_burst(t), sampling.strat
 _add("jn_overlap_window", lambda t: capacity.windows(_log(t)), "SELECT hour, count(*) AS jobs, CAST(sum(gpu_num) AS BIGINT) AS gpus FROM (SELECT gpu_num, unnest(generate_series(date_trunc('hour', start_time), end_time, INTERVAL 1 HOUR)) AS hour FROM log) GROUP BY 1")
 _add("jn_overlap_self", lambda t: capacity.overlapping_gpus(_log(t)), "SELECT a.job_id, CAST(sum(b.gpu_num) AS BIGINT) AS gpus FROM log a JOIN log b ON b.start_time <= a.end_time AND b.end_time >= a.start_time GROUP BY 1")
 _add("jn_server_resolve", lambda t: capacity.resolved(t.jobs, _tel(t)), f"SELECT host, coalesce(same, other) AS server, CASE WHEN same IS NOT NULL THEN 'same' WHEN other IS NOT NULL THEN 'group' ELSE 'none' END AS how FROM (SELECT DISTINCT host, {_sub('host')} AS s FROM hosts WHERE host IS NOT NULL) LEFT JOIN (SELECT DISTINCT server AS same FROM tel) ON same = host LEFT JOIN (SELECT {_sub('server')} AS s, min(server) AS other FROM tel GROUP BY 1) USING (s)")
-_add("jn_anti_range", lambda t: t.jobs.select("job_id").join(cleaning.script_scores(t.jobs).where("generation <> 'unknown'").select("job_id"), "job_id", "left_anti"), "SELECT job_id FROM scripts WHERE generation = 'unknown'")
-_add("jn_majority_back", lambda t: cleaning.script_scores(t.jobs).join(t.jobs.select("job_id", "cluster_name"), "job_id").join(cleaning.majority(t.jobs).select("cluster_name", F.col("generation").alias("most")), "cluster_name").select("job_id", (F.col("generation") != F.col("most")).alias("odd")), "SELECT job_id, generation <> most AS odd FROM scripts JOIN (SELECT cluster_name, arg_min(generation, (-n, generation)) AS most FROM (SELECT cluster_name, generation, count(*) AS n FROM scripts GROUP BY 1, 2) GROUP BY 1) USING (cluster_name)")
 _add("jn_bounds_back", lambda t: _burst(t).where("submit_time is not null").withColumn("day", F.to_date("submit_time")).join(sampling.daily_levels(_burst(t)), "day").groupBy("level").agg(F.count("*").alias("n")), "SELECT CASE WHEN n >= 1000 AND day = DATE '2024-01-14' THEN 'extreme' END AS level, n FROM days WHERE false UNION ALL SELECT level, CAST(sum(n) AS BIGINT) FROM (SELECT n, CASE WHEN n >= e THEN 'extreme' WHEN n >= s THEN 'severe' WHEN n >= 340 THEN 'moderate' ELSE 'normal' END AS level FROM days, (SELECT greatest(1000, 10 * q2, m + 5 * sd) AS e, greatest(400, q2 + 3 * (q3 - q1), m + 3 * sd) AS s FROM (SELECT quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3, avg(n) AS m, stddev_samp(n) AS sd FROM days))) GROUP BY 1")
 
 # Aggregates
@@ -180,26 +175,11 @@ _add("set_intersect", lambda t: t.table("lineitem").where("l_linenumber = 1").se
 _add("set_distinct", lambda t: t.telemetry.select("server", "metric", "ts").distinct(), "SELECT DISTINCT server, metric, ts FROM raw")
 
 # Classification, inference, quality
-_SCORE = " + ".join(f"CASE WHEN regexp_matches(coalesce(exec_hosts, ''), '{p}') THEN {w}::DOUBLE ELSE 0 END" for p, w in classify.NODES)
-_add("cls_node_score", lambda t: classify.node_scores(t.jobs), f"SELECT job_id, {_SCORE} AS node_score FROM jobs")
-_add("cls_mgmt", lambda t: classify.management(t.jobs), f"SELECT job_id, coalesce(regexp_matches(exec_hosts, '{classify.MANAGEMENT}'), false) AS management FROM jobs")
-_add("cls_generation", lambda t: classify.generation(t.jobs), f"""SELECT job_id, CASE WHEN regexp_matches(coalesce(exec_hosts, ''), '{classify.MANAGEMENT}') THEN 'management' WHEN f = 0 AND s = 0 THEN 'unknown' WHEN f > s THEN 'first_' || level WHEN f < s THEN 'second_' || level ELSE 'mixed' END AS generation FROM
-    (SELECT *, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM (SELECT *, greatest(f, s) / (f + s + 1e-6) AS c FROM (SELECT job_id, exec_hosts, first AS f, second + 3 * ({_SCORE}) AS s FROM scripts JOIN jobs USING (job_id))))""")
-_CNT = lambda rules: " + ".join(f"regexp_matches(x, '(?i){p}')::BIGINT" for p, _ in rules)
-_add("cls_generation2", lambda t: classify.generation2(t.jobs), f"SELECT job_id, f AS first, s AS second, CASE WHEN f = 0 AND s = 0 THEN 'unknown' WHEN f > s THEN 'first' WHEN f < s THEN 'second' ELSE 'both' END AS generation FROM (SELECT job_id, {_CNT(cleaning.FIRST)} AS f, {_CNT(cleaning.SECOND)} AS s FROM (SELECT job_id, concat_ws(' ', command, job_name, queue) AS x FROM jobs))")
 _DIST = "coalesce(n, 0) > 1 OR gpu_num > 4 OR coalesce(regexp_matches(lower(command), 'mpirun|srun|torchrun|horovod|deepspeed'), false)"
 _HN = "jobs LEFT JOIN (SELECT job_id, count(*) AS n FROM hosts WHERE host IS NOT NULL GROUP BY 1) USING (job_id)"
 _add("cls_distributed", lambda t: classify.distributed(t.jobs), f"SELECT job_id, {_DIST} AS distributed FROM {_HN}")
 _add("cls_distributed_view", lambda t: classify.distributed_view(t.jobs), f"SELECT coalesce(n, 0) AS hosts, {_DIST} AS distributed, count(*) AS jobs FROM {_HN} GROUP BY 1, 2")
-_PARTS = ", ".join(f"0.40::DOUBLE * regexp_matches(x, '{'|'.join(w)}')::INT + 0.35::DOUBLE * {'g' if k == 'training' else '(1 - g)'} + 0.15::DOUBLE * starts_with(queue, '1')::INT + 0.10::DOUBLE * coalesce(job_status_str = 'DONE', false)::INT AS {k}" for k, w in classify.TYPES.items())
-_VIEWS["typed"] = f"SELECT job_id, CASE WHEN training >= simulation AND training >= script THEN 'training' WHEN simulation >= script THEN 'simulation' ELSE 'script' END AS type, round(greatest(training, simulation, script), 6) AS score FROM (SELECT job_id, {_PARTS} FROM (SELECT *, lower(concat_ws(' ', command, job_name)) AS x, (gpu_num > 0)::INT AS g FROM jobs))"
-_add("cls_type_score", lambda t: classify.type_scores(t.jobs), "SELECT job_id, type, score FROM typed")
-_add("cls_type_distribution", lambda t: classify.type_distribution(t.jobs), "SELECT type, count(*) AS n, round(avg(score), 6) AS mean_score, count_if(score >= 0.7) AS sure FROM typed GROUP BY 1")
 _add("cls_type_features", lambda t: t.jobs.select("job_id", F.lower(F.concat_ws(" ", "command", "job_name")).alias("text"), F.coalesce(C.seconds("start_time", "end_time"), F.lit(0)).alias("duration")), f"SELECT job_id, lower(concat_ws(' ', command, job_name)) AS text, coalesce({_SECONDS}, 0) AS duration FROM jobs")
-_add("cls_llm_resources", lambda t: classify.llm_by_resources(t.jobs), f"SELECT job_id, met, CASE WHEN met >= 2 THEN 'LLM' ELSE 'Unknown' END AS kind FROM (SELECT job_id, (gpu_num >= 4)::BIGINT + (coalesce({_SECONDS}, 0) >= 3600)::BIGINT + (cpu_num >= 16)::BIGINT AS met FROM llmw WHERE words = 0)")
-_add("cls_llm_pipeline", lambda t: classify.llm_pipeline(t.jobs), "SELECT job_id, kind, how FROM llmp")
-_add("cls_llm_split", lambda t: classify.llm_split(t.jobs), "SELECT kind, how, count(*) AS n FROM llmp GROUP BY 1, 2")
-_add("cls_task_type", lambda t: classify.task_type(t.jobs), "SELECT job_id, CASE WHEN regexp_matches(lower(command), 'finetune|lora') THEN 'finetuning' WHEN contains(lower(command), 'train') THEN 'training' WHEN contains(lower(command), 'lammps') THEN 'simulation' ELSE 'other' END AS task FROM jobs")
 _MD = lambda x: f"substring(md5(coalesce({x}, '')), 1, 8)"
 _add("inf_fingerprint", lambda t: classify.fingerprints(t.jobs), f"SELECT job_id, {_MD('command')} AS command, {_MD(chr(114) + 'egexp_replace(job_name, ' + repr('_?[0-9]+$') + ', ' + repr('') + ')')} AS name, {_MD('queue')} AS queue, cluster_name, CAST(coalesce(hour(submit_time), 12) AS BIGINT) AS hour, CAST(coalesce(isodow(submit_time) - 1, 1) AS BIGINT) AS weekday, coalesce({_SECONDS}, 300) AS duration FROM jobs")
 _add("inf_confidence", lambda t: classify.confidence(t.jobs), f"""SELECT command, queue, cluster_name, n, round(steady, 5) AS consistency, CASE WHEN n >= 10 AND steady > 0.8 THEN 'high' WHEN n >= 5 AND steady > 0.6 THEN 'medium' WHEN n >= 2 THEN 'low' ELSE 'singleton' END AS level FROM

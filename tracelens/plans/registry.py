@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
 from tracelens.operators import cleaning, sampling, telemetry, traces, users
-from tracelens.sources.views import JOBS, TELEMETRY, Tables
+from tracelens.sources.views import JOBS, TELEMETRY, WORK, Tables
 
 
 
@@ -23,6 +23,7 @@ def _mean(x: str, digits: int = 6) -> str:
 _SECONDS = "date_diff('second', start_time, end_time)"
 _VIEWS = {
     "jobs": JOBS.format(ts="TIMESTAMP"),
+    "work": WORK.replace("{extract}", "regexp_extract(hosts, '^[a-z0-9-]+')"),
     "burst": """SELECT * REPLACE (CASE WHEN job_id % 3 = 0 THEN TIMESTAMP '2024-01-14 00:00:00' + (submit_time - date_trunc('day', submit_time)) ELSE submit_time END AS submit_time) FROM jobs""",
     "log": f"""SELECT job_id, coalesce(user_id, 'unknown_user') AS "user", gpu_num, cpu_num, node_num,
         CASE WHEN job_status_str = 'DONE' THEN 'COMPLETED' WHEN job_status_str = 'EXIT' THEN 'FAILED' WHEN exit_status = 0 THEN 'COMPLETED' WHEN exit_status >= 128 THEN 'CANCELLED' ELSE 'FAILED' END AS state,
@@ -46,12 +47,6 @@ _VIEWS = {
     "marks": """SELECT *, md5(concat_ws('|', coalesce(command, ''), CAST(cpu_num AS VARCHAR), CAST(gpu_num AS VARCHAR), queue, regexp_replace(job_name, '_?[0-9]+$', ''))) AS f1,
         md5(concat_ws('|', coalesce(command, ''), CAST(cpu_num AS VARCHAR), queue)) AS f2 FROM jobs""",
     "days": "SELECT CAST(submit_time AS DATE) AS day, count(*) AS n FROM burst WHERE submit_time IS NOT NULL GROUP BY 1",
-    "scripts": """SELECT job_id, cluster_name, f AS first, s AS second, CASE WHEN f = 0 AND s = 0 THEN 'unknown' WHEN f > s THEN 'first' WHEN f < s THEN 'second' ELSE 'mixed' END AS generation,
-        round(greatest(f, s) / (f + s + 1e-6), 6) AS confidence FROM (SELECT *, """
-    + " + ".join(f"CASE WHEN regexp_matches(x, '(?i){p}') THEN {w:.1f}::DOUBLE ELSE 0 END" for p, w in cleaning.FIRST)
-    + " AS f, "
-    + " + ".join(f"CASE WHEN regexp_matches(x, '(?i){p}') THEN {w:.1f}::DOUBLE ELSE 0 END" for p, w in cleaning.SECOND)
-    + " AS s FROM (SELECT *, coalesce(command, '') || ' ' || coalesce(job_name, '') AS x FROM jobs))",
     "grp": """SELECT *, CASE WHEN server LIKE 'cpu1-%' THEN 'CPU1' WHEN server LIKE 'gpu1-%' THEN 'GPU1' WHEN server LIKE 'bigmem-%' THEN 'BIGMEM' ELSE 'UNKNOWN' END AS grp FROM tel""",
     "use": 'SELECT "user", CAST(sum(gpu_num * duration) AS BIGINT) AS use, count(*) AS jobs FROM log GROUP BY 1',
 }
@@ -161,12 +156,6 @@ _add("dq_assess", lambda t: cleaning.quality_grade(t.jobs), f"SELECT round(x, 6)
 _TOP = " UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value FROM jobs" for c in ("queue", "job_name", "exec_hosts", "user_id"))
 _add("ag_profile_topk", lambda t: cleaning.top_values(t.jobs, ["queue", "job_name", "exec_hosts", "user_id"]), f"SELECT name, rank, value, n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS rank FROM (SELECT name, value, count(*) AS n FROM ({_TOP}) WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 5")
 _add("ag_value_counts", lambda t: t.jobs.groupBy("queue", "cluster_name", "job_status_str").agg(F.count("*").alias("n")), "SELECT queue, cluster_name, job_status_str, count(*) AS n FROM jobs GROUP BY ALL")
-_add("cls_script_score", lambda t: cleaning.script_scores(t.jobs), "SELECT job_id, first, second, generation, confidence FROM scripts")
-_add("cls_majority_anomaly", lambda t: cleaning.majority(t.jobs), "SELECT cluster_name, arg_min(generation, (-n, generation)) AS generation, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) - max(n) AS BIGINT) AS others FROM (SELECT cluster_name, generation, count(*) AS n FROM scripts GROUP BY 1, 2) GROUP BY 1")
-_add("ag_class_summary", lambda t: cleaning.script_scores(t.jobs).groupBy("generation").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence")), "SELECT generation, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM scripts GROUP BY 1")
-_LISTS = [(w, 3) for w in cleaning.HIGH] + [(w, 2) for w in cleaning.MEDIUM] + [(w, 1) for w in cleaning.SUPPORT]
-_LLM = " + ".join(f"CASE WHEN contains(c, '{w}') AND (SELECT count(*) FROM jobs WHERE contains(lower(command), '{w}')) >= 5 THEN {s} ELSE 0 END" for w, s in _LISTS)
-_add("cls_llm_keywords", lambda t: cleaning.llm_jobs(t.jobs), f"SELECT job_id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 3 THEN 'LLM' ELSE 'Non_LLM' END AS kind FROM (SELECT job_id, {_LLM} AS score FROM (SELECT job_id, lower(coalesce(command, '')) AS c FROM jobs))")
 _add("cls_llm_learn", lambda t: cleaning.word_counts(t.jobs), "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(command), '[a-z0-9_-]{3,}')) AS word FROM jobs) GROUP BY 1 HAVING count(*) >= 5")
 _add("fn_words", lambda t: t.jobs.select("job_id", F.coalesce(F.size(F.regexp_extract_all(F.lower("command"), F.lit("([a-z0-9_-]{3,})"), F.lit(1))), F.lit(0)).cast("long").alias("words")).withColumn("words", F.greatest("words", F.lit(0))), "SELECT job_id, CAST(coalesce(len(regexp_extract_all(lower(command), '[a-z0-9_-]{3,}')), 0) AS BIGINT) AS words FROM jobs")
 _add("fn_status_map3", lambda t: t.jobs.select("job_id", C.state("job_status_str", "exit_status").alias("state")), "SELECT job_id, CASE WHEN job_status_str = 'DONE' THEN 'COMPLETED' WHEN job_status_str = 'EXIT' THEN 'FAILED' WHEN exit_status = 0 THEN 'COMPLETED' WHEN exit_status >= 128 THEN 'CANCELLED' ELSE 'FAILED' END AS state FROM jobs")

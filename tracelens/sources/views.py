@@ -41,6 +41,33 @@ SELECT CONCAT(CASE user_id % 3 WHEN 0 THEN 'cpu1-' WHEN 1 THEN 'gpu1-' ELSE 'big
 FROM (SELECT *, UNNEST(CASE WHEN event_id % 10 = 0 THEN [1, 2] ELSE [1] END) AS copy FROM events) e
 """
 
+#: Commands and host lists that the classification queries see, by job: each separates some rules from the others.
+COMMANDS = [
+    "#BSUB -q normal -n 8", '#BSUB -R "span[hosts=1]" ./run', "bsub -q long -n 16 ./a.out", "jsub -q short ./b.out", "echo $LSF_JOBID", "unischeduler --submit job.xml", "source /opt/jhinno/profile.unischeduler",
+    "#SBATCH --partition=i64m512u", "sbatch --gres=gpu:4 train.py", "srun --ntasks=64 --mem=10G lammps -in x.in", "echo $SLURM_JOB_NODELIST", "#SBATCH --cpus-per-task=8 bsub -q x", "python finetune_llama.py --lora",
+    "torchrun pretrain.py --model gpt-4 --tokenizer bpe", "deepspeed train.py --model llama-2 --embedding", "python serve.py --model mistral-7b vllm", "mpirun -np 64 vasp", "mpirun lammps -n 4 molecular dynamics",
+    "python train.py resnet imagenet epoch batch optimizer", "yolo detection train coco batch 16", "psql select sql query postgres database", "node backend express http", "ansys fluent simulation mesh", "python rag.py retriever langchain llm claude",
+    "msrun npu ascend mindspore train.py huawei atlas", None, "", "bash run.sh", "gemini transformer flask sql redis",
+]
+HOSTS = ["node001", "cn012+cn013", "mgmt01", "supermicro-3,gpu7", "c-node7", "g-node4", "compute-9", "fat3+mem2", "training-2", "old-5", None, ""]
+ORIGINS = ["login1", "ws-17", "gpu-dev", "old-3", None]
+CLUSTERS = ["jhcluster", "ASCEND-AI", "main", None]
+
+
+def _listed(values: list, at: str) -> str:
+    """SQL of the value at a place, for both engines."""
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return f"CASE {at} " + " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values)) + " END"
+
+
+#: ``work``: the jobs with those commands and hosts, and with the columns that only the classification reads. ``{extract}`` is the engine's first match.
+WORK = f"""
+SELECT job_id, user_id, job_name, queue, gpu_num, cpu_num, node_num, job_status_str, exit_status, submit_time, start_time, end_time,
+       {_listed(COMMANDS, f"(job_id + cpu_num) % {len(COMMANDS)}")} AS command, hosts AS exec_hosts, CASE WHEN job_id % 4 = 1 THEN {{extract}} END AS first_exec_host,
+       {_listed(ORIGINS, "(job_id + node_num) % 9")} AS from_host, {_listed(CLUSTERS, "job_id % 5")} AS cluster_name, CAST(cpu_num * 4 AS BIGINT) AS mem_gb, CAST(CASE WHEN gpu_num > 0 THEN 8 * (1 + job_id % 5) END AS BIGINT) AS gpu_mem_gb
+FROM (SELECT *, CASE WHEN job_id % 17 < {len(HOSTS)} THEN {_listed(HOSTS, "job_id % 17")} ELSE exec_hosts END AS hosts FROM jobs) w
+"""
+
 
 class Tables:
     """The given tables and views of one folder."""
@@ -55,6 +82,11 @@ class Tables:
     def jobs(self) -> DataFrame:
         return self._sql(JOBS, orders=self.table("orders"))
 
+    @cached_property
+    def work(self) -> DataFrame:
+        sql = WORK.replace("{extract}", "regexp_extract(hosts, '^[a-z0-9-]+', 0)").replace("\\", "\\\\")
+        return self.spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM jobs)", "FROM {jobs})"), jobs=self.jobs)
+
     @cached_property
     def telemetry(self) -> DataFrame:
         e = self.table("events")
