@@ -80,3 +80,43 @@ def right_closed(value: Column, edges: list[float], labels: list[str]) -> Column
     for a, b, label in reversed(list(zip(edges, edges[1:], labels, strict=False))):
         out = F.when((value > a) & (value <= b), label).otherwise(out)
     return out
+
+
+# States by text, by code and by exit status.
+STATE_TEXTS = {"DONE": "Pass", "EXIT": "Failed", "TIMEOUT": "Killed", "FAILED": "Failed", "KILLED": "Killed", "CANCELLED": "Killed"}
+STATE_CODES = {32: "Pass", 1: "Failed", 2: "Failed", 3: "Killed", 4: "Killed"}
+GOOD_EXITS, BAD_EXITS = [0], [1, 2, 130, 143]
+
+
+def layered_state(text: str, code: str, exit_status: str) -> Column:
+    """Struct of state and confidence: by text (0.9), else by code (0.8), else by exit status (0.7), else Unknown (0)."""
+    sure = lambda s, c: F.struct(s.alias("state"), F.lit(c).alias("confidence"))
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    by_text, by_code = F.try_element_at(table(STATE_TEXTS), F.upper(F.col(text))), F.try_element_at(table(STATE_CODES), F.col(code).cast("int"))
+    by_exit = F.when(F.col(exit_status).isin(GOOD_EXITS), "Pass").when(F.col(exit_status).isin(BAD_EXITS), "Failed")
+    return F.when(by_text.isNotNull(), sure(by_text, 0.9)).when(by_code.isNotNull(), sure(by_code, 0.8)).when(by_exit.isNotNull(), sure(by_exit, 0.7)).otherwise(sure(F.lit("Unknown"), 0.0))
+
+
+def _first_number(text: Column) -> Column:
+    return F.regexp_extract(text, r"([0-9]+[.]?[0-9]*)", 1).try_cast("double")
+
+
+def gigabytes(amount: str) -> Column:
+    """An amount of memory in GB: by its unit; without one, more than 10,000 are MB."""
+    x, n = F.lower(F.trim(F.col(amount))), _first_number(F.lower(F.col(amount)))
+    return F.when(x.contains("t"), n * 1024).when(x.contains("g"), n).when(x.contains("m"), n / 1024).when(x.contains("k"), n / 1048576).otherwise(F.when(n > 10000, n / 1024).otherwise(n))
+
+
+def run_hours(amount: str) -> Column:
+    """A run time in hours: H:M:S, M:S, a number with a unit, or a bare number, of which more than 10,000 are seconds."""
+    x = F.lower(F.trim(F.col(amount)))
+    part = lambda i: F.try_element_at(F.split(x, ":"), F.lit(i)).try_cast("int")
+    n, unit = _first_number(x), F.regexp_extract(x, r"[0-9]+[.]?[0-9]*\s*([a-z]*)", 1)
+    clock = F.when(F.size(F.split(x, ":")) == 3, part(1) + part(2) / 60 + part(3) / 3600).when(F.size(F.split(x, ":")) == 2, part(1) / 60 + part(2) / 3600)
+    by_unit = F.when(unit.contains("day") | (unit == "d"), n * 24).when(unit.contains("hour") | unit.contains("hr") | (unit == "h"), n).when(unit.contains("min") | (unit == "m"), n / 60).when(unit.contains("sec") | (unit == "s"), n / 3600)
+    return F.coalesce(clock, by_unit, F.when(n > 10000, n / 3600).otherwise(n))
+
+
+def bare_count(amount: str) -> Column:
+    """A number of cores or GPUs: all digits and points of the text as one number."""
+    return F.regexp_replace(F.col(amount), r"[^0-9.]", "").try_cast("double")

@@ -94,13 +94,33 @@ def windows(log: DataFrame) -> DataFrame:
     return met.groupBy("hour").agg(F.count("*").alias("jobs"), F.sum("gpu_num").alias("gpus"))
 
 
-def resolved(jobs: DataFrame, t: DataFrame) -> DataFrame:
-    """Telemetry server of each host: the same name, else the first server of its subcluster."""
+def normalised(name: Column) -> Column:
+    """A host's name in lower case, without its domain and without signs other than letters and digits."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"\..*$", ""), "[^a-z0-9]", "")
+
+
+def name_keys(name: Column) -> Column:
+    """A name and what is left of it without each one of its signs: two names one edit apart share a key."""
+    cut = lambda i: F.concat(name.substr(F.lit(1), i - 1), name.substr(i + 1, F.length(name)))
+    return F.array_distinct(F.concat(F.array(name), F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), cut)).otherwise(F.array())))
+
+
+def resolved(hosts: DataFrame, t: DataFrame) -> DataFrame:
+    """Telemetry server of each of ``hosts`` (column host): the same name, else the first server of its subcluster, else one of a like name.
+
+    Names are alike if their normalised forms are at most one edit apart: they meet by the index of ``name_keys``, and the edit distance confirms.
+    The nearest counts, then the smaller name.
+    """
     servers = t.select("server").distinct()
-    first = servers.groupBy(C.subcluster(F.col("server")).alias("s")).agg(F.min("server").alias("other"))
-    h = telemetry.job_hosts(jobs).select(F.col("server").alias("host")).distinct().withColumn("s", C.subcluster(F.col("host")))
+    first = servers.groupBy(C.subcluster(F.col("server")).alias("s")).agg(F.min("server").alias("other")).where("s <> 'UNKNOWN'")
+    h = hosts.select("host").distinct().withColumn("s", C.subcluster(F.col("host")))
     got = h.join(servers.select(F.col("server").alias("host"), F.col("server").alias("same")), "host", "left").join(first, "s", "left")
-    return got.select("host", F.coalesce("same", "other").alias("server"), F.when(F.col("same").isNotNull(), "same").when(F.col("other").isNotNull(), "group").otherwise("none").alias("how"))
+    index = servers.withColumn("m", normalised(F.col("server"))).withColumn("key", F.explode(name_keys(F.col("m"))))
+    asked = got.where("same is null and other is null").select("host").withColumn("n", normalised(F.col("host"))).where("n <> ''")
+    met = asked.withColumn("key", F.explode(name_keys(F.col("n")))).join(index, "key").withColumn("far", F.levenshtein("n", "m")).where("far <= 1")
+    near = met.groupBy("host").agg(F.min_by("server", F.struct("far", "server")).alias("like"))
+    how = F.when(F.col("same").isNotNull(), "same").when(F.col("other").isNotNull(), "group").when(F.col("like").isNotNull(), "name").otherwise("none")
+    return got.join(near, "host", "left").select("host", F.coalesce("same", "other", "like").alias("server"), how.alias("how"))
 
 
 def by_command(jobs: DataFrame, t: DataFrame) -> DataFrame:

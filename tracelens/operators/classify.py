@@ -36,23 +36,6 @@ def llm_split(jobs: DataFrame) -> DataFrame:
     return n.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("kind")), 6))
 
 
-def fingerprints(jobs: DataFrame) -> DataFrame:
-    """Short hashes of command, base name, queue and cluster, and hour, weekday and duration with defaults."""
-    short = lambda c: F.substring(F.md5(F.coalesce(c, F.lit("")).cast("binary")), 1, 8)
-    return jobs.select(
-        "job_id", short(F.col("command")).alias("command"), short(C.base_name("job_name")).alias("name"), short(F.col("queue")).alias("queue"), "cluster_name",
-        F.coalesce(F.hour("submit_time"), F.lit(12)).cast("long").alias("hour"), F.coalesce(F.weekday("submit_time"), F.lit(1)).cast("long").alias("weekday"), F.coalesce(C.seconds("start_time", "end_time"), F.lit(300)).alias("duration"),
-    )
-
-
-def confidence(jobs: DataFrame) -> DataFrame:
-    """Groups of jobs without user that share their fingerprint's categories: size, consistency and level."""
-    g = fingerprints(jobs.where("user_id is null")).join(jobs.select("job_id", "job_name", "cpu_num"), "job_id").groupBy("command", "queue", "cluster_name")
-    got = g.agg(F.count("*").alias("n"), F.count_distinct("job_name").alias("names"), F.coalesce(F.stddev_samp("cpu_num"), F.lit(0.0)).alias("sc"), F.coalesce(F.stddev_samp("hour"), F.lit(0.0)).alias("sh"))
-    steady = (1 / F.col("names") + 1 / (1 + F.col("sc")) + 1 / (1 + F.col("sh") / 24)) / 3
-    return got.select("command", "queue", "cluster_name", "n", F.round(steady, 5).alias("consistency"), F.when((F.col("n") >= 10) & (steady > 0.8), "high").when((F.col("n") >= 5) & (steady > 0.6), "medium").when(F.col("n") >= 2, "low").otherwise("singleton").alias("level"))
-
-
 def overview(jobs: DataFrame) -> DataFrame:
     """Rows, invalid durations and queues, and the months, weekdays and hours that submissions cover."""
     d, q = C.seconds("start_time", "end_time"), C.seconds("submit_time", "start_time")

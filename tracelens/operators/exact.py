@@ -31,8 +31,9 @@ def order_key(value: Column, kind: T.DataType) -> Column:
     return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float], weight: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles of a number: rows (groups, p, q). Null values are left out; ``groups`` must not be null.
+    With ``weight`` a row stands for that many.
 
     Radix selection: distinct values are counted once. Each round then counts, by the leading bits of an order-preserving key, only the
     ranges that hold a wanted rank, and narrows each to one of their parts, until no deciding range holds more than ``RANKED`` distinct values; those
@@ -40,7 +41,7 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float])
     2**ROUND_BITS counts or ``RANKED`` values, however many values a group has and however they lie.
     """
     x = df.where(F.col(value).isNotNull())
-    values = cut(x.groupBy(*groups, order_key(F.col(value), df.schema[value].dataType).alias("_k")).agg(F.count("*").alias("_n"), F.first(F.col(value).cast("double")).alias("_v")))
+    values = cut(x.groupBy(*groups, order_key(F.col(value), df.schema[value].dataType).alias("_k")).agg((F.sum(weight) if weight else F.count("*")).alias("_n"), F.first(F.col(value).cast("double")).alias("_v")))
     ends = values.agg(F.min("_k").alias("low"), F.max("_k").alias("high")).first()
     shift = 0 if ends["low"] is None else max(0, (ends["low"] ^ ends["high"]).bit_length() - ROUND_BITS)
     if ends["low"] is not None and (ends["low"] < 0) != (ends["high"] < 0):

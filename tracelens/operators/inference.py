@@ -1,40 +1,70 @@
-"""Clusters of jobs without a user: density clustering within equal categories."""
+"""Users of jobs without one: fingerprints, density clustering within equal categories, and how sure a cluster is."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
+from tracelens.operators import scan
 from tracelens.operators.graph import components, cut
+from tracelens.operators.rules import number_of, text_of
 
-CATEGORIES = ("cluster_name", "queue", "kind", "base")
-NUMBERS = ("cpu_num", "gpu_num", "hour", "weekday")
+CATEGORIES = ("command", "base", "origin", "queue")
+# The numbers of a fingerprint and what stands for a missing one.
+NUMBERS = {"cpus": 0, "mem": 0, "gpus": 0, "hour": 12, "weekday": 1, "duration": 300, "success": 0}
+# Levels of confidence: least jobs, least consistency, form of the id.
+LEVELS = [("high", 10, 0.8, "inferred_high_%03d"), ("medium", 5, 0.6, "inferred_medium_%03d"), ("low", 2, 0.0, "inferred_low_%03d"), ("singleton", 0, 0.0, "singleton_%03d")]
+#: Axes of the neighbour search.
+PIVOTS = 3
 
 
-def clusters(jobs: DataFrame, eps: float = 0.3, least: int = 3, names: bool = True) -> DataFrame:
+def fingerprints(jobs: DataFrame) -> DataFrame:
+    """Hashes of the whole command, the base name, the host of origin and the queue, and seven numbers, of every job."""
+    short = lambda c: F.substring(F.md5(c.cast("binary")), 1, 8)
+    known = {
+        "cpus": number_of(jobs, "cpu_num"), "mem": number_of(jobs, "mem_gb"), "gpus": number_of(jobs, "gpu_num"), "hour": F.hour("submit_time"), "weekday": F.weekday("submit_time"),
+        "duration": C.seconds("start_time", "end_time"), "success": (F.col("exit_status") == 0).cast("int"),
+    }
+    numbers = [F.coalesce(c.cast("double"), F.lit(float(NUMBERS[k]))).alias(k) for k, c in known.items()]
+    whole = {"command": text_of(jobs, "command"), "base": F.coalesce(C.base_name("job_name"), F.lit("")), "origin": text_of(jobs, "from_host"), "queue": text_of(jobs, "queue")}
+    return jobs.select("job_id", "user_id", *[short(c).alias(k) for k, c in whole.items()], *numbers)
+
+
+def _axes(z: list[Column]) -> list[Column]:
+    """Distances to fixed points far out on the axes of the space, in a few sums: no two vectors differ in one by more than their distance.
+
+    Of each point's coordinates a third are 8, the rest 0, so that together the axes follow all numbers.
+    """
+    out = []
+    for i in range(PIVOTS):
+        out.append(F.sqrt(sum(((c - (8.0 if j % PIVOTS == i else 0.0)) ** 2 for j, c in enumerate(z)), F.lit(0.0))))
+    return out
+
+
+def clusters(jobs: DataFrame, eps: float = 0.3, least: int = 3) -> DataFrame:
     """Rows (job_id, cluster) of jobs without a user; a cluster is named by its smallest job, jobs outside all have null.
 
-    Density clustering of standardised numbers inside equal categories (a difference in a category alone exceeds ``eps``): hashes of the
-    whole command and of the base name (without ``names`` the latter is left out), the queue and the cluster. Equal
-    vectors are one node with a weight. Nodes meet over grid cells of side ``eps``: the numbers are whole, so a cell holds a bounded number of
-    different vectors, however many jobs have them. A node whose neighbourhood weighs ``least`` or more is core; core nodes within ``eps`` are
-    linked; other nodes near a core take the smallest cluster.
+    Density clustering of standardised numbers inside equal categories (a difference in a category alone exceeds ``eps``). Equal vectors are
+    one node with a weight. Nodes meet by their distances to ``PIVOTS`` fixed points, in cells of side ``eps``: two nodes within ``eps`` lie in the same
+    or neighbouring cells, as a distance to a point differs by no more than theirs. Each pair of cells is tried from one side only, and pairs are confirmed
+    by the distance itself. So seven numbers cost 14 copies of a node, not the 3^7 of a grid over the numbers. A node whose neighbourhood weighs
+    ``least`` or more is core; core nodes within ``eps`` are linked; other nodes near a core take the smallest cluster.
     """
-    whole = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
-    x = jobs.where("user_id is null").select(
-        "job_id", "cluster_name", "queue", whole(F.col("command")).alias("kind"), whole(C.base_name("job_name") if names else F.lit("")).alias("base"), F.col("cpu_num").cast("long"), F.col("gpu_num").cast("long"),
-        F.coalesce(F.hour("submit_time"), F.lit(12)).cast("long").alias("hour"), F.coalesce(F.weekday("submit_time"), F.lit(1)).cast("long").alias("weekday"),
-    )
-    stats = x.agg(*[f(c).alias(f"{n}_{c}") for c in NUMBERS for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()  # eight numbers
+    x = cut(fingerprints(jobs.where("user_id is null")).drop("user_id"))
+    stats = x.agg(*[f(c).alias(f"{n}_{c}") for c in NUMBERS for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()  # two numbers a column
     z = [(F.col(c) - F.lit(stats[f"m_{c}"] or 0.0)) / F.lit((stats[f"s_{c}"] or 0.0) or 1.0) for c in NUMBERS]
     key = [*CATEGORIES, *NUMBERS]
-    nodes = cut(x.groupBy(*key).agg(F.min("job_id").alias("node"), F.count("*").alias("w")).withColumns({f"z{i}": c for i, c in enumerate(z)}).withColumns({f"c{i}": F.floor(F.col(f"z{i}") / eps) for i in range(len(NUMBERS))}))
-    near = nodes.select(*CATEGORIES, F.col("node").alias("a"), *[F.col(f"z{i}").alias(f"y{i}") for i in range(len(NUMBERS))], *[F.col(f"c{i}").alias(f"b{i}") for i in range(len(NUMBERS))])
-    for i in range(len(NUMBERS)):
-        near = near.withColumn(f"c{i}", F.explode(F.array(*[F.col(f"b{i}") + d for d in (-1, 0, 1)])))
-    distance = sum(((F.col(f"z{i}") - F.col(f"y{i}")) ** 2 for i in range(len(NUMBERS))), F.lit(0.0))
-    pairs = cut(near.join(nodes, [*CATEGORIES, *[f"c{i}" for i in range(len(NUMBERS))]]).where(distance <= eps * eps).select("a", F.col("node").alias("b"), "w"))
+    nodes = x.groupBy(*key).agg(F.min("job_id").alias("node"), F.count("*").alias("w")).withColumn("z", F.array(*z))
+    nodes = cut(nodes.withColumns({f"c{i}": F.floor(c / eps) for i, c in enumerate(_axes([F.col("z")[i] for i in range(len(NUMBERS))]))}))
+    cells = [f"c{i}" for i in range(PIVOTS)]
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    offer = F.explode(F.array(*[F.struct(*[(F.col(c) + d).alias(c) for c, d in zip(cells, step, strict=True)], F.lit(any(step)).alias("other")) for step in steps]))
+    near = nodes.withColumn("at", offer).select(*CATEGORIES, *[F.col(f"at.{c}").alias(c) for c in cells], "at.other", F.col("node").alias("a"), F.col("z").alias("y"), F.col("w").alias("v"))
+    apart = F.aggregate(F.zip_with("z", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
+    met = near.join(nodes.select(*CATEGORIES, *cells, "node", "z", "w"), [*CATEGORIES, *cells]).where("other or a <= node").where(apart <= eps * eps)
+    once = cut(met.select("a", "v", F.col("node").alias("b"), "w"))
+    pairs = once.select("a", "b", "w").unionByName(once.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("v").alias("w")))
     core = cut(pairs.groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("node")))
     linked = pairs.select("a", "b").join(core.withColumnRenamed("node", "a"), "a", "left_semi")
     roots = components(linked.join(core.withColumnRenamed("node", "b"), "b", "left_semi"))
@@ -44,7 +74,31 @@ def clusters(jobs: DataFrame, eps: float = 0.3, least: int = 3, names: bool = Tr
     return x.join(label, key).select("job_id", "cluster")
 
 
-def describe(jobs: DataFrame) -> DataFrame:
-    """Clusters with their sizes and base names."""
-    c = clusters(jobs).where("cluster is not null").join(jobs.select("job_id", C.base_name("job_name").alias("base")), "job_id")
-    return c.groupBy("cluster").agg(F.count("*").alias("jobs"), F.count_distinct("base").alias("names"))
+def confidence(jobs: DataFrame) -> DataFrame:
+    """Per cluster its size, consistency, level and the id that its jobs get.
+
+    Consistency is the mean of 1 / names, 1 / (1 + deviation of the cores) and 1 / (1 + deviation of the hour / 24). Ids are numbered in the order
+    of the clusters; the numbers come from a tree over the clusters' names, not from one window.
+    """
+    found = clusters(jobs).where("cluster is not null")
+    facts = found.join(jobs.select("job_id", "job_name", F.coalesce(number_of(jobs, "cpu_num"), F.lit(0.0)).alias("cpus"), F.coalesce(F.hour("submit_time"), F.lit(12)).alias("hour")), "job_id")
+    got = facts.groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct("job_name").alias("names"), *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"s_{c}") for c in ("cpus", "hour")])
+    steady = (1 / F.greatest(F.lit(1), F.col("names")) + 1 / (1 + F.col("s_cpus")) + 1 / (1 + F.col("s_hour") / 24)) / 3
+    got = cut(got.withColumn("consistency", F.round(steady, 6)))
+    numbered = scan.running_sums(got, [], F.floor(F.col("cluster") / 1000), ["cluster"], {"number": F.lit(1).cast("long")})
+    level, form = F.lit(LEVELS[-1][0]), F.lit(LEVELS[-1][3])
+    for name, size, share, text in reversed(LEVELS[:-1]):
+        fits = (F.col("n") >= size) & (F.col("consistency") >= share)
+        level, form = F.when(fits, name).otherwise(level), F.when(fits, text).otherwise(form)
+    ids = F.lit(None).cast("string")
+    for name, _, _, text in LEVELS:
+        ids = F.when(level == name, F.format_string(text, F.col("number"))).otherwise(ids)
+    return numbered.select("cluster", "n", "names", "consistency", level.alias("level"), ids.alias("inferred_user_id"))
+
+
+def inferred(jobs: DataFrame) -> DataFrame:
+    """Every job's user: its own, that of its cluster, or null, and how sure that is (``existing`` for known ones)."""
+    ids = clusters(jobs).join(confidence(jobs).select("cluster", "level", "inferred_user_id"), "cluster")
+    return jobs.select("job_id", "user_id").join(ids, "job_id", "left").select(
+        "job_id", F.coalesce("user_id", "inferred_user_id").alias("user_id"), F.when(F.col("user_id").isNotNull(), "existing").otherwise(F.col("level")).alias("confidence")
+    )

@@ -58,9 +58,10 @@ def compare_days(jobs: DataFrame, sampled: DataFrame) -> DataFrame:
 
 
 def missing_hours(jobs: DataFrame) -> DataFrame:
-    """Hours of the day without submissions."""
-    hours = jobs.sparkSession.range(24).select(F.col("id").alias("hour"))
-    return hours.join(jobs.where("submit_time is not null").select(F.hour("submit_time").cast("long").alias("hour")).distinct(), "hour", "left_anti")
+    """Hours of the day in which a user never submits, by user: one anti-join by (user, hour)."""
+    users = jobs.where("user_id is not null").select("user_id").distinct()
+    grid = users.withColumn("hour", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))))
+    return grid.join(jobs.where("submit_time is not null").select("user_id", F.hour("submit_time").cast("long").alias("hour")).distinct(), ["user_id", "hour"], "left_anti")
 
 
 def repeated(jobs: DataFrame, more_than: int = 3) -> DataFrame:
@@ -75,6 +76,20 @@ def peak_day(jobs: DataFrame) -> DataFrame:
     return d.join(best, "day").select("job_id", "day", "user_id", "submit_time")
 
 
+def busiest_day_users(log: DataFrame) -> DataFrame:
+    """Per user of the day with most submissions: jobs, durations, resources, first and last submission and the hours between."""
+    d = log.where("submit_time is not null").withColumn("day", F.to_date("submit_time"))
+    best = d.groupBy("day").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "day").limit(1).select("day")
+    x = d.join(best, "day")
+    mean = lambda c: F.round(F.sum(c) / F.count(c), 6)
+    got = x.groupBy("day", "user").agg(
+        F.count("*").alias("n"), mean("duration").alias("mean"), F.round(F.stddev_samp("duration"), 4).alias("std"), F.min("duration").alias("least"), F.max("duration").alias("most"),
+        mean("gpu_num").alias("mean_gpus"), F.sum("gpu_num").alias("gpus"), mean("cpu_num").alias("mean_cpus"), F.sum("cpu_num").alias("cpus"), F.min("submit_time").alias("first"), F.max("submit_time").alias("last"),
+        F.round(F.timestamp_diff("SECOND", F.min("submit_time"), F.max("submit_time")) / 3600, 6).alias("span_hours"),
+    )
+    return got.join(exact.wide_quantiles(x, ["user"], "duration", {"median": 0.5}), "user")
+
+
 def busy_minutes(jobs: DataFrame, more_than: int = 2) -> DataFrame:
     minute = F.date_trunc("minute", F.col("submit_time")).cast("timestamp_ntz")
     return jobs.where("submit_time is not null").groupBy(minute.alias("minute")).agg(F.count("*").alias("n")).where(F.col("n") > more_than)
@@ -84,16 +99,27 @@ def short_jobs(log: DataFrame, seconds: int = 600) -> DataFrame:
     return log.groupBy("user").agg(F.count_if(F.col("duration") < seconds).alias("short"), F.round(F.count_if(F.col("duration") < seconds) / F.count("*"), 9).alias("share")).where("short > 0")
 
 
-def user_scores(jobs: DataFrame, least: int = 100) -> DataFrame:
-    """Suspicion of users with more than ``least`` jobs: bursts in a minute, few names, very many jobs; with the reasons."""
-    per = jobs.where("user_id is not null and submit_time is not null").groupBy("user_id", F.date_trunc("minute", F.col("submit_time")).alias("m")).agg(F.count("*").alias("n"))
-    burst = per.groupBy("user_id").agg(F.max("n").alias("burst"))
-    names = jobs.where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("jobs"), F.count_distinct("job_name").alias("names"))
-    u = names.where(F.col("jobs") > least).join(burst, "user_id", "left")
-    fast, few = F.coalesce(F.col("burst") > 2, F.lit(False)), F.col("names") / F.col("jobs") < 0.1
-    score = F.when(fast, 3).otherwise(0) + F.when(few, 2).otherwise(0)
-    reasons = F.concat_ws(",", F.when(fast, "burst"), F.when(few, "few names"))
-    return u.select("user_id", "jobs", "names", "burst", score.cast("long").alias("score"), reasons.alias("reasons"))
+def user_scores(jobs: DataFrame, least: int = 100, burst: int = 100, many: int = 1000, very_many: int = 10_000) -> DataFrame:
+    """Suspicious users among those with more than ``least`` jobs, with their scores and reasons.
+
+    More than ``burst`` jobs in a minute: 3. Names fewer than a tenth of the jobs: 2. Durations that vary by less than a tenth of their mean over more
+    than ``many`` jobs: 2. More than ``very_many`` jobs: 3. Users of 3 and more are kept. Minutes are counted before users, so that no task holds a user's jobs.
+    """
+    known = jobs.where("user_id is not null")
+    per = known.where("submit_time is not null").groupBy("user_id", F.date_trunc("minute", F.col("submit_time")).alias("m")).agg(F.count("*").alias("n"))
+    most = per.groupBy("user_id").agg(F.max("n").alias("burst"))
+    d = C.seconds("start_time", "end_time")
+    u = known.groupBy("user_id").agg(F.count("*").alias("jobs"), F.count_distinct("job_name").alias("names"), F.stddev_samp(d).alias("s"), F.avg(d).alias("a")).where(F.col("jobs") > least).join(most, "user_id", "left")
+    u = u.withColumn("cv", F.when(F.col("a") > 0, F.round(F.col("s") / F.col("a"), 6)))
+    rules = [
+        ("burst", F.coalesce(F.col("burst") > burst, F.lit(False)), 3),
+        ("few names", F.col("names") / F.col("jobs") < 0.1, 2),
+        ("even durations", F.coalesce(F.col("cv") < 0.1, F.lit(False)) & (F.col("jobs") > many), 2),
+        ("very many jobs", F.col("jobs") > very_many, 3),
+    ]
+    score = sum((F.when(c, w).otherwise(0) for _, c, w in rules[1:]), F.when(rules[0][1], rules[0][2]).otherwise(0)).cast("long")
+    x = u.withColumn("score", score).where("score >= 3")
+    return x.select("user_id", "jobs", "names", "burst", "cv", "score", F.concat_ws(",", *[F.when(c, name) for name, c, _ in rules]).alias("reasons"))
 
 
 def datasets(log: DataFrame) -> DataFrame:

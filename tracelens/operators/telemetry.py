@@ -73,9 +73,31 @@ def power_bands(t: DataFrame, bands: tuple[float, ...] = (25.0, 50.0, 75.0)) ->
     return sums.join(exact.wide_quantiles(p, ["metric"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "metric")
 
 
-def clipped(t: DataFrame, most: float = 90.0) -> DataFrame:
-    """Each reading with its clipped value and a flag; no reading goes."""
-    return t.select("server", "metric", "ts", "value", F.least("value", F.lit(most)).alias("clipped"), (F.col("value") > most).alias("over"))
+def clipped(t: DataFrame, most: float = 200.0, share: float = 0.99) -> DataFrame:
+    """Daily series of each metric: mean of the readings clipped at ``most``, mean without those above the metric's ``share`` quantile, and how many those are.
+
+    The quantile comes from radix selection over all readings.
+    """
+    q = exact.quantiles(t, ["metric"], "value", [share]).select("metric", F.col("q").alias("limit"))
+    x = t.join(q, "metric").withColumn("over", F.col("value") > F.col("limit"))
+    return x.groupBy("metric", F.to_date("ts").alias("day")).agg(
+        exact.exact_mean(F.least("value", F.lit(most))).alias("clipped"), exact.exact_mean(F.when(~F.col("over"), F.col("value"))).alias("without"), F.count_if("over").alias("n_over"), F.count("*").alias("n"), F.round(F.max("limit"), 6).alias("p99")
+    )
+
+
+def report(t: DataFrame, thresholds: tuple[float, ...] = (80.0, 90.0)) -> DataFrame:
+    """Per metric: mean, extremes, median and 95 % quantile, busiest hour and weekday, share above thresholds, busiest and idlest server."""
+    sums = t.groupBy("metric").agg(
+        F.count("*").alias("n"), exact.exact_mean(F.col("value")).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_distinct("server").alias("servers"),
+        *[F.round(F.count_if(F.col("value") > x) / F.count("*"), 9).alias(f"above_{int(x)}") for x in thresholds],
+    )
+    out = sums.join(exact.wide_quantiles(t, ["metric"], "value", {"median": 0.5, "p95": 0.95}), "metric")
+    for name, by, low in (("hour", F.hour("ts").cast("long"), False), ("weekday", F.weekday("ts").cast("long"), False), ("server", F.col("server"), True)):
+        m = t.groupBy("metric", by.alias("k")).agg(exact.exact_mean(F.col("value")).alias("m"))
+        ends = [F.min_by("k", F.struct(-F.col("m"), F.col("k"))).alias(f"top_{name}"), F.max("m").alias(f"top_{name}_mean")]
+        ends += [F.min_by("k", F.struct("m", "k")).alias(f"low_{name}")] if low else []
+        out = out.join(m.groupBy("metric").agg(*ends), "metric")
+    return out
 
 
 def boxes(t: DataFrame) -> DataFrame:

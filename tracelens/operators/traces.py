@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelens.functions import columns as C
 
 # Breakpoints of the curves.
-GPU_BREAKS = [1, 2, 4, 8, 12, 16, 20, 24, 32, 40, 48, 56, 64, 72, 80]
+GPU_BREAKS = [1, 2, 4, 8, 12, 16, 24, 32, 40, 48, 56, 64, 80]
 CPU_BREAKS = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]
 DURATION_BREAKS = [2**i for i in range(22)]
 

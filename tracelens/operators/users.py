@@ -175,3 +175,51 @@ def growth(orders: DataFrame) -> DataFrame:
     m = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
     last = F.lag("n").over(Window.partitionBy(F.lit(1)).orderBy("month"))  # over months
     return m.select("month", "n", F.round(100 * (F.col("n") - last) / F.nullif(last, F.lit(0)), 6).alias("growth"))
+
+
+def all_facts(jobs: DataFrame) -> DataFrame:
+    """Twenty-six facts of each user, in one pass: jobs, queues, time, resources, waiting and states, over all, GPU and CPU jobs."""
+    gpu, cpu, one = F.col("gpu_num") > 0, F.coalesce(F.col("gpu_num"), F.lit(0)) == 0, F.lit(True)
+    d, q = F.greatest(C.seconds("start_time", "end_time"), F.lit(0)), F.greatest(C.seconds("submit_time", "start_time"), F.lit(0))
+    state = C.state("job_status_str", "exit_status")
+    whole = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+    hours = lambda c, v: F.round(whole(c, v) / 3600, 6)
+    percent = lambda c, s: F.round(100 * F.count_if(c & (state == s)) / F.nullif(F.count_if(c), F.lit(0)), 6)
+    kinds = {"": one, "gpu_": gpu, "cpu_": cpu}
+    facts = {f"{k}jobs": F.count_if(c) for k, c in kinds.items()}
+    facts |= {"queues": F.count_distinct("queue"), "names": F.count_distinct("job_name")}
+    facts |= {f"{k}hours": hours(c, d) for k, c in kinds.items()} | {"gpu_time": hours(gpu, d * F.col("gpu_num")), "cpu_time": hours(one, d * F.col("cpu_num"))}
+    facts |= {f"{k}pending": hours(c, q) for k, c in kinds.items()} | {"max_gpus": F.max("gpu_num"), "max_cpus": F.max("cpu_num")}
+    facts |= {f"{k}{s.lower()}": percent(c, s) for k, c in kinds.items() for s in ("COMPLETED", "FAILED", "CANCELLED")}
+    facts |= {"first": F.min("submit_time"), "last": F.max("submit_time")}
+    return jobs.where("user_id is not null").groupBy("user_id").agg(*[c.alias(k) for k, c in facts.items()])
+
+
+MEASURES = ("duration", "queue", "gpu_num", "cpu_num", "node_num")
+
+
+def aggregates(log: DataFrame) -> DataFrame:
+    """Per user sum, mean, largest and median of five measures, and the percentage of completed jobs of all, GPU and CPU jobs.
+
+    All medians come from one radix selection over (user, measure).
+    """
+    done = lambda c: F.round(100 * F.count_if(c & _done()) / F.nullif(F.count_if(c), F.lit(0)), 6)
+    gpu = F.col("gpu_num") > 0
+    sums = log.groupBy("user").agg(*[x for m in MEASURES for x in (F.sum(m).alias(f"sum_{m}"), F.round(F.sum(m) / F.count(m), 6).alias(f"mean_{m}"), F.max(m).alias(f"max_{m}"))], done(F.lit(True)).alias("done"), done(gpu).alias("gpu_done"), done(~gpu).alias("cpu_done"))
+    long = log.select("user", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("long").alias("v")) for m in MEASURES])).alias("c")).select("user", "c.m", "c.v")
+    q = exact.quantiles(long, ["user", "m"], "v", [0.5]).groupBy("user").agg(*[F.round(F.max(F.when(F.col("m") == m, F.col("q"))), 6).alias(f"median_{m}") for m in MEASURES])
+    return sums.join(q, "user")
+
+
+def metrics(log: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Per user: jobs by type, state and subcluster (as ``name:number`` lists in order), node hours, mean waiting, percentage completed.
+
+    ``hosts`` has (job_id, subcluster). Counts are made per (user, kind, name) first; a list has one entry a name.
+    """
+    named = log.select("user", F.explode(F.array(F.struct(F.lit("types").alias("kind"), C.job_type("gpu_num").alias("name")), F.struct(F.lit("states").alias("kind"), F.col("state").alias("name")))).alias("c")).select("user", "c.*")
+    placed = log.select("user", "job_id").join(hosts, "job_id").select("user", F.lit("subclusters").alias("kind"), F.col("subcluster").alias("name"))
+    n = named.unionByName(placed).groupBy("user", "kind", "name").agg(F.count("*").alias("n"))
+    entry = F.struct("name", F.concat("name", F.lit(":"), F.col("n").cast("string")).alias("t"))
+    lists = n.groupBy("user").agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, entry))), lambda e: e["t"]), ",").alias(k) for k in ("types", "states", "subclusters")])
+    sums = log.groupBy("user").agg(F.round(F.sum(F.col("node_num") * F.col("duration")) / 3600, 6).alias("node_hours"), F.round(F.sum("queue") / F.count("queue"), 6).alias("mean_queue"), F.round(100 * F.count_if(_done()) / F.count("*"), 6).alias("completed"))
+    return lists.join(sums, "user")

@@ -23,9 +23,6 @@ _VIEWS["prim"] = f"SELECT job_id, arg_min(s, (-n, s)) AS subcluster, max(n) AS h
 _VIEWS["jh"] = "SELECT DISTINCT h.job_id, h.server, h.hour, cpu_total, gpu_util, load_1min, power, w.server IS NULL AS all_null FROM jobhour h LEFT JOIN wide w ON w.server = h.server AND w.hour = h.hour WHERE w.server IS NOT NULL OR h.server NOT IN (SELECT server FROM tel)"
 
 # Sources and projections
-_add("src_csv_jobs", lambda t: t.jobs.select("job_id", F.round(C.seconds("submit_time", "start_time") / 60, 6).alias("queue_min"), F.round(C.seconds("start_time", "end_time") / 60, 6).alias("run_min")).where("run_min > 0"), f"SELECT * FROM (SELECT job_id, round(date_diff('second', submit_time, start_time) / 60, 6) AS queue_min, round({_SECONDS} / 60, 6) AS run_min FROM jobs) WHERE run_min > 0")
-_add("src_csv_typed", lambda t: t.table("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "bad").otherwise(F.col("o_custkey").cast("string")).alias("n"), F.when(F.col("o_orderkey") % 5 == 0, "no time").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("at")).select("o_orderkey", F.col("n").try_cast("long").alias("n"), F.try_to_timestamp(F.col("at"), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("at")),
-     "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS n, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::TIMESTAMP END AS at FROM orders")
 _TOKENS = ["", "NA", "null", "NULL", "none", "None"]
 _add("src_na_tokens", lambda t: t.table("orders").select("o_orderkey", F.element_at(F.array(*[F.lit(x) for x in _TOKENS], F.lit("7"), F.lit(" x")), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("v")).select("o_orderkey", F.when(~F.col("v").isin(*_TOKENS), F.col("v")).alias("v")), "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 6 THEN '7' WHEN 7 THEN ' x' END AS v FROM orders")
 _add("src_sheet_filter", lambda t: t.telemetry.where(~F.col("server").rlike("-4$")).select(F.regexp_replace("server", "^bigmem-", "bigman-").alias("server"), "metric").groupBy("server", "metric").agg(F.count("*").alias("n")), "SELECT regexp_replace(server, '^bigmem-', 'bigman-') AS server, metric, count(*) AS n FROM raw WHERE server NOT LIKE '%-4' GROUP BY 1, 2")
@@ -52,7 +49,6 @@ _add("tim_pipeline", lambda t: cleaning.repair(t.jobs).groupBy("how").agg(F.coun
 # Functions
 _add("fn_trunc", lambda t: t.jobs.select("job_id", F.date_trunc("hour", "submit_time").cast("timestamp_ntz").alias("h"), F.date_trunc("minute", "submit_time").cast("timestamp_ntz").alias("m"), F.date_trunc("hour", F.col("submit_time") + F.expr("interval 3599999999 microseconds")).cast("timestamp_ntz").alias("up")), "SELECT job_id, date_trunc('hour', submit_time) AS h, date_trunc('minute', submit_time) AS m, date_trunc('hour', submit_time + INTERVAL 3599999999 MICROSECOND) AS up FROM jobs")
 _add("fn_job_type_simple", lambda t: t.jobs.select("job_id", F.when(F.coalesce(F.col("exec_hosts").contains("gpu"), F.lit(False)), "GPU").otherwise("CPU").alias("kind")), "SELECT job_id, CASE WHEN contains(exec_hosts, 'gpu') THEN 'GPU' ELSE 'CPU' END AS kind FROM jobs")
-_add("fn_job_type4", lambda t: sampling.host_counts(t.jobs).groupBy("kind").agg(F.count("*").alias("n")), "SELECT CASE k % 6 WHEN 3 THEN 'gpu' WHEN 5 THEN 'unknown' ELSE 'cpu' END AS kind, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1")
 _add("fn_id_numeric", lambda t: t.jobs.select("job_id", F.regexp_extract("job_name", r"(\d+)", 1).cast("long").alias("n")), "SELECT job_id, CAST(regexp_extract(job_name, '([0-9]+)', 1) AS BIGINT) AS n FROM jobs")
 _add("fn_ratio", lambda t: t.jobs.select("job_id", F.round(F.try_divide("gpu_num", F.col("cpu_num") - 1), 3).alias("r")), "SELECT job_id, round(gpu_num / nullif(cpu_num - 1, 0), 3) AS r FROM jobs")
 _add("fn_map_evidence", lambda t: t.jobs.select("job_id", F.to_json(F.struct(F.col("gpu_num").alias("gpus"), F.struct("queue").alias("where"))).alias("evidence")), """SELECT job_id, '{"gpus":' || gpu_num || ',"where":{"queue":"' || queue || '"}}' AS evidence FROM jobs""")
@@ -65,10 +61,10 @@ def _pattern() -> F.Column:
     for name, p in reversed(_PATTERNS):
         out = F.when(F.col("exec_hosts").rlike(p), name).otherwise(out)
     return F.when(F.col("exec_hosts").isNull(), "empty").otherwise(out)
-
-
-_add("fn_hosts_pattern", lambda t: t.jobs.groupBy(_pattern().alias("pattern")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.size(C.hosts("exec_hosts")) > 0, 1.0).otherwise(0.0)), 6).alias("parsed")), "SELECT CASE k % 6 WHEN 0 THEN 'single' WHEN 1 THEN 'bracket_range' WHEN 2 THEN 'comma' WHEN 3 THEN 'plus' WHEN 4 THEN 'json' ELSE 'empty' END AS pattern, count(*) AS n, CASE WHEN k % 6 = 5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS parsed FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1, 3")
-_add("fn_json_hosts", lambda t: t.jobs.where("exec_hosts like '{%'").select("job_id", F.explode(F.from_json(F.get_json_object("exec_hosts", "$.nodes"), "array<string>")).alias("host")), "SELECT job_id, host FROM hosts WHERE job_id % 6 = 4")
+_add("fn_job_type4", lambda t: sampling.host_counts(t.jobs).groupBy("kind").agg(F.count("*").alias("n")), "SELECT CASE WHEN c > 0 AND g > 0 THEN 'mixed' WHEN g > 0 THEN 'gpu' WHEN c > 0 THEN 'cpu' ELSE 'unknown' END AS kind, count(*) AS n FROM (SELECT j.job_id, count(*) FILTER (host LIKE 'cpu%') AS c, count(*) FILTER (host LIKE 'gpu%') AS g FROM jobs j LEFT JOIN hosts h ON h.job_id = j.job_id GROUP BY 1) GROUP BY 1")
+_add("fn_hosts_pattern", lambda t: t.jobs.groupBy(_pattern().alias("pattern")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.size(C.hosts("exec_hosts")) > 0, 1.0).otherwise(0.0)), 6).alias("parsed")),
+     "SELECT CASE WHEN exec_hosts IS NULL THEN 'empty' " + " ".join(f"WHEN regexp_matches(exec_hosts, '{p}') THEN '{k}'" for k, p in _PATTERNS) + " ELSE 'other' END AS pattern, count(*) AS n, round(avg((h.job_id IS NOT NULL)::INT), 6) AS parsed FROM jobs j LEFT JOIN (SELECT DISTINCT job_id FROM hosts WHERE host IS NOT NULL) h ON h.job_id = j.job_id GROUP BY 1")
+_add("fn_json_hosts", lambda t: t.jobs.where("exec_hosts like '{%'").select("job_id", F.explode(F.from_json(F.get_json_object("exec_hosts", "$.nodes"), "array<string>")).alias("host")),  "SELECT job_id, unnest(json_extract(exec_hosts, '$.nodes')::VARCHAR[]) AS host FROM jobs WHERE starts_with(exec_hosts, '{')")
 _add("fn_kv_hosts", lambda t: t.jobs.select("job_id", F.concat(F.lit("host="), F.split("exec_hosts", r"[,+]")[0], F.lit(" task=3")).alias("kv")).select("job_id", F.regexp_extract_all("kv", F.lit(r"(?:host|node)=([^\s]+)"), F.lit(1))[0].alias("host")).where("host is not null"), "SELECT job_id, regexp_extract(exec_hosts, '^[^,+]*') AS host FROM jobs WHERE exec_hosts IS NOT NULL")
 _add("fn_node_clean", lambda t: t.jobs.select("job_id", F.regexp_replace(F.regexp_replace(F.lower(F.concat("exec_hosts", F.lit(".LOCAL"))), r"\.(local|domain|com)$", ""), "[^a-z0-9-]", "").alias("node")), "SELECT job_id, regexp_replace(lower(exec_hosts), '[^a-z0-9-]', '', 'g') AS node FROM jobs")
 _add("fn_exec_hosts_label", lambda t: t.jobs.select("job_id", C.hosts("exec_hosts").alias("h")).where("h is not null").select("job_id", F.when(F.size("h") > 2, F.concat(F.array_join(F.slice("h", 1, 2), ","), F.lit(" and "), (F.size("h") - 2).cast("string"), F.lit(" more"))).otherwise(F.array_join("h", ",")).alias("label")),
@@ -83,10 +79,6 @@ _add("fn_time_multi", lambda t: t.table("orders").select("o_orderkey", F.when(F.
 _FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm", "yyyyMMdd HHmmss", "MM/dd/yyyy HH:mm:ss"]
 _add("fn_time_formats5", lambda t: t.jobs.where("submit_time is not null").select("job_id", F.element_at(F.array(*[F.date_format("submit_time", f) for f in _FORMATS]), (F.col("job_id") % 5 + 1).cast("int")).alias("x")).select("job_id", F.coalesce(*[F.try_to_timestamp(F.col("x"), F.lit(f)) for f in _FORMATS]).cast("timestamp_ntz").alias("at")),
      "SELECT job_id, CASE WHEN job_id % 5 = 2 THEN date_trunc('minute', submit_time) ELSE submit_time END AS at FROM jobs WHERE submit_time IS NOT NULL")
-_add("fn_resource_norm", lambda t: t.jobs.select("job_id", F.concat((F.col("cpu_num") * 512).cast("string"), F.element_at(F.array(F.lit("MB"), F.lit(" gb"), F.lit("G"), F.lit("K")), (F.col("job_id") % 4 + 1).cast("int"))).alias("x")).select("job_id", F.round(F.regexp_extract("x", r"^([0-9.]+)", 1).cast("double") * F.when(F.upper("x").rlike(r"K"), 1 / 1048576).when(F.upper("x").rlike(r"M"), 1 / 1024).otherwise(1.0), 6).alias("gb")),
-     "SELECT job_id, round(cpu_num * 512 * CASE job_id % 4 WHEN 0 THEN 1.0::DOUBLE / 1024 WHEN 3 THEN 1.0::DOUBLE / 1048576 ELSE 1.0::DOUBLE END, 6) AS gb FROM jobs")
-_add("fn_status_map", lambda t: t.jobs.select("job_id", F.when(F.col("job_status_str") == "DONE", F.struct(F.lit("Completed").alias("s"), F.lit(0.9).alias("c"))).when(F.col("job_status_str") == "EXIT", F.struct(F.lit("Failed").alias("s"), F.lit(0.9).alias("c"))).when(F.col("exit_status") == 0, F.struct(F.lit("Completed").alias("s"), F.lit(0.7).alias("c"))).when(F.col("exit_status") > 128, F.struct(F.lit("Killed").alias("s"), F.lit(0.7).alias("c"))).otherwise(F.struct(F.lit("Unknown").alias("s"), F.lit(0.0).alias("c"))).alias("m")).select("job_id", F.col("m.s").alias("state"), F.col("m.c").alias("confidence")),
-     "SELECT job_id, CASE WHEN job_status_str = 'DONE' THEN 'Completed' WHEN job_status_str = 'EXIT' THEN 'Failed' WHEN exit_status = 0 THEN 'Completed' WHEN exit_status > 128 THEN 'Killed' ELSE 'Unknown' END AS state, CAST(CASE WHEN job_status_str IS NOT NULL THEN 0.9 WHEN exit_status = 0 OR exit_status > 128 THEN 0.7 ELSE 0.0 END AS DOUBLE) AS confidence FROM jobs")
 _add("fn_status_map2", lambda t: t.jobs.select("job_id", F.when(F.col("job_status_str") == "DONE", "Pass").when(F.col("job_status_str") == "EXIT", "Failed").when(F.col("exit_status") == 0, "Pass").otherwise("Killed").alias("state")), "SELECT job_id, CASE WHEN job_status_str = 'DONE' THEN 'Pass' WHEN job_status_str = 'EXIT' THEN 'Failed' WHEN exit_status = 0 THEN 'Pass' ELSE 'Killed' END AS state FROM jobs")
 
 # Joins
@@ -97,8 +89,6 @@ _STRAT = "SELECT submit_time FROM (SELECT *, row_number() OVER (PARTITION BY coa
 _add("jn_day_compare", lambda t: sampling.compare_days(_burst(t), sampling.stratified(_burst(t), "user_id", 0.2)), f"SELECT day, n, coalesce(kept, 0) AS kept, round(coalesce(kept, 0) / n, 9) AS rate FROM days LEFT JOIN (SELECT CAST(submit_time AS DATE) AS day, count(*) AS kept FROM ({_STRAT}) WHERE submit_time IS NOT NULL GROUP BY 1) USING (day)")
 _add("jn_overlap_window", lambda t: capacity.windows(_log(t)), "SELECT hour, count(*) AS jobs, CAST(sum(gpu_num) AS BIGINT) AS gpus FROM (SELECT gpu_num, unnest(generate_series(date_trunc('hour', start_time), end_time, INTERVAL 1 HOUR)) AS hour FROM log) GROUP BY 1")
 _add("jn_overlap_self", lambda t: capacity.overlapping_gpus(_log(t)), "SELECT a.job_id, CAST(sum(b.gpu_num) AS BIGINT) AS gpus FROM log a JOIN log b ON b.start_time <= a.end_time AND b.end_time >= a.start_time GROUP BY 1")
-_add("jn_server_resolve", lambda t: capacity.resolved(t.jobs, _tel(t)), f"SELECT host, coalesce(same, other) AS server, CASE WHEN same IS NOT NULL THEN 'same' WHEN other IS NOT NULL THEN 'group' ELSE 'none' END AS how FROM (SELECT DISTINCT host, {_sub('host')} AS s FROM hosts WHERE host IS NOT NULL) LEFT JOIN (SELECT DISTINCT server AS same FROM tel) ON same = host LEFT JOIN (SELECT {_sub('server')} AS s, min(server) AS other FROM tel GROUP BY 1) USING (s)")
-_add("jn_bounds_back", lambda t: _burst(t).where("submit_time is not null").withColumn("day", F.to_date("submit_time")).join(sampling.daily_levels(_burst(t)), "day").groupBy("level").agg(F.count("*").alias("n")), "SELECT CASE WHEN n >= 1000 AND day = DATE '2024-01-14' THEN 'extreme' END AS level, n FROM days WHERE false UNION ALL SELECT level, CAST(sum(n) AS BIGINT) FROM (SELECT n, CASE WHEN n >= e THEN 'extreme' WHEN n >= s THEN 'severe' WHEN n >= 340 THEN 'moderate' ELSE 'normal' END AS level FROM days, (SELECT greatest(1000, 10 * q2, m + 5 * sd) AS e, greatest(400, q2 + 3 * (q3 - q1), m + 3 * sd) AS s FROM (SELECT quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3, avg(n) AS m, stddev_samp(n) AS sd FROM days))) GROUP BY 1")
 
 # Aggregates
 _add("ag_basic_stats_trace", lambda t: _log(t).withColumn("k", F.explode(F.array(F.lit("all")))).groupBy("k").agg(F.count("*").alias("jobs"), F.count_distinct("user").alias("users"), F.round(F.avg("gpu_num"), 6).alias("mean_gpus"), F.max("duration").alias("longest")).join(exact.wide_quantiles(_log(t).withColumn("k", F.explode(F.array(F.lit("all")))), ["k"], "duration", {"median": 0.5}), "k").drop("k"), """SELECT count(*) AS jobs, count(DISTINCT "user") AS users, round(avg(gpu_num), 6) AS mean_gpus, max(duration) AS longest, round(quantile_cont(duration, 0.5), 6) AS median FROM log""")
@@ -115,18 +105,11 @@ _add("ag_status_topn_other", lambda t: top_states(_log(t)), "SELECT CASE WHEN r
 _add("ag_job_status_rates", lambda t: _log(t).groupBy(C.job_type("gpu_num").alias("job_type")).agg(F.round(F.avg(F.expr(f"if({_OK}, 1.0D, 0.0D)")), 9).alias("ok"), F.round(F.avg(F.expr("if(state in ('FAILED', 'CANCELLED'), 1.0D, 0.0D)")), 9).alias("bad")), f"SELECT {_TYPE} AS job_type, round(count_if({_OK}) / count(*), 9) AS ok, round(count_if(state IN ('FAILED', 'CANCELLED')) / count(*), 9) AS bad FROM log GROUP BY 1")
 _add("ag_status_counts", lambda t: t.jobs.groupBy("job_status_str", "exit_status").agg(F.count("*").alias("n")), "SELECT job_status_str, exit_status, count(*) AS n FROM jobs GROUP BY 1, 2")
 _add("ag_resource_demand", lambda t: _log(t).groupBy("node_num").agg(F.count("*").alias("jobs"), F.round(F.sum(F.col("gpu_num") * F.col("duration")) / 3600, 6).alias("gpu_hours")), "SELECT node_num, count(*) AS jobs, round(sum(gpu_num * duration) / 3600, 6) AS gpu_hours FROM log GROUP BY 1")
-_add("ag_user_full", lambda t: t.jobs.where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("jobs"), F.count_distinct("queue").alias("queues"), F.round(100 * F.count_if(F.expr("exit_status = 0")) / F.count("*"), 6).alias("ok"), F.round(100 * F.count_if(F.expr("exit_status = 0 and gpu_num > 0")) / F.nullif(F.count_if(F.expr("gpu_num > 0")), F.lit(0)), 6).alias("gpu_ok")), "SELECT user_id, count(*) AS jobs, count(DISTINCT queue) AS queues, round(100 * count_if(exit_status = 0) / count(*), 6) AS ok, round(100 * count_if(exit_status = 0 AND gpu_num > 0) / nullif(count_if(gpu_num > 0), 0), 6) AS gpu_ok FROM jobs WHERE user_id IS NOT NULL GROUP BY 1")
-_add("ag_user_agg", lambda t: _log(t).groupBy("user").agg(*[f(c).alias(f"{n}_{c}") for c in ("duration", "gpu_num", "cpu_num") for n, f in (("sum", F.sum), ("max", F.max))], F.round(F.avg("duration"), 6).alias("mean_duration")), """SELECT "user", """ + ", ".join(f"CAST({n}({c}) AS BIGINT) AS {n}_{c}" for c in ("duration", "gpu_num", "cpu_num") for n in ("sum", "max")) + """, round(avg(duration), 6) AS mean_duration FROM log GROUP BY 1""")
-
-
-def type_maps(log: DataFrame) -> DataFrame:
-    """Per user the number of jobs of each type as text, types in order."""
-    n = log.groupBy("user", C.job_type("gpu_num").alias("k")).agg(F.count("*").alias("n"))
-    return n.groupBy("user").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "n"))), lambda x: F.concat(x["k"], F.lit(":"), x["n"].cast("string"))), ",").alias("types"))
 
 
-_add("ag_user_metrics", lambda t: type_maps(_log(t)), f"""SELECT "user", string_agg(k || ':' || n, ',' ORDER BY k) AS types FROM (SELECT "user", {_TYPE} AS k, count(*) AS n FROM log GROUP BY 1, 2) GROUP BY 1""")
-_add("ag_user_day_stats", lambda t: _log(t).where("to_date(submit_time) = date'2024-01-14'").groupBy("user").agg(F.count("*").alias("n"), F.round(F.avg("duration"), 6).alias("mean"), F.min("duration").alias("least"), F.max("duration").alias("most"), F.round(F.timestamp_diff("SECOND", F.min("submit_time"), F.max("submit_time")) / 3600, 6).alias("span_hours")), """SELECT "user", count(*) AS n, round(avg(duration), 6) AS mean, min(duration) AS least, max(duration) AS most, round(date_diff('second', min(submit_time), max(submit_time)) / 3600, 6) AS span_hours FROM log WHERE CAST(submit_time AS DATE) = DATE '2024-01-14' GROUP BY 1""")
+_add("ag_user_day_stats", lambda t: sampling.busiest_day_users(_log(t)), """SELECT CAST(submit_time AS DATE) AS day, "user", count(*) AS n, round(sum(duration) / count(*), 6) AS mean, round(stddev_samp(duration), 4) AS std, min(duration) AS least, max(duration) AS most, round(quantile_cont(duration, 0.5), 6) AS median,
+    round(sum(gpu_num) / count(*), 6) AS mean_gpus, CAST(sum(gpu_num) AS BIGINT) AS gpus, round(sum(cpu_num) / count(*), 6) AS mean_cpus, CAST(sum(cpu_num) AS BIGINT) AS cpus, min(submit_time) AS first, max(submit_time) AS last, round(date_diff('second', min(submit_time), max(submit_time)) / 3600, 6) AS span_hours
+    FROM log WHERE CAST(submit_time AS DATE) = (SELECT d FROM (SELECT CAST(submit_time AS DATE) AS d, count(*) AS n FROM log GROUP BY 1) ORDER BY n DESC, d LIMIT 1) GROUP BY 1, 2""")
 _add("ag_user_queue", lambda t: _log(t).where("queue >= 0").groupBy("user").agg(F.count("*").alias("n"), F.round(F.avg("queue"), 6).alias("mean"), F.max("queue").alias("most")).orderBy(F.desc("mean"), "user").limit(10), """SELECT "user", count(*) AS n, round(avg(queue), 6) AS mean, max(queue) AS most FROM log WHERE queue >= 0 GROUP BY 1 ORDER BY mean DESC, "user" LIMIT 10""")
 _add("ag_res_eff_day", lambda t: _log(t).groupBy(F.to_date("submit_time").alias("day")).agg(F.count_if(F.expr("duration > 600")).alias("effective"), F.round(F.sum(F.when(F.col("duration") <= 600, F.col("duration") * F.col("cpu_num")).otherwise(0)) / 3600, 6).alias("short_cpu_hours"), F.round(F.sum(F.col("duration") * F.col("cpu_num")) / 3600, 6).alias("cpu_hours")), "SELECT CAST(submit_time AS DATE) AS day, count_if(duration > 600) AS effective, round(sum(CASE WHEN duration <= 600 THEN duration * cpu_num ELSE 0 END) / 3600, 6) AS short_cpu_hours, round(sum(duration * cpu_num) / 3600, 6) AS cpu_hours FROM log GROUP BY 1")
 _add("ag_util_overall", lambda t: users.sizes(_log(t)).withColumn("percent", F.round(100 * F.col("node_hours") / F.lit(_log(t).agg(F.sum(F.col("node_num") * F.col("duration")) / 3600).first()[0]), 5)), "SELECT CASE WHEN node_num = 1 THEN 'single' WHEN node_num <= 8 THEN 'small' WHEN node_num <= 64 THEN 'medium' ELSE 'large' END AS size, count(*) AS jobs, round(sum(node_num * duration) / 3600, 6) AS node_hours, round(100 * sum(node_num * duration) / (SELECT sum(node_num * duration) FROM log), 5) AS percent FROM log GROUP BY 1")
@@ -181,9 +164,10 @@ _add("cls_distributed", lambda t: classify.distributed(t.jobs), f"SELECT job_id,
 _add("cls_distributed_view", lambda t: classify.distributed_view(t.jobs), f"SELECT coalesce(n, 0) AS hosts, {_DIST} AS distributed, count(*) AS jobs FROM {_HN} GROUP BY 1, 2")
 _add("cls_type_features", lambda t: t.jobs.select("job_id", F.lower(F.concat_ws(" ", "command", "job_name")).alias("text"), F.coalesce(C.seconds("start_time", "end_time"), F.lit(0)).alias("duration")), f"SELECT job_id, lower(concat_ws(' ', command, job_name)) AS text, coalesce({_SECONDS}, 0) AS duration FROM jobs")
 _MD = lambda x: f"substring(md5(coalesce({x}, '')), 1, 8)"
-_add("inf_fingerprint", lambda t: classify.fingerprints(t.jobs), f"SELECT job_id, {_MD('command')} AS command, {_MD(chr(114) + 'egexp_replace(job_name, ' + repr('_?[0-9]+$') + ', ' + repr('') + ')')} AS name, {_MD('queue')} AS queue, cluster_name, CAST(coalesce(hour(submit_time), 12) AS BIGINT) AS hour, CAST(coalesce(isodow(submit_time) - 1, 1) AS BIGINT) AS weekday, coalesce({_SECONDS}, 300) AS duration FROM jobs")
-_add("inf_confidence", lambda t: classify.confidence(t.jobs), f"""SELECT command, queue, cluster_name, n, round(steady, 5) AS consistency, CASE WHEN n >= 10 AND steady > 0.8 THEN 'high' WHEN n >= 5 AND steady > 0.6 THEN 'medium' WHEN n >= 2 THEN 'low' ELSE 'singleton' END AS level FROM
-    (SELECT {_MD('j.command')} AS command, {_MD('j.queue')} AS queue, cluster_name, count(*) AS n, (1 / count(DISTINCT job_name) + 1 / (1 + coalesce(stddev_samp(cpu_num), 0)) + 1 / (1 + coalesce(stddev_samp(coalesce(hour(submit_time), 12)), 0) / 24)) / 3 AS steady FROM jobs j WHERE user_id IS NULL GROUP BY 1, 2, 3)""")
+_NUMS = f"""coalesce(cpu_num, 0)::DOUBLE AS cpus, coalesce(mem_gb, 0)::DOUBLE AS mem, coalesce(gpu_num, 0)::DOUBLE AS gpus, coalesce(hour(submit_time), 12)::DOUBLE AS hour, coalesce(isodow(submit_time) - 1, 1)::DOUBLE AS weekday, coalesce({_SECONDS}, 300)::DOUBLE AS duration, coalesce((exit_status = 0)::INT, 0)::DOUBLE AS success"""
+_BASE = "regexp_replace(job_name, '_?[0-9]+$', '')"
+_VIEWS["prints"] = f"SELECT job_id, user_id, {_MD('command')} AS command, {_MD(_BASE)} AS base, {_MD('from_host')} AS origin, {_MD('queue')} AS queue, {_NUMS} FROM anon"
+_add("inf_fingerprint", lambda t: inference.fingerprints(t.anon), "SELECT * FROM prints")
 _add("dq_importance", lambda t: cleaning.field_scores(t.jobs).select("name", "importance"), "SELECT name, round(least(1.0::DOUBLE, w / 5 + 0.3::DOUBLE * p), 6) AS importance FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS name, {v} AS w, count({k}) / count(*) AS p FROM jobs" for k, v in cleaning.IMPORTANCE.items()) + ")")
 _add("dq_overview", lambda t: classify.overview(t.jobs), f"SELECT count(*) AS jobs, count_if({_SECONDS} <= 0) AS bad_duration, count_if(date_diff('second', submit_time, start_time) < 0) AS bad_queue, count(DISTINCT month(submit_time)) AS months, count(DISTINCT isodow(submit_time)) AS weekdays, count(DISTINCT hour(submit_time)) AS hours FROM jobs")
 _add("smp_quality", lambda t: _log(t).groupBy("user").agg(F.count("*").alias("n")).agg(F.round(F.max("n") / F.sum("n"), 9).alias("top_share"), F.count("*").alias("users")), """SELECT round(max(n) / sum(n), 9) AS top_share, count(*) AS users FROM (SELECT "user", count(*) AS n FROM log GROUP BY 1)""")
@@ -196,7 +180,6 @@ _add("trc_monthly_util", lambda t: traces.month_capacity(_log(t).where("job_id %
 _add("pat_util_series", lambda t: traces.sequence(_log(t)).agg(F.round(F.avg("jobs"), 6).alias("mean_jobs"), F.max("jobs").alias("peak_jobs"), F.round(F.avg("gpus"), 6).alias("mean_gpus"), F.max("gpus").alias("peak_gpus")), "SELECT round(avg(coalesce(jobs, 0)), 6) AS mean_jobs, max(jobs) AS peak_jobs, round(avg(coalesce(gpus, 0)), 6) AS mean_gpus, max(gpus) AS peak_gpus FROM grid LEFT JOIN (SELECT date_trunc('hour', submit_time) AS hour, count(*) AS jobs, CAST(sum(gpu_num) AS BIGINT) AS gpus FROM log GROUP BY 1) USING (hour)")
 _add("pat_util_time", lambda t: _log(t).groupBy(F.to_date("start_time").alias("day")).agg(F.round(F.sum(F.col("node_num") * F.col("duration")) / 3600, 6).alias("node_hours"), F.sum("node_num").alias("nodes")), "SELECT CAST(start_time AS DATE) AS day, round(sum(node_num * duration) / 3600, 6) AS node_hours, CAST(sum(node_num) AS BIGINT) AS nodes FROM log GROUP BY 1")
 _add("tel_month_of_year", lambda t: t.table("orders").groupBy(F.month("o_orderdate").cast("long").alias("month")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.count("*").alias("n")), "SELECT CAST(month(o_orderdate) AS BIGINT) AS month, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM orders GROUP BY 1")
-_add("tel_report", lambda t: _tel(t).groupBy("metric", F.hour("ts").cast("long").alias("hour")).agg(F.avg("value").alias("m")).groupBy("metric").agg(F.max_by("hour", "m").alias("peak_hour"), F.round(F.max("m"), 6).alias("peak_mean")), "SELECT metric, arg_max(hour, m) AS peak_hour, round(max(m), 6) AS peak_mean FROM (SELECT metric, CAST(hour(ts) AS BIGINT) AS hour, avg(value) AS m FROM tel GROUP BY 1, 2) GROUP BY 1")
 _add("tel_power_voltage", lambda t: telemetry.resample(_tel(t).where("metric = 'power'"), "day"), "SELECT metric, date_trunc('day', ts)::TIMESTAMP AS at, round(avg(value), 6) AS mean, count(*) AS n FROM tel WHERE metric = 'power' GROUP BY 1, 2")
 _add("tel_sheet_profile", lambda t: t.telemetry.groupBy("server").agg(F.count("*").alias("rows"), F.count("value").alias("values"), F.count_distinct("metric").alias("metrics")), """SELECT server, count(*) AS "rows", count(value) AS "values", count(DISTINCT metric) AS metrics FROM raw GROUP BY 1""")
 _add("tel_group_pattern", lambda t: _tel(t).groupBy(C.subcluster(F.col("server")).alias("grp"), F.weekday("ts").cast("long").alias("weekday"), F.hour("ts").cast("long").alias("hour")).agg(F.round(F.avg("value"), 6).alias("mean")), f"SELECT grp, {_WD.format('ts')} AS weekday, CAST(hour(ts) AS BIGINT) AS hour, round(avg(value), 6) AS mean FROM grp GROUP BY 1, 2, 3")
@@ -239,11 +222,17 @@ _add("cls_group_distributed", lambda t: classify.groups(t.jobs), """SELECT * FRO
     FROM placed p LEFT JOIN named n ON n.base = p.base AND n.first = p.first GROUP BY p.base, p.first)""")
 _add("cls_kw_affinity", lambda t: classify.word_affinity(t.jobs), "SELECT word, CAST(sum(s) AS BIGINT) AS net, round(greatest(0, least(1, 0.5::DOUBLE + 0.1::DOUBLE * sum(s))), 6) AS affinity FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(command), '[a-z0-9_-]{3,}'))) AS word, CASE WHEN gpu_num > 0 THEN 1 ELSE -1 END AS s FROM jobs) GROUP BY 1")
 
-_add("inf_cluster", lambda t: inference.clusters(t.jobs, names=False), """SELECT * FROM (WITH RECURSIVE x AS (SELECT job_id, cluster_name, queue, coalesce(substring(command, 1, 5), '') AS kind, cpu_num, gpu_num, coalesce(hour(submit_time), 12) AS h, coalesce(isodow(submit_time) - 1, 1) AS d FROM jobs WHERE user_id IS NULL),
-    z AS (SELECT *, (cpu_num - avg(cpu_num) OVER ()) / stddev_pop(cpu_num) OVER () AS z0, (gpu_num - avg(gpu_num) OVER ()) / stddev_pop(gpu_num) OVER () AS z1, (h - avg(h) OVER ()) / stddev_pop(h) OVER () AS z2, (d - avg(d) OVER ()) / stddev_pop(d) OVER () AS z3 FROM x),
-    p AS (SELECT a.job_id AS a, b.job_id AS b FROM z a JOIN z b ON a.cluster_name = b.cluster_name AND a.queue = b.queue AND a.kind = b.kind AND (a.z0 - b.z0) ** 2 + (a.z1 - b.z1) ** 2 + (a.z2 - b.z2) ** 2 + (a.z3 - b.z3) ** 2 <= 0.3::DOUBLE * 0.3::DOUBLE),
-    core AS (SELECT a AS k FROM p GROUP BY a HAVING count(*) >= 3),
-    e AS (SELECT a, b FROM p WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
-    reach(k, r) AS (SELECT k, k FROM core UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.k),
-    named AS (SELECT k, min(r) AS c FROM reach GROUP BY 1)
-    SELECT x.job_id, coalesce(n.c, (SELECT min(m.c) FROM p JOIN named m ON m.k = p.a WHERE p.b = x.job_id)) AS cluster FROM x LEFT JOIN named n ON n.k = x.job_id)""")
+_Z = ", ".join(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS z{i}" for i, c in enumerate(inference.NUMBERS))
+_APART = " + ".join(f"(a.z{i} - b.z{i}) ** 2" for i in range(len(inference.NUMBERS)))
+_VIEWS["x"] = f"SELECT *, rank() OVER (ORDER BY command, base, origin, queue) AS kind, {_Z} FROM prints WHERE user_id IS NULL"
+_VIEWS["close"] = f"SELECT a.job_id AS a, b.job_id AS b FROM x a JOIN x b ON a.kind = b.kind WHERE {_APART} <= 0.3::DOUBLE * 0.3::DOUBLE"
+_VIEWS["core"] = "SELECT a AS k FROM close GROUP BY a HAVING count(*) >= 3"
+_VIEWS["edges"] = "SELECT a, b FROM close SEMI JOIN core ON core.k = a"
+_CLUSTERED = """WITH RECURSIVE reach(k, r) AS (SELECT k, k FROM core UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.k SEMI JOIN core ON core.k = e.b),
+    named AS (SELECT k, min(r) AS c FROM reach GROUP BY 1), rim AS (SELECT b, min(c) AS c FROM edges JOIN named ON named.k = a GROUP BY 1)
+    SELECT x.job_id, coalesce(n.c, rim.c) AS cluster FROM x LEFT JOIN named n ON n.k = x.job_id LEFT JOIN rim ON rim.b = x.job_id"""
+_add("inf_cluster", lambda t: inference.clusters(t.anon), f"SELECT * FROM ({_CLUSTERED})")
+_add("inf_confidence", lambda t: inference.confidence(t.anon), f"""SELECT cluster, n, names, consistency, level, CASE level WHEN 'high' THEN 'inferred_high_' WHEN 'medium' THEN 'inferred_medium_' WHEN 'low' THEN 'inferred_low_' ELSE 'singleton_' END || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 3, '0') ELSE number::VARCHAR END AS inferred_user_id
+    FROM (SELECT *, row_number() OVER (ORDER BY cluster) AS number, CASE WHEN n >= 10 AND consistency >= 0.8 THEN 'high' WHEN n >= 5 AND consistency >= 0.6 THEN 'medium' WHEN n >= 2 THEN 'low' ELSE 'singleton' END AS level
+    FROM (SELECT cluster, count(*) AS n, count(DISTINCT job_name) AS names, round((1 / greatest(1, count(DISTINCT job_name)) + 1 / (1 + coalesce(stddev_samp(coalesce(cpu_num, 0)), 0)) + 1 / (1 + coalesce(stddev_samp(coalesce(hour(submit_time), 12)), 0) / 24)) / 3, 6) AS consistency
+    FROM ({_CLUSTERED}) c JOIN anon USING (job_id) WHERE cluster IS NOT NULL GROUP BY 1))""")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import columns as C
 from tracelens.operators import cleaning, sampling, telemetry, traces, users
-from tracelens.sources.views import JOBS, TELEMETRY, WORK, Tables
+from tracelens.sources.views import ANON, JOBS, TELEMETRY, WORK, Tables
 
 
 
@@ -24,6 +24,7 @@ _SECONDS = "date_diff('second', start_time, end_time)"
 _VIEWS = {
     "jobs": JOBS.format(ts="TIMESTAMP"),
     "work": WORK.replace("{extract}", "regexp_extract(hosts, '^[a-z0-9-]+')"),
+    "anon": ANON,
     "burst": """SELECT * REPLACE (CASE WHEN job_id % 3 = 0 THEN TIMESTAMP '2024-01-14 00:00:00' + (submit_time - date_trunc('day', submit_time)) ELSE submit_time END AS submit_time) FROM jobs""",
     "log": f"""SELECT job_id, coalesce(user_id, 'unknown_user') AS "user", gpu_num, cpu_num, node_num,
         CASE WHEN job_status_str = 'DONE' THEN 'COMPLETED' WHEN job_status_str = 'EXIT' THEN 'FAILED' WHEN exit_status = 0 THEN 'COMPLETED' WHEN exit_status >= 128 THEN 'CANCELLED' ELSE 'FAILED' END AS state,
@@ -32,15 +33,16 @@ _VIEWS = {
     "part": """SELECT *, unnest(['all', CASE WHEN gpu_num > 0 THEN 'gpu' ELSE 'cpu' END]) AS part FROM log""",
     "raw": TELEMETRY.format(ts="TIMESTAMP"),
     "tel": "SELECT server, metric, ts, min(value) AS value FROM raw WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY ALL",
-    "hosts": """SELECT k AS job_id, unnest(CASE k % 6 WHEN 0 THEN ['cpu1-' || n] WHEN 1 THEN ['cpu1-' || n, 'cpu1-' || (n + 1), 'cpu1-' || (n + 2)] WHEN 2 THEN ['cpu2-' || n, 'cpu2-' || (n + 1)]
-        WHEN 3 THEN ['gpu1-' || n, 'gpu1-' || (n + 1), 'gpu1-' || (n + 3)] WHEN 4 THEN ['cpu3-' || n, 'bigmem-1'] END) AS host FROM (SELECT o_orderkey AS k, 1 + CAST(FLOOR(o_totalprice) AS BIGINT) % 20 AS n FROM orders)""",
+    "hosts": """SELECT job_id, lower(CASE WHEN part IS NULL THEN item ELSE prefix || part END) AS host FROM (SELECT job_id, item, prefix, unnest(CASE WHEN inside = '' THEN [NULL] ELSE flatten(list_transform(string_split(inside, ','), lambda p: CASE WHEN contains(p, '-') THEN list_transform(range(split_part(p, '-', 1)::BIGINT, split_part(p, '-', 2)::BIGINT + 1), lambda i: i::VARCHAR) ELSE [p] END)) END) AS part
+        FROM (SELECT job_id, item, regexp_extract(item, '^([^\\[]*)', 1) AS prefix, regexp_extract(item, '\\[([^\\]]*)\\]', 1) AS inside
+        FROM (SELECT job_id, unnest(CASE WHEN starts_with(exec_hosts, '{') THEN json_extract(exec_hosts, '$.nodes')::VARCHAR[] ELSE regexp_extract_all(exec_hosts, '[^,+\\[]+(?:\\[[^\\]]*\\])?') END) AS item FROM jobs)))""",
     "grid": """SELECT unnest(generate_series(date_trunc('hour', min(submit_time)), date_trunc('hour', max(submit_time)), INTERVAL 1 HOUR)) AS hour FROM log""",
     "conc": """SELECT hour, CAST(sum(dj) OVER w AS BIGINT) AS jobs, CAST(sum(dg) OVER w AS BIGINT) AS gpu_jobs, CAST(sum(dn) OVER w AS BIGINT) AS gpus FROM (
         SELECT hour, sum(s) AS dj, sum(CASE WHEN gpu_num > 0 THEN s ELSE 0 END) AS dg, sum(s * gpu_num) AS dn FROM (
           SELECT unnest([{'hour': up, 's': 1}, {'hour': down, 's': -1}], recursive := true), gpu_num FROM (
             SELECT date_trunc('hour', start_time + INTERVAL 3599 SECOND) AS up, date_trunc('hour', end_time) + INTERVAL 1 HOUR AS down, gpu_num FROM log) WHERE up < down) GROUP BY hour) WINDOW w AS (ORDER BY hour)""",
     "jobhour": """SELECT h.job_id, h.host AS server, unnest(generate_series(date_trunc('hour', start_time), end_time - INTERVAL 1 MICROSECOND, INTERVAL 1 HOUR)) AS hour
-        FROM hosts h JOIN jobs j USING (job_id) WHERE start_time < end_time""",
+        FROM hosts h JOIN jobs j USING (job_id) WHERE start_time < end_time AND host IS NOT NULL""",
     "wide": "SELECT server, date_trunc('hour', ts) AS hour, "
     + ", ".join(f"{_mean(f'CASE WHEN metric = {chr(39)}{m}{chr(39)} THEN value END')} AS {m}" for m in ("cpu_total", "gpu_util", "power", "load_1min", "mem_percent"))
     + " FROM tel GROUP BY 1, 2",
@@ -152,7 +154,6 @@ _add("ag_missing_combo", lambda t: cleaning.missing_together(t.jobs), """SELECT
     count_if(submit_time IS NULL AND start_time IS NULL AND end_time IS NULL) AS all_times FROM jobs""")
 _W = "CASE name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cleaning.IMPORTANCE.items()) + " END"
 _add("dq_field_score", lambda t: cleaning.field_scores(t.jobs), f"SELECT name, round(p, 6) AS present, round(least(1.0::DOUBLE, w / 5 + 0.3::DOUBLE * p), 6) AS importance, round(p * least(1.0::DOUBLE, w / 5 + 0.3::DOUBLE * p), 6) AS score FROM (SELECT name, 1 - nulls / n AS p, {_W} AS w FROM ({_MISSING}))")
-_add("dq_assess", lambda t: cleaning.quality_grade(t.jobs), f"SELECT round(x, 6) AS score, CASE WHEN x >= 0.9 THEN 'A' WHEN x >= 0.8 THEN 'B' WHEN x >= 0.7 THEN 'C' WHEN x >= 0.6 THEN 'D' ELSE 'F' END AS grade FROM (SELECT sum(w * (1 - nulls / n)) / sum(w) AS x FROM (SELECT *, {_W} AS w FROM ({_MISSING})))")
 _TOP = " UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value FROM jobs" for c in ("queue", "job_name", "exec_hosts", "user_id"))
 _add("ag_profile_topk", lambda t: cleaning.top_values(t.jobs, ["queue", "job_name", "exec_hosts", "user_id"]), f"SELECT name, rank, value, n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS rank FROM (SELECT name, value, count(*) AS n FROM ({_TOP}) WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 5")
 _add("ag_value_counts", lambda t: t.jobs.groupBy("queue", "cluster_name", "job_status_str").agg(F.count("*").alias("n")), "SELECT queue, cluster_name, job_status_str, count(*) AS n FROM jobs GROUP BY ALL")
@@ -220,13 +221,11 @@ _add("smp_errors", lambda t: sampling.errors_thinned(t.jobs).select("job_id", "e
 _add("smp_systematic", lambda t: sampling.systematic(t.jobs).select("job_id"), "SELECT job_id FROM (SELECT job_id, row_number() OVER (ORDER BY job_id) AS r FROM jobs) WHERE r % 10 = 1")
 _add("smp_compare", lambda t: sampling.compare_days(t.jobs, sampling.systematic(t.jobs)), """SELECT day, n, coalesce(kept, 0) AS kept, round(coalesce(kept, 0) / n, 9) AS rate FROM (SELECT CAST(submit_time AS DATE) AS day, count(*) AS n FROM jobs WHERE submit_time IS NOT NULL GROUP BY 1) LEFT JOIN
     (SELECT CAST(submit_time AS DATE) AS day, count(*) AS kept FROM (SELECT submit_time, row_number() OVER (ORDER BY job_id) AS r FROM jobs) WHERE r % 10 = 1 AND submit_time IS NOT NULL GROUP BY 1) USING (day)""")
-_add("set_except", lambda t: sampling.missing_hours(t.jobs.where("job_id % 500 = 1")), "SELECT unnest(range(24)) AS hour EXCEPT SELECT hour(submit_time) FROM jobs WHERE job_id % 500 = 1 AND submit_time IS NOT NULL")
+_add("set_except", lambda t: sampling.missing_hours(t.jobs), """SELECT user_id, hour FROM (SELECT DISTINCT user_id FROM jobs WHERE user_id IS NOT NULL), (SELECT unnest(range(24)) AS hour) EXCEPT SELECT user_id, hour(submit_time) FROM jobs WHERE submit_time IS NOT NULL""")
 _add("dup_repeated", lambda t: sampling.repeated(_burst(t), 1), "SELECT CAST(submit_time AS DATE) AS day, user_id, gpu_num, cpu_num, count(*) AS n FROM burst WHERE user_id IS NOT NULL AND submit_time IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")
 _add("top_peak_day", lambda t: sampling.peak_day(_burst(t)), "SELECT job_id, CAST(submit_time AS DATE) AS day, user_id, submit_time FROM burst WHERE CAST(submit_time AS DATE) = (SELECT day FROM days ORDER BY n DESC, day LIMIT 1)")
 _add("top_minutes", lambda t: sampling.busy_minutes(_burst(t)), "SELECT date_trunc('minute', submit_time) AS minute, count(*) AS n FROM burst WHERE submit_time IS NOT NULL GROUP BY 1 HAVING count(*) > 2")
 _add("anm_short_jobs", lambda t: sampling.short_jobs(_log(t)), """SELECT "user", count_if(duration < 600) AS short, round(count_if(duration < 600) / count(*), 9) AS share FROM log GROUP BY 1 HAVING count_if(duration < 600) > 0""")
-_add("anm_user_score", lambda t: sampling.user_scores(_burst(t)), """SELECT user_id, jobs, names, burst, CAST(CASE WHEN burst > 2 THEN 3 ELSE 0 END + CASE WHEN names / jobs < 0.1 THEN 2 ELSE 0 END AS BIGINT) AS score, concat_ws(',', CASE WHEN burst > 2 THEN 'burst' END, CASE WHEN names / jobs < 0.1 THEN 'few names' END) AS reasons
-    FROM (SELECT user_id, count(*) AS jobs, count(DISTINCT job_name) AS names FROM burst b WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) > 100) LEFT JOIN (SELECT user_id, max(n) AS burst FROM (SELECT user_id, date_trunc('minute', submit_time) AS m, count(*) AS n FROM burst b WHERE user_id IS NOT NULL AND submit_time IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (user_id)""")
 _DS = "CASE WHEN job_id % 2 = 0 THEN 'local' ELSE 'external' END AS dataset"
 _add("cmp_datasets", lambda t: sampling.datasets(_log(t)), f"""SELECT {_DS}, count(*) AS jobs, count(DISTINCT "user") AS users, round(avg(duration), 6) AS mean_duration, max(gpu_num) AS max_gpus, round(sum(gpu_num * duration) / 3600, 6) AS gpu_hours FROM log GROUP BY 1""")
 _add("cmp_gputime_status", lambda t: sampling.state_time(_log(t)), f"SELECT {_DS}, " + ", ".join(f"round(100 * sum(CASE WHEN state = '{s.upper()}' THEN gpu_num * duration ELSE 0 END) / sum(gpu_num * duration), 6) AS {s}" for s in ("completed", "failed", "cancelled")) + " FROM log WHERE gpu_num > 0 GROUP BY 1")
@@ -246,7 +245,6 @@ _add("tel_server_stats", lambda t: telemetry.server_stats(_tel(t)), "SELECT serv
 _add("tel_above", lambda t: telemetry.above(_tel(t)), "SELECT metric, count(*) AS n, count_if(value > 60) AS above_60, count_if(value > 80) AS above_80, count_if(value > 90) AS above_90 FROM tel GROUP BY 1")
 _add("tel_util_class", lambda t: telemetry.utilisation_class(_tel(t)), "SELECT grp, count_if(m > 60) AS high, count_if(m < 40) AS low, count_if(m BETWEEN 40 AND 60) AS balanced FROM (SELECT grp, server, avg(value) AS m FROM grp GROUP BY 1, 2) GROUP BY 1")
 _add("tel_power_bands", lambda t: telemetry.power_bands(_tel(t)), "SELECT metric, round(count_if(value < 25) / count(*), 9) AS below_25, round(count_if(value >= 25 AND value < 50) / count(*), 9) AS below_50, round(count_if(value >= 50 AND value < 75) / count(*), 9) AS below_75, round(count_if(value >= 75) / count(*), 9) AS rest, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM tel WHERE metric = 'power' GROUP BY 1")
-_add("tel_clip_p99", lambda t: telemetry.clipped(_tel(t)), """SELECT server, metric, ts, value, least(value, 90) AS clipped, value > 90 AS "over" FROM tel""")
 _BOX = "SELECT metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM tel GROUP BY 1"
 _IN = "value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1)"
 _add("tel_boxplot", lambda t: telemetry.boxes(_tel(t)), f"SELECT metric, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3, min(CASE WHEN {_IN} THEN value END) AS low, max(CASE WHEN {_IN} THEN value END) AS high, count_if(NOT ({_IN})) AS outside FROM tel JOIN ({_BOX}) USING (metric) GROUP BY metric, q1, q2, q3")

@@ -68,6 +68,14 @@ SELECT job_id, user_id, job_name, queue, gpu_num, cpu_num, node_num, job_status_
 FROM (SELECT *, CASE WHEN job_id % 17 < {len(HOSTS)} THEN {_listed(HOSTS, "job_id % 17")} ELSE exec_hosts END AS hosts FROM jobs) w
 """
 
+#: ``anon``: jobs of which two in three have no user, with few categories: commands that share a beginning, two base names, two hosts of origin.
+ANON = """
+SELECT job_id, CASE WHEN job_id % 3 = 0 THEN user_id END AS user_id, CONCAT(CASE WHEN (job_id + cpu_num) % 4 = 0 THEN 'fit_' ELSE 'sim_' END, CAST(node_num AS STRING)) AS job_name,
+       CASE WHEN job_id % 4 = 0 THEN 'python train.py' WHEN job_id % 4 = 1 THEN 'python test.py' ELSE 'python train.py --all' END AS command, CASE WHEN job_id % 5 = 0 THEN NULL ELSE 'ws-1' END AS from_host, 'q' AS queue,
+       CAST(8 * (1 + cpu_num % 2) AS BIGINT) AS cpu_num, gpu_num, CAST(64 * (1 + cpu_num % 2) AS BIGINT) AS mem_gb, exit_status, submit_time, start_time, end_time
+FROM jobs
+"""
+
 
 class Tables:
     """The given tables and views of one folder."""
@@ -87,6 +95,10 @@ class Tables:
         sql = WORK.replace("{extract}", "regexp_extract(hosts, '^[a-z0-9-]+', 0)").replace("\\", "\\\\")
         return self.spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM jobs)", "FROM {jobs})"), jobs=self.jobs)
 
+    @cached_property
+    def anon(self) -> DataFrame:
+        return self._sql(ANON, jobs=self.jobs)
+
     @cached_property
     def telemetry(self) -> DataFrame:
         e = self.table("events")
