@@ -344,16 +344,6 @@ def test_targets_fill_like_water(spark):
     assert all(abs(by[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in want)
 
 
-def test_tree_deals_every_block_once(spark):
-    wanted = spark.createDataFrame([(False, "a", 1000.0), (False, "b", 310.0), (True, "", 0.0)], "no_source boolean, sk string, target double")
-    dealt = mixing.split(wanted, block_words=10, shards=8, seed="x").collect()
-    assert len(dealt) == len({(r["sk"], r["block"]) for r in dealt}) == 131
-    per = Counter(r["shard"] for r in dealt)
-    assert set(per) == set(range(8)) and max(per.values()) - min(per.values()) <= 1
-    a = Counter(r["shard"] for r in dealt if r["sk"] == "a")
-    assert all(6 <= a[s] <= 17 for s in range(8))
-
-
 def test_mix_uses_no_python(spark):
     planned = mixing.plan(frame(spark, some_docs(10)))
     text = mixing.draw(planned)._jdf.queryExecution().toString()

@@ -3,10 +3,14 @@
 1. ``targets``: words wanted of each source (weights, shares, caps).
 2. ``plan``: each source's documents are permuted by a hash. Prefix sums over hash prefixes (at most 256 children a node, so
    that no window holds a source) give every document its place in its source's word sequence.
-3. ``split``: the quota of a source is its number of blocks of ``block_words`` words. All blocks of all sources get random
-   tickets; the ticket order is a uniform permutation, and halving it again and again down to ``shards`` leaves deals every node
-   a multivariate-hypergeometric sample of its parent's blocks, with exact totals.
-4. ``draw``: a shard draws the documents of its blocks (disjoint by construction) and shuffles them by a hash of its own.
+3. ``quotas``: a source is read in passes. A pass that the target takes whole wants all its blocks of ``block_words`` words, the last one only as
+   many as the rest of the target needs.
+4. ``split``: the quotas of all passes are split among the output shards from the root down. A node hands its left child half of its blocks: how
+   many of each pass is one multivariate-hypergeometric draw, made pass by pass from what is left (``hypergeometric``, by inversion
+   from the mode outwards). A node also owns a run of each pass's permuted blocks; the left child's part of it is as long as its quota and half of what
+   the quota leaves over. So quotas stay exact, runs are disjoint, and which blocks are drawn follows from the draws.
+5. ``draw``: a shard draws the first blocks of its runs. Documents of a pass that is not whole are taken along the drawn blocks, shard by shard, and then
+   along the others, until the rest of the target: words differ from a target by half a document at most. A shard shuffles its own documents.
 
 Edge cases: a null text or one without words has size 0 and is never drawn. A null source is a source of its own, the last one.
 Null ids are ids like any other. Repeated rows are separate documents that share their draws as evenly as possible. An empty table
@@ -19,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import WORD, cut
+from tracelens.operators.scan import tree_scan
 
 #: Hex digits of a hash in the two upper levels of the prefix tree.
 TOP, LEAF = 2, 4
@@ -103,87 +108,140 @@ def plan(docs: DataFrame, *, weights=(3, 1, 2), share=1.5, cap=2.0, seed="mix",
     )
 
 
-def split(wanted: DataFrame, *, block_words: int, shards: int, seed: str) -> DataFrame:
-    """Blocks dealt to shards: rows (no_source, sk, block, shard), from one row per source with its target.
+PASS = ["no_source", "sk", "pass"]
 
-    Tickets order all blocks at random; a block's rank comes from counts over ticket prefixes. From the root, which holds all
-    ranks, each level halves the node's range of ranks and its number of shards, ``log2(shards)`` times.
+
+def uniform(*parts) -> Column:
+    """A number from 0 to 1 (52 bits) by a hash of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
+    """How many of ``drawn`` balls, out of ``total`` of which ``marked`` count, do count: the value at ``u`` of the inverted distribution.
+
+    Weights follow from the mode's by their ratios, as far as twelve deviations out; beyond, they are below what a double can add.
     """
-    group = 1 << 12
-    quota = F.ceil(F.col("target") / F.lit(block_words)).cast("long")
-    runs = wanted.withColumn("quota", quota).where("quota > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / group))))
-    inside = F.sequence(F.col("run") * group, F.least(F.col("quota"), (F.col("run") + 1) * group) - 1)
-    blocks = runs.select("no_source", "sk", F.explode(inside).alias("block"))
-    ticket = F.md5(F.concat_ws("|", F.lit(seed), "no_source", "sk", "block").cast("binary"))
-    blocks = blocks.withColumn("ticket", ticket).withColumn("t1", F.substring("ticket", 1, TOP)).withColumn("t2", F.substring("ticket", 1, LEAF))
-    before = (Window.unboundedPreceding, -1)
-    leaf = blocks.groupBy("t1", "t2").agg(F.count("*").alias("n2"))
-    top = leaf.groupBy("t1").agg(F.sum("n2").alias("n1"))
-    root = Window.partitionBy(F.lit(1))  # over at most 256 prefixes
-    top = top.withColumn("hi", F.sum("n1").over(root)).withColumn("r1", F.coalesce(F.sum("n1").over(root.orderBy("t1").rowsBetween(*before)), F.lit(0)))
-    leaf = leaf.join(top, "t1").withColumn("r2", F.coalesce(F.sum("n2").over(Window.partitionBy("t1").orderBy("t2").rowsBetween(*before)), F.lit(0)))
-    at = (
-        blocks.drop("t1")
-        .join(leaf.select("t2", "hi", "r1", "r2"), "t2")
-        .withColumn("r3", F.row_number().over(Window.partitionBy("t2").orderBy("ticket")) - 1)
-        .select("no_source", "sk", "block", (F.col("r1") + F.col("r2") + F.col("r3")).alias("rank"), F.lit(0).cast("long").alias("lo"), "hi", F.lit(0).alias("shard"))
-    )
-    for _ in range(max(0, shards - 1).bit_length()):
-        mid = F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2)
-        right = F.col("rank") >= mid
-        at = at.select(
-            "no_source", "sk", "block", "rank",
-            F.when(right, mid).otherwise(F.col("lo")).alias("lo"),
-            F.when(right, F.col("hi")).otherwise(mid).alias("hi"),
-            (F.col("shard") * 2 + right.cast("int")).alias("shard"),
-        )
-    return at.select("no_source", "sk", "block", "shard")
+    n, k, d = (c.cast("double") for c in (total, marked, drawn))
+    down = lambda i: i * (n - k - d + i) / ((k - i + 1) * (d - i + 1))  # noqa: E731 (weight of i - 1 over that of i)
+    up = lambda i: (k - i) * (d - i) / ((i + 1) * (n - k - d + i + 1))
+    step = lambda ratio: lambda s, i: _let(s["w"] * ratio(i), lambda w: F.struct(w.alias("w"), (s["sum"] + w).alias("sum")))
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+    low, high = F.greatest(F.lit(0).cast("long"), drawn - (total - marked)), F.least(marked, drawn)
+    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (k + 1) / (n + 2)).cast("long")))
+    balls = F.greatest(n, F.lit(1.0))
+    spread = F.sqrt(F.greatest(F.lit(0.0), d * k / balls * (n - k) / balls * (n - d) / F.greatest(n - 1, F.lit(1.0))))
+    width = (F.ceil(12 * spread) + 12).cast("long")
+    ends = F.struct(mode.alias("mode"), F.greatest(low, mode - width).alias("first"), F.least(high, mode + width).alias("last"))
 
+    def sums(e):
+        below = F.when(e["first"] < e["mode"], F.aggregate(F.sequence(e["mode"], e["first"] + 1, F.lit(-1).cast("long")), start, step(down))).otherwise(start)
+        above = F.when(e["last"] > e["mode"], F.aggregate(F.sequence(e["mode"], e["last"] - 1), start, step(up))).otherwise(start)
+        return F.struct(e["first"].alias("first"), e["last"].alias("last"), below.alias("below"), above["sum"].alias("above"))
+
+    def at(x):
+        none = F.struct(x["below"]["w"].alias("w"), F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("at"))
+        found = lambda s, i, goal: F.when(s["at"].isNull() & (s["sum"] + s["w"] > goal), i).otherwise(s["at"])
+        walk = lambda goal: lambda s, i: F.struct((s["w"] * up(i)).alias("w"), (s["sum"] + s["w"]).alias("sum"), found(s, i, goal).alias("at"))
+        return _let(u * (x["below"]["sum"] + x["above"] + 1.0), lambda goal: F.coalesce(F.aggregate(F.sequence(x["first"], x["last"]), none, walk(goal))["at"], x["last"]))
+
+    return _let(_let(ends, sums), at)
 
-def draw(planned: DataFrame, *, cap: float = 2.0, block_words: int = 4096, shard_words: int = 4_000_000, seed: str = "mix") -> DataFrame:
-    """The mix: a row (id, source, size, h, nth, pass, shard, position) for each time a document is drawn.
 
-    A source is read up to ``ceil(cap)`` times (passes), block by block, until its target; the document in which the target falls
-    is drawn if at least half of it lies before it, so a source's words differ from its target by half a document at most.
+def quotas(wanted: DataFrame, *, block_words: int, cap: float = 2.0) -> DataFrame:
+    """(no_source, sk, pass, rest, whole, blocks, quota): the passes over each source of positive size, from one row a source with its size and target."""
+    passes = wanted.where("source_size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max(1, -int(-cap // 1)) - 1))))
+    rest = F.greatest(F.lit(0.0), F.least(F.col("source_size").cast("double"), F.col("target") - F.col("pass") * F.col("source_size")))
+    x = passes.withColumn("rest", rest).withColumn("whole", F.col("rest") >= F.col("source_size")).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long"))
+    quota = F.when(F.col("whole"), F.col("blocks")).otherwise(F.ceil(F.col("rest") / F.lit(block_words)).cast("long"))
+    return x.where("rest > 0").select(*PASS, "rest", "whole", "blocks", quota.alias("quota"))
+
+
+def _drawing(seed: str, level: int):
+    """One pass's draw at a node, as a step over the node's urn: (balls, draws, out) without what is drawn."""
+
+    def step(s, c):
+        u = uniform(F.lit(seed), F.lit(level), F.col("node").cast("string"), c["no_source"].cast("string"), c["sk"], c["pass"].cast("string"))
+        got = _let(u, lambda v: hypergeometric(s["balls"], c["quota"], s["draws"], v))
+        return _let(got, lambda g: F.struct((s["balls"] - c["quota"]).alias("balls"), (s["draws"] - g).alias("draws"), F.array_append(s["out"], g).alias("out")))
+
+    return step
+
+
+def split(wanted: DataFrame, *, shards: int, seed: str) -> DataFrame:
+    """Leaves of the tree: rows (no_source, sk, pass, shard, first, length, quota), from one row a pass with its blocks and quota.
+
+    A level is one row for each node and pass; a node's passes are one array, of as many entries as there are passes over sources.
     """
-    wanted = planned.groupBy("no_source", "sk").agg(F.first("target").alias("target"))
-    total = wanted.agg(F.sum("target")).first()[0] or 0.0  # one number
+    at = wanted.select(F.lit(0).cast("long").alias("node"), *PASS, F.lit(0).cast("long").alias("first"), F.col("blocks").alias("length"), "quota")
+    kept = [*PASS, "first", "length", "quota"]
+    for level in range(max(0, shards - 1).bit_length()):
+        nodes = at.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(*kept))).alias("urn"), F.sum("quota").alias("all"))
+        half = F.floor(F.col("all") / 2).cast("long")
+        begin = F.struct(F.col("all").alias("balls"), half.alias("draws"), F.array().cast("array<bigint>").alias("out"))
+
+        left = F.aggregate("urn", begin, _drawing(seed, level))["out"]
+        each = nodes.select("node", F.explode(F.arrays_zip("urn", left.alias("left"))).alias("c")).select("node", *[F.col(f"c.urn.{k}") for k in kept], F.col("c.left").alias("left"))
+        mine = F.col("left") + F.floor((F.col("length") - F.col("quota")) / 2).cast("long")
+        a = F.struct((F.col("node") * 2).alias("node"), F.col("first").alias("first"), mine.alias("length"), F.col("left").alias("quota"))
+        b = F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("first") + mine).alias("first"), (F.col("length") - mine).alias("length"), (F.col("quota") - F.col("left")).alias("quota"))
+        at = each.select(*PASS, F.explode(F.array(a, b)).alias("n")).select("n.node", *PASS, "n.first", "n.length", "n.quota").where("length > 0")
+    return at.withColumnRenamed("node", "shard").select(*PASS, "shard", "first", "length", "quota")
+
+
+def blocks(leaves: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(no_source, sk, pass, block, shard, turn): every block of every pass, with the shard that owns it and its turn: drawn ones first, shard by shard."""
+    group = 1 << 12
+    x = tree_scan(leaves, PASS, "shard", {"q": (F.col("quota"), "sum")}).withColumn("q", F.coalesce("q", F.lit(0))).join(wanted.select(*PASS, F.col("quota").alias("all")), PASS)
+    runs = x.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / group).cast("long"))))
+    inside = F.sequence(F.col("run") * group, F.least(F.col("length"), (F.col("run") + 1) * group) - 1)
+    x = runs.withColumn("i", F.explode(inside))
+    turn = F.when(F.col("i") < F.col("quota"), F.col("q") + F.col("i")).otherwise(F.col("all") + F.col("first") - F.col("q") + F.col("i") - F.col("quota"))
+    return x.select(*PASS, (F.col("first") + F.col("i")).alias("block"), "shard", turn.alias("turn"))
+
+
+def draw(planned: DataFrame, *, cap: float = 2.0, block_words: int = 4096, shard_words: int = 4_000_000, seed: str = "mix") -> DataFrame:
+    """The mix: a row (id, source, size, h, nth, pass, shard, position) for each time a document is drawn."""
+    wanted = planned.groupBy("no_source", "sk").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    wanted = cut(quotas(wanted, block_words=block_words, cap=cap))
+    total = wanted.agg(F.sum("rest")).first()[0] or 0.0  # one number
     shards = 1 << max(0, int(total // shard_words)).bit_length()
-    dealt = split(wanted, block_words=block_words, shards=shards, seed=seed)
-    passes = F.explode(F.sequence(F.lit(0), F.lit(max(1, -int(-cap // 1)) - 1)))
-    rows = planned.where("size > 0").withColumn("pass", passes)
-    mid = F.col("pass") * F.col("source_size") + F.col("start") + F.col("size") / 2
-    rows = rows.where(mid <= F.col("target")).withColumn("block", F.floor(mid / F.lit(block_words)).cast("long"))
-    # A target at a block's very edge can leave its last middle one block further.
-    last = F.ceil(F.col("target") / F.lit(block_words)).cast("long") - 1
-    rows = rows.withColumn("block", F.least(F.col("block"), last))
+    dealt = blocks(cut(split(wanted, shards=shards, seed=seed)), wanted)
+    own = F.least(F.floor((F.col("start") + F.col("size") / 2) / F.lit(block_words)).cast("long"), F.col("blocks") - 1)
+    rows = planned.where("size > 0").join(wanted.drop("quota"), ["no_source", "sk"]).withColumn("block", own).drop("blocks")
+    met = cut(rows.join(dealt, [*PASS, "block"]).select("id", "source", *PASS, "size", "h", "nth", "start", "rest", "whole", "block", "shard", "turn"))
+    part = met.where("not whole")
+    turns = part.groupBy(*PASS, "turn").agg(F.sum("size").alias("words"))
+    turns = tree_scan(turns, PASS, "turn", {"before": (F.col("words"), "sum")}).select(*PASS, "turn", F.coalesce("before", F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*PASS, "turn").orderBy("start", "h", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(turns, [*PASS, "turn"]).where(F.col("before") + F.col("within") + F.col("size") / 2 <= F.col("rest"))
+    drawn = met.where("whole").select("id", "source", *PASS, "size", "h", "nth", "shard").unionByName(part.select("id", "source", *PASS, "size", "h", "nth", "shard"))
     shuffled = Window.partitionBy("shard").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "h", "nth", "pass").cast("binary")))
-    return (
-        rows.join(dealt, ["no_source", "sk", "block"])
-        .withColumn("position", F.row_number().over(shuffled))
-        .select("id", "source", "no_source", "sk", "size", "h", "nth", "pass", "shard", "position")
-    )
+    return drawn.withColumn("position", F.row_number().over(shuffled))
 
 
 def taken(planned: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Per document of the plan: the words that the mix takes of it, repeats counted."""
+    """Per document of the plan: how often the mix takes it, and the first shard that does (null: none)."""
     keys = ["no_source", "sk", "h", "nth"]
-    times = drawn.groupBy(*keys).agg(F.count("*").alias("times"))
+    times = drawn.groupBy(*keys).agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     return planned.join(times, keys, "left").withColumn("times", F.coalesce(F.col("times"), F.lit(0)))
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix draws it, with the same columns.
+    """``docs`` with each row as often as the mix draws it, with the same columns, shard by shard and in each shard's own order.
 
-    Rows are matched by their hash; rows equal in id and text share their draws, the first ones getting one more where they don't
-    come out even.
+    Rows are matched by their hash and their number among rows equal in id and text.
     """
     planned = plan(docs, **how)
-    per = taken(planned, draw(planned, cap=how.get("cap", 2.0), seed=how.get("seed", "mix"))).groupBy("h").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 0")
+    drawn = draw(planned, cap=how.get("cap", 2.0), seed=how.get("seed", "mix")).select("h", "nth", "shard", "position")
     h = row_hash(how.get("id_col", "doc_id"), how.get("text_col", "text"), how.get("seed", "mix"))
-    whole = docs.select(F.struct("*").alias("row"), h.alias("h"))
-    joined = whole.join(per, "h")
-    nth = F.when(F.col("rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("h").orderBy("h")))
-    each = joined.withColumn("nth", nth)
-    n = F.floor(F.col("times") / F.col("rows")) + (F.col("nth") <= F.col("times") % F.col("rows")).cast("long")
-    return each.withColumn("n", n.cast("int")).where("n > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    # Rows equal in id and text have numbers that follow one another from some number on, in both places.
+    twins = Window.partitionBy("h").orderBy("h")
+    numbered = docs.select(F.struct("*").alias("row"), h.alias("h")).withColumn("of", F.row_number().over(twins))
+    least = planned.groupBy("h").agg(F.min("nth").alias("from"))
+    each = drawn.join(least, "h").withColumn("of", (F.col("nth") - F.col("from") + 1).cast("int")).select("h", "of", "shard", "position")
+    return numbered.join(each, ["h", "of"]).repartition("shard").sortWithinPartitions("shard", "position").select("row.*")

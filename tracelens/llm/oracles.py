@@ -20,21 +20,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
-MIXING = f"""
-WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
-    md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS h FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
-w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(place - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS most FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s)),
-b AS (SELECT *, most / weight AS bound FROM w),
-l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
-  FROM b WINDOW before AS (ORDER BY bound, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(most, coalesce((SELECT arg_min(level, (bound, place)) FROM l WHERE level <= bound) * weight, most)) AS target FROM l),
-p AS (SELECT d.n, doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * ((start + size / 2 <= target)::INT + (source_size + start + size / 2 <= target)::INT) AS BIGINT) AS taken FROM p
-"""
-
 TOP_K = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
