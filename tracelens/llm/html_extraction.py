@@ -6,7 +6,13 @@
 2. Containers vote: scores are summed in Spark for each host and generalised path (tags with their classes, digits made ``#``); the
    highest sum wins the host.
 3. Each page is read again: the blocks under containers on the host's winning path are its text; a page that has none, or none
-   with text, takes its own best container, and a page without containers all its blocks that are not boilerplate.
+   with text, takes its own best container, and a page without containers all its blocks that are not boilerplate. From the winning container
+   the page's reader climbs to the one around it as long as what that adds is mostly text without links, so that a headline, a lead or a
+   second section beside the longest part stay; it stops at an article or main element and below the body.
+
+Tags are found by one scan from left to right, and no step looks back over the page or up the whole tree, so that a page takes time in proportion to its
+length however its quotes, elements and nesting are left open. A script or style that is never closed runs to the end; other elements
+whose content is no text (object, noscript, iframe and the like) are passed over only if they are closed.
 
 A block ends at a block tag or a line break. Character references are decoded, runs of white space become one space.
 
@@ -19,15 +25,18 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import cut, over, small_batches
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"""[^<>"']*""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _RAW = {"script", "style", "noscript", "template", "iframe", "object", "textarea", "title", "xmp", "noembed", "noframes"}
@@ -59,12 +68,15 @@ class Node:
     weight: float = 1.0
     score: float = 0.0
 
+    def __post_init__(self) -> None:
+        self.buried = self.bad or (self.up is not None and self.up.buried)  # in boilerplate, itself or further up
+
 
 @dataclass
 class Page:
-    """Blocks in page order as (text, node), and the containers."""
+    """Blocks in page order as (text, node, code points of text that count for it), and the containers, outer ones first."""
 
-    blocks: list[tuple[str, Node]] = field(default_factory=list)
+    blocks: list[tuple[str, Node, int]] = field(default_factory=list)
     nodes: list[Node] = field(default_factory=list)
 
 
@@ -84,6 +96,61 @@ def _bad_name(name: str) -> bool:
     return bool(words) and (words[0] in _BAD_WORDS or words[-1] in _BAD_WORDS and (len(words) < 2 or words[-2] not in ("with", "has", "no", "without")))
 
 
+class Tags:
+    """The tags of a page from left to right. What is once not found behind a place is not looked for again."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.absent: set[str] = set()
+
+    def find(self, text: str, at: int) -> int:
+        """Place of ``text`` from ``at`` on, or -1; calls go from left to right."""
+        if text in self.absent:
+            return -1
+        found = self.source.find(text, at)
+        if found < 0:
+            self.absent.add(text)
+        return found
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag: quotes may hold one; where they are left open or a ``<`` comes first, the next ``>``."""
+        source, i = self.source, at
+        while True:
+            i = _PLAIN.match(source, i).end()
+            if i >= len(source) or source[i] == "<":
+                break
+            if source[i] == ">":
+                return i
+            close = self.find(source[i], i + 1)
+            if close < 0:
+                break
+            i = close + 1
+        return self.find(">", at)
+
+    def next(self, at: int):
+        """(start, end, closing, name, attributes) of the next tag, name empty for comments and declarations; None at the end."""
+        source = self.source
+        while (start := self.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                close = self.find("-->", start + 4)
+                return start, len(source) if close < 0 else close + 3, False, "", ""
+            if source[start + 1 : start + 2] in ("!", "?"):
+                close = self.find(">", start)
+                if close >= 0:
+                    return start, close + 1, False, "", ""
+            elif m := _NAME.match(source, start + 1):
+                close = self.end(m.end())
+                if close >= 0:
+                    return start, close + 1, bool(m[1]), m[2].lower(), source[m.end() : close]
+            at = start + 1
+        return None
+
+
+def _path(parent: str, name: str) -> str:
+    """Path of a container; the upper part of a very long one is a hash."""
+    return f"{parent if len(parent) <= 512 else '#' + xxhash.xxh64_hexdigest(parent)}>{name}"
+
+
 def parse(source: str | None) -> Page:
     """Blocks and containers of a page."""
     page, root = Page(), Node("", "", None, False)
@@ -91,6 +158,14 @@ def parse(source: str | None) -> Page:
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
     source = source or ""
+    unclosed: set[str] = set()
+
+    tags, held = Tags(source), Counter()  # how often each tag is on the stack
+
+    def cut_back(to: int) -> None:
+        for t, _ in stack[to:]:
+            held[t] -= 1
+        del stack[to:]
 
     def flush() -> None:
         nonlocal linked
@@ -98,70 +173,67 @@ def parse(source: str | None) -> Page:
         text.clear()
         if whole:
             node = stack[-1][1]
-            page.blocks.append((whole, node))
-            worth, up = max(0, len(whole) - 2 * linked), node
-            while up is not None and not up.bad:
-                up = up.up
-            if up is None:
-                up = node
-                while up is not None:
-                    up.score += worth
-                    worth, up = worth / 2, up.up
+            worth = max(0, len(whole) - 2 * linked)
+            page.blocks.append((whole, node, worth))
+            up = None if node.buried else node
+            while up is not None and worth >= 1e-3:
+                up.score += worth
+                worth, up = worth / 2, up.up
         linked = 0
 
     while at < len(source):
-        m = _TAG.search(source, at)
-        piece = source[at : m.start()] if m else source[at:]
+        found = tags.next(at)
+        piece = source[at : found[0]] if found else source[at:]
         if piece:
             text.append(piece)
             if in_link:
                 linked += len(piece)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+        _, at, closing, tag, rest = found
         if not tag:
             continue
-        closing = bool(m["end"] or m["end2"])
         if tag in _BLOCKS:
             flush()
         if tag == "a":
             in_link = 0 if closing else 1
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
-                del stack[depth:]
+            if held[tag] > 0:
+                cut_back(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag in _RAW:
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            end = None if tag in unclosed else re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(source, at)
+            if end:
+                at = end.end()
+            else:
+                unclosed.add(tag)
+                at = len(source) if tag in ("script", "style") else at
             continue
         if tag in _VOID or (tag not in _BLOCKS and tag not in _BAD_TAGS):
             continue
         if tag in ("body", "main", "article"):  # ends what cannot hold it and was left open
-            i = next((i for i, (t, _) in enumerate(stack) if t in _LEFT_OPEN), 0)
-            if i:
-                del stack[i:]
-        if tag in _CLOSES:
+            if any(held[t] > 0 for t in _LEFT_OPEN):
+                cut_back(next(i for i, (t, _) in enumerate(stack) if t in _LEFT_OPEN))
+        if tag in _CLOSES and any(held[t] > 0 for t in _CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in _CLOSES[tag]:
-                    del stack[i:]
+                    cut_back(i)
                     break
                 if stack[i][0] in _FENCE[tag]:
                     break
-        elif any(s[0] == "p" for s in stack[-2:]):
+        elif tag not in _CLOSES and any(s[0] == "p" for s in stack[-2:]):
             while len(stack) > 1 and stack[-1][0] == "p":
-                stack.pop()
-        rest = m["rest"] or m["rest2"] or ""
+                cut_back(len(stack) - 1)
         attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(rest)} if rest.strip() else {}
         parent, bad = stack[-1][1], _boilerplate(tag, attributes)
         if bad or tag in _CONTAINERS:
             name = ".".join([tag, *sorted(re.sub(r"\d+", "#", attributes.get("class", "")).split())])
-            node = Node(tag, f"{parent.path}>{name}", parent, bad, {"article": 2.0, "main": 1.5, "body": 0.8, "html": 0.4}.get(tag, 1.0))
+            node = Node(tag, _path(parent.path, name), parent, bad, {"article": 2.0, "main": 1.5, "body": 0.8, "html": 0.4}.get(tag, 1.0))
             page.nodes.append(node)
         else:
             node = parent
         stack.append((tag, node))
+        held[tag] += 1
     flush()
     return page
 
@@ -170,24 +242,48 @@ def votes(page: Page) -> dict[str, float]:
     """Score of each container path of a page."""
     out: dict[str, float] = {}
     for n in page.nodes:
-        if n.score > 0 and n.tag in _CONTAINERS and not n.bad:
+        if n.score > 0 and n.tag in _CONTAINERS and not n.buried:
             out[n.path] = out.get(n.path, 0.0) + n.score * n.weight
     return out
 
 
-def under(page: Page, path: str | None) -> list[str]:
-    """Blocks, boilerplate left out, that lie under a container with the path (None: anywhere)."""
-    out = []
-    for text, node in page.blocks:
-        inside, up = path is None, node
-        while up is not None and not up.bad:
-            inside = inside or up.path == path
-            up = up.up
-        if inside and up is None:
-            out.append(text)
+def _climbed(page: Page, tops: set[int]) -> set[int]:
+    """Containers (by place in the page's list) around the winning ones, as far up as what they add is mostly text without links."""
+    place = {id(n): i for i, n in enumerate(page.nodes)}
+    whole, free = [0] * len(page.nodes), [0] * len(page.nodes)  # code points below each container, and those that count
+    for text, node, worth in page.blocks:
+        if not node.buried and id(node) in place:
+            whole[place[id(node)]] += len(text)
+            free[place[id(node)]] += worth
+    up = [place.get(id(n.up), -1) for n in page.nodes]
+    for i in range(len(page.nodes) - 1, -1, -1):  # inner ones come later
+        if up[i] >= 0:
+            whole[up[i]] += whole[i]
+            free[up[i]] += free[i]
+    out = set()
+    for i in tops:
+        while page.nodes[i].tag not in ("article", "main") and up[i] >= 0 and i not in out:
+            around = page.nodes[up[i]]
+            more, counts = whole[up[i]] - whole[i], free[up[i]] - free[i]
+            if around.tag in ("body", "html") or around.buried or 2 * counts < more:
+                break
+            i = up[i]
+        out.add(i)
     return out
 
 
+def under(page: Page, path: str | None) -> list[str]:
+    """Blocks, boilerplate left out, that lie under a container with the path, or under what is around it and belongs to it (None: anywhere)."""
+    if path is None:
+        return [text for text, node, _ in page.blocks if not node.buried]
+    tops = _climbed(page, {i for i, n in enumerate(page.nodes) if n.path == path and not n.buried})
+    inside: set[int] = set()
+    for i, n in enumerate(page.nodes):
+        if i in tops or id(n.up) in inside:
+            inside.add(id(n))
+    return [text for text, node, _ in page.blocks if id(node) in inside and not node.buried]
+
+
 def main_text(source: str | None, winner: str | None) -> tuple[str, str]:
     """Main text of a page and the path it came from (empty: the whole page)."""
     page = parse(source)
