@@ -69,8 +69,9 @@ def assess(df: DataFrame, types: dict[str, str], *, key: str = "job_id", keys: t
     old = F.timestamp_diff("DAY", F.greatest(*[F.max(c) for c in at.values()]), F.lit(now).cast("timestamp_ntz"))
     rows = df.agg(F.count("*").alias("rows"), F.round(F.count_if(ordered) / F.nullif(F.count_if(all_three), F.lit(0)), 9).alias("time_logic"), F.round(F.greatest(F.lit(0.0), 1 - old / 365), 9).alias("freshness"))
     within = outliers(cells, types).agg(F.round(1 - F.avg("outside"), 9).alias("within_ranges"))
-    one = F.lit(1).alias("_")
-    x = rows.select("*", one).join(sums.select("*", one), "_").join(unlike.select("*", one), "_").join(within.select("*", one), "_").drop("_")
+    # One row each: put below one another and merged, as a join of single rows has no key.
+    parts = rows.unionByName(sums, True).unionByName(unlike, True).unionByName(within, True)
+    x = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
     x = x.withColumn("uniqueness", F.round(F.col("unlike") / F.nullif(F.col("rows"), F.lit(0)), 9)).drop("unlike")
     score = sum((w * F.col(c) for c, w in list(PARTS.items())[1:]), PARTS["completeness"] * F.col("completeness"))
     x = x.withColumn("score", F.round(score, 6))
