@@ -33,6 +33,7 @@ def labels(spark):
 
 OPERATORS = {
     "line_dedup": lambda s, d: line_dedup.dedup_lines(d),
+    "line_passages": lambda s, d: line_dedup.dedup_lines(d, passages=True),
     "quality_classifier": lambda s, d: d.select("doc_id", quality_classifier.score(quality_classifier.fit(d, labels(s)), d).alias("score")),
     "line_rules": lambda s, d: d.select("doc_id", line_rules.judge(line_rules.fit(d, labels(s)), d).alias("j")),
     "simhash": lambda s, d: simhash.near_duplicates(d),
