@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelens.operators.rules import once
+
 SCHEMA = "job_id long, job_name string, cpu_num long, submit_time timestamp_ntz, start_time timestamp_ntz, end_time timestamp_ntz"
 #: Quotes are doubled inside quotes; line breaks and commas may stand inside them. ``NA`` and nothing are null.
 OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "escape": '"', "nullValue": "NA", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
@@ -23,9 +25,10 @@ def parsed(lines: DataFrame, column: str = "line", schema: str = SCHEMA) -> Data
     records = lines.where(F.length(column) > 0)
     fields = F.from_csv(F.col(column), f"{schema}, bad string", OPTIONS)
     texts = F.from_csv(F.col(column), f"{_as_text(schema)}, bad string", OPTIONS)
-    x = records.select(fields.alias("f"), texts["bad"].isNotNull().alias("broken"))
-    status = F.when(F.col("broken"), "corrupt").when(F.col("f.bad").isNotNull(), "coerced").otherwise("good")
-    return x.select("f.*", status.alias("status"))
+    # Read once a row, whatever filters and columns follow; as texts only what does not read by its types.
+    x = once(records.select(column), {"f": fields})
+    status = F.when(F.col("f.bad").isNull(), "good").when(texts["bad"].isNotNull(), "corrupt").otherwise("coerced")
+    return once(x, {"f": F.col("f"), "status": status}).select("f.*", "status")
 
 
 def jobs_as_text(jobs: DataFrame) -> DataFrame:
