@@ -50,10 +50,10 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Buckets(dict):
-    """Buckets of words; forgets what it holds beyond a million words."""
+    """Buckets of words; forgets what it holds beyond 100,000 words, as a worker keeps it through the stages that follow."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         b = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
         return b
