@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -143,3 +144,27 @@ def test_mixed_documents_are_the_drawn_rows(spark, docs):
     want = Counter(r["id"] for r in mixing.draw(mixing.plan(df)).collect())
     got = mixing.mix_documents(df)
     assert got.columns == df.columns and Counter(r["doc_id"] for r in got.collect()) == want
+
+
+def test_texts_move_to_their_draws_and_to_their_shards_only(spark, docs):
+    mixed = mixing.mix_documents(spark.createDataFrame(docs, SCHEMA))
+    plan = mixed._sc._jvm.PythonSQLUtils.explainString(mixed._jdf.queryExecution(), "formatted")
+    moved = [x for x in re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", plan) if re.search(r"\b(row|text)#", x)]
+    assert len(moved) == 2
+
+
+def test_rows_of_two_sources_take_their_own_draws(spark, docs):
+    both = [r for r in docs if r[3] == "big"]
+    df = spark.createDataFrame(both + [(*r[:3], "é", r[4]) for r in both] + [(*r[:3], None, r[4]) for r in both], SCHEMA)
+    want = Counter((r["id"], r["source"]) for r in mixing.draw(mixing.plan(df)).collect())
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.mix_documents(df).collect()) == want and len({s for _, s in want}) == 3
+
+
+def test_copies_in_several_arrays(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 4)
+    copies = [(7, "a b c", "en", "a", i) for i in range(30)] + docs[:40]
+    df = spark.createDataFrame(copies, SCHEMA)
+    want = Counter(r["id"] for r in mixing.draw(mixing.plan(df)).collect())
+    got = mixing.mix_documents(df).collect()
+    used = Counter(r["n_chars"] for r in got if r["doc_id"] == 7 and r["text"] == "a b c")
+    assert Counter(r["doc_id"] for r in got) == want and max(used.values()) <= 2 and len(used) > 8

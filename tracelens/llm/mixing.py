@@ -40,13 +40,17 @@ def row_hash(id_col: str, text_col: str, seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text).cast("binary"))
 
 
+def source_key(source_col: str) -> list[Column]:
+    """A source as two columns that are never null: ``no_source`` and ``sk``."""
+    return [F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("sk")]
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """One row per document: id, source, size in words, and its place in the permutation (``h``)."""
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
-        F.col(source_col).isNull().alias("no_source"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("sk"),
+        *source_key(source_col),
         n_words(text_col).alias("size"),
         row_hash(id_col, text_col, seed).alias("h"),
     )
@@ -231,17 +235,27 @@ def taken(planned: DataFrame, drawn: DataFrame) -> DataFrame:
     return planned.join(times, keys, "left").withColumn("times", F.coalesce(F.col("times"), F.lit(0)))
 
 
+#: Rows that are equal in source, id and text, in one array of ``mix_documents``.
+COPIES = 1 << 12
+
+
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row as often as the mix draws it, with the same columns, shard by shard and in each shard's own order.
 
-    Rows are matched by their hash and their number among rows equal in id and text.
+    Rows are matched by source, hash and their number among rows equal in source, id and text. Texts move twice, as they are most of the disk that a
+    run needs: to their draws, which lie in arrays by that number so that numbering and join share one shuffle, and from there to their shards.
     """
     planned = plan(docs, **how)
-    drawn = draw(planned, cap=how.get("cap", 2.0), seed=how.get("seed", "mix")).select("h", "nth", "shard", "position")
+    own = ["no_source", "sk", "h"]
+    drawn = draw(planned, cap=how.get("cap", 2.0), seed=how.get("seed", "mix")).select(*own, "nth", F.struct("shard", "position").alias("use"))
+    nth = drawn.withColumn("of", F.dense_rank().over(Window.partitionBy(*own).orderBy("nth")) - 1)
+    uses = nth.groupBy(*own, "of").agg(F.collect_list("use").alias("uses"))
+    runs = uses.groupBy(*own, F.floor(F.col("of") / COPIES).alias("run")).agg(F.min("of").alias("from"), F.sort_array(F.collect_list(F.struct("of", "uses")))["uses"].alias("at"))
+
     h = row_hash(how.get("id_col", "doc_id"), how.get("text_col", "text"), how.get("seed", "mix"))
-    # Rows equal in id and text have numbers that follow one another from some number on, in both places.
-    twins = Window.partitionBy("h").orderBy("h")
-    numbered = docs.select(F.struct("*").alias("row"), h.alias("h")).withColumn("of", F.row_number().over(twins))
-    least = planned.groupBy("h").agg(F.min("nth").alias("from"))
-    each = drawn.join(least, "h").withColumn("of", (F.col("nth") - F.col("from") + 1).cast("int")).select("h", "of", "shard", "position")
-    return numbered.join(each, ["h", "of"]).repartition("shard").sortWithinPartitions("shard", "position").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), *source_key(how.get("source_col", "source")), h.alias("h"))
+    rows = rows.withColumn("of", F.row_number().over(Window.partitionBy(*own).orderBy("h")) - 1)
+    # A range, as an equation would be a further key, by which the texts would be shuffled again.
+    same = [rows[k] == runs[k] for k in own] + [rows["of"] >= runs["from"], rows["of"] < runs["from"] + COPIES]
+    met = rows.join(runs, same).select("row", F.explode(F.get("at", rows["of"] - F.col("from"))).alias("use"))
+    return met.select("row", "use.*").repartition("shard").sortWithinPartitions("shard", "position").select("row.*")
